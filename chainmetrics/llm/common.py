@@ -110,8 +110,8 @@ def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
 
 #: Words of the near-duplicate contract: everything but ASCII white space.
 SPACE_WORDS = ~byte_set((0x20, 0x20), (0x09, 0x0D))
-#: Words of the decontamination contract: ASCII letters and all bytes of non-ASCII characters.
-LETTER_WORDS = byte_set((0x61, 0x7A), (0x80, 0xFF))
+#: Words of the decontamination contract: ASCII letters and digits and all bytes of non-ASCII characters.
+LETTER_WORDS = byte_set((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
