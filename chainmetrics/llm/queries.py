@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from .columns import repeated_substrings
 from .minhash import near_duplicates
 from .packing import pack
+from .quality import quality_scores
+from .tiff import media_digests
 from .tokens import token_counts
 from .winnow import contamination
 
@@ -29,6 +31,10 @@ def op2_winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op3_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -41,12 +47,18 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_substrings(table(spark, sf_dir, "documents"), length=200).drop("spans")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
+    "op3_tiff_media": op3_tiff_media,
     "op4_token_counts": op4_token_counts,
     "op5_hilbert_packing": op5_hilbert_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
 ORACLES: dict[str, str] = {}
