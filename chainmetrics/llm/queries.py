@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pii
 from .columns import repeated_substrings
 from .minhash import near_duplicates
 from .packing import pack
@@ -51,6 +52,10 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_hilbert_packing": op5_hilbert_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_pii_sanitisation": op10_pii_sanitisation,
 }
 
 ORACLES: dict[str, str] = {}
