@@ -3,7 +3,7 @@
 Every distinct shingle set gets PERMUTATIONS minima. Bands of ROWS minima make candidate buckets; the low
 BITS bits of all minima, packed in longs, give a collision-corrected similarity from bit counts, which
 drops hopeless candidates; what is left is confirmed on the full sets. A pair at similarity 0.8 shares no
-bucket with a chance below 1e-7, and is dropped by the estimate with a chance below 1e-8.
+bucket with a chance below 1e-7, and is dropped by the estimate with a chance below 1e-5; both fall fast above.
 
 Equal sets are one class from the start, so copies never meet. Within a bucket, pairs are not expanded:
 rounds of stars (every member against one leader a bucket) merge what they confirm, and only members that
@@ -22,10 +22,11 @@ from pyspark.sql import functions as F
 from .common import SPACE_WORDS, list_array, map_chunks, materialize, mix, shingle_sets, text_bytes
 from .components import connected_components
 
-PERMUTATIONS, ROWS, BITS = 128, 4, 4
+#: Minima of which low bits are kept; the first of them also make the bands. One bit each says most for its size.
+PERMUTATIONS, BITS, BANDS, ROWS = 512, 1, 32, 4
 LONGS = PERMUTATIONS * BITS // 64
-#: Six standard errors under the threshold (0.8): sqrt(0.8125 * 0.1875 / 128) / 0.9375 = 0.0368.
-ESTIMATE_SLACK = 0.22
+#: Four and a half standard errors at the threshold of 0.8: sqrt(0.9 * 0.1 / 512) / 0.5 = 0.0265.
+ESTIMATE_SLACK = 0.12
 _rng = np.random.default_rng(7)
 MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
@@ -44,7 +45,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(low: np.ndarray) -> np.ndarray:
-    bands = low.reshape(len(low), -1, ROWS)
+    bands = low[:, : BANDS * ROWS].reshape(len(low), BANDS, ROWS)
     key = np.broadcast_to(np.arange(bands.shape[1], dtype=np.uint64), bands.shape[:2]).copy()
     for r in range(ROWS):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + bands[:, :, r])
@@ -69,7 +70,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
             own = [sets[i] for i in rows]
             node = pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in own], pa.int64())
             low = minima(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([len(s) for s in own], pa.int64()), node, list_array(band_keys(low), PERMUTATIONS // ROWS, pa.int64()), list_array(packed(low), LONGS, pa.int64())], ["doc_id", "n_shingles", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([len(s) for s in own], pa.int64()), node, list_array(band_keys(low), BANDS, pa.int64()), list_array(packed(low), LONGS, pa.int64())], ["doc_id", "n_shingles", "node", "bands", "sig"])
         bare = np.flatnonzero([len(s) == 0 for s in sets])
         if len(bare):
             none = pa.nulls(len(bare), pa.int64())
@@ -79,14 +80,11 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def estimate(a: str, b: str) -> Column:
-    """Similarity from two packed signatures: lanes that differ are counted by bit counts, chance matches taken out."""
+    """Similarity from two packed signatures: bits that differ are counted, chance matches taken out."""
     differing = F.lit(0)
     for i in range(LONGS):
-        x = F.col(a)[i].bitwiseXOR(F.col(b)[i])
-        for shift in (BITS // 2, BITS // 4):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
-        differing = differing + F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
-    chance = 2.0**-BITS  # lanes of BITS = 4 bits
+        differing = differing + F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i]))
+    chance = 2.0**-BITS
     return ((1 - differing / PERMUTATIONS) - chance) / (1 - chance)
 
 
@@ -120,7 +118,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     docs: doc_id, text; more columns are ignored. Texts are linked if their sets of shingle-word shingles have a
@@ -146,45 +144,43 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars:
 
 def connected_components_of(buckets: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, stars: int) -> DataFrame:
     """node, comp for every node in a bucket with others."""
-    open_nodes = materialize(buckets.select("node").distinct().join(classes.select("node", "rep", "n", "sig"), "node"))
+    open_nodes = materialize(buckets.select("node").distinct().join(classes, "node"))
     near = open_nodes.select("node", "n", "sig")
     ids = open_nodes.select(F.col("rep").alias("rep_id")).distinct()
     source = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
     texts = materialize(texts_of(source, shingle).join(open_nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    labels, tested = open_nodes.select("node", F.col("node").alias("comp")), None
+    labels = open_nodes.select("node", F.col("node").alias("comp"))
+    like = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb") >= percent / 100 - ESTIMATE_SLACK)
 
-    def pairs_of(candidates: DataFrame) -> DataFrame:
-        """Of (a, b) those not tested whose sizes and signatures allow the similarity."""
-        nonlocal tested
-        if tested is not None:
-            candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        left, right = (near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-        return candidates.join(left, "a").join(right, "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").withColumn("est", estimate("sa", "sb")).where(F.col("est") >= percent / 100 - ESTIMATE_SLACK).select("a", "b", "est")
+    def side(k: str, df: DataFrame, *more: str) -> DataFrame:
+        return df.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
 
     for turn in range(stars):
         inside = buckets.join(labels, "node")
         lead = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.col("l.node").alias("b"), F.col("l.comp").alias("lead_comp"))
         star = inside.join(lead, "key").where("comp <> lead_comp").select(F.col("node").alias("a"), "b").distinct()
-        best = pairs_of(star).groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
-        best = materialize(best)
+        likely = star.join(side("a", near), "a").join(side("b", near), "b").where(like)
+        best = materialize(likely.groupBy("a").agg(F.max_by("b", F.struct(estimate("sa", "sb"), "b")).alias("b")))
         if best.isEmpty():
             break
         links = materialize(confirm(best, texts, shingle, percent))
-        tested = best.select("a", "b") if tested is None else tested.union(best.select("a", "b"))
         labels = connected_components(labels, links)
         if links.count() * 4 < best.count():  # few stars hold: what is left is not a large group of near copies
             break
     inside = materialize(buckets.join(labels, "node"))
     mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    inside = inside.join(mixed, "key").join(near, "node")
-    left, right = (inside.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
-    rest = left.join(right, "key").where(f"a > b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").where(estimate("sa", "sb") >= percent / 100 - ESTIMATE_SLACK).select("a", "b").distinct()
-    if tested is not None:
-        rest = rest.join(tested, ["a", "b"], "left_anti").join(tested.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
-    rest = materialize(rest)
+    inside = inside.join(mixed, "key").join(open_nodes, "node")
+    left, right = (inside.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("bands").alias(f"bands_{k}")) for k in "ab")
+    rest = materialize(left.join(right, (left["key"] == right["key"]) & F.expr("a > b AND ca <> cb") & like & _first_shared(left["key"])).select("a", "b"))
     return labels if rest.isEmpty() else connected_components(labels, confirm(rest, texts, shingle, percent))
 
 
+def _first_shared(key: Column) -> Column:
+    """Whether key is the first band that both sides have; a pair meets in each bucket that it shares."""
+    same = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
+    return F.array_position(same, F.lit(True)) == F.array_position("bands_a", key)
+
+
 def texts_of(docs: DataFrame, shingle: int) -> DataFrame:
     """node, text of every text with shingles."""
 
