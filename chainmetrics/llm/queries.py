@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import pii, secrets
 from .columns import repeated_substrings
+from .compact import passages
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import quality_scores
@@ -44,6 +45,12 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages(table(spark, sf_dir, "documents"), words=50, percent=80)
+    text = F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.select("doc_id", "n_words", "component_id", "n_links", F.size("passages").cast("long").alias("n_passages"), "n_repeated", text.alias("passages"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -66,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tiff_media": op3_tiff_media,
     "op4_token_counts": op4_token_counts,
     "op5_hilbert_packing": op5_hilbert_packing,
+    "op6_compact_windows": op6_compact_windows,
     "op7_secret_scan": op7_secret_scan,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
