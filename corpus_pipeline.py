@@ -1,8 +1,79 @@
-"""From raw documents to packed training sequences."""
+"""From raw documents to packed training sequences.
 
-STAGES = []
+The stages apply the operators of chainmetrics.llm with the corpus's own words: near-duplicates and other word
+shingles of five words, a similarity of 0.8. Every stage but the last returns the columns of documents, those of the
+rows that it keeps; a null or empty text is a document like any other. A doc_id that is null, or that rows repeat,
+is kept by all stages but the second, which keeps one row of it a text (see there).
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainmetrics.llm import pii
+from chainmetrics.llm.minhash import near_duplicates
+from chainmetrics.llm.packing import pack
+from chainmetrics.llm.quality import fit_quality, scored
+from chainmetrics.llm.winnow import contamination
+
+QUALITY = 0.3
+TOKENIZER = "word_bpe_49k.json"
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text scores QUALITY or more; the model is fitted on the labels of sf_dir."""
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, model).where(F.col("score") >= QUALITY).drop("score")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest doc_id of each group of near-duplicates; documents without an id are not told apart and stay.
+
+    Rows that repeat a kept doc_id stay as one row for each text.
+    """
+    found = near_duplicates(docs, shingle=5, percent=80)
+    kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
+    out = docs.join(kept, "doc_id").select(*docs.columns, "rows")
+    once, more = out.where("rows = 1").select(docs.columns), out.where("rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(more).unionByName(docs.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = found.where(F.size("hits") > 0).select("doc_id").distinct()
+    return docs.join(hit, "doc_id", "left_anti")
+
+
+def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with personal data, and terms that disclose it, generalised to their kind; n_chars is counted anew."""
+    found = pii.find(docs)
+    changed = found.where(F.size("spans") > 0).select("doc_id", F.xxhash64("text").alias("tkey"), pii.sanitised(F.col("text"), F.col("spans")).alias("safe")).dropDuplicates(["doc_id", "tkey"])
+    keyed = docs.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
+    joined = keyed.join(changed.withColumnsRenamed({"doc_id": "id", "tkey": "key"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left")
+    text = F.coalesce("safe", "text")
+    counted = F.when(F.col("safe").isNull(), F.col("n_chars")).otherwise(F.length("safe")) if "n_chars" in docs.columns else None
+    columns = [text.alias(c) if c == "text" else counted.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return joined.select(columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens, with their token ids."""
+    return pack(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("sanitise", sanitise), ("packing", packing)]
+#: The model, the tokenizer and the curve have no SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that all stages make of the documents of sf_dir. What a stage keeps is written before the next reads it."""
+    from chainmetrics.llm.common import materialize
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
