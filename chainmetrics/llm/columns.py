@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks, materialize, mix, text_bytes
+from .common import map_chunks, materialize, mix, powers, text_bytes
 
 GRAM = 40
 #: Strings of one minimiser that meet in a task; a minimiser with more is settled by counts of whole substrings.
@@ -88,9 +88,11 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray
     return grams[at].view(np.int64), row, edge - offsets[row], number, at - offsets[row]
 
 
-def _shifted(found: tuple[np.ndarray, ...], by: int) -> tuple[np.ndarray, ...]:
-    mini, row, first, number, pivot = found
-    return mini, row, first + by, number, pivot + by
+def range_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each range of bytes."""
+    up, down = powers(len(data))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)))
+    return mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
 
 
 def repeated_starts(group: np.ndarray, strings: list[np.ndarray], pivots: np.ndarray, length: int) -> list[np.ndarray]:
@@ -201,19 +203,32 @@ def repeated_substrings(docs: DataFrame, length: int = 200, hot: int = HOT) -> D
 
     def minimisers(batch: pa.RecordBatch):
         data, offsets = text_bytes(batch.column(1))
-        parts = [runs(data, offsets, length)] if len(data) <= PART else [_shifted(runs(data[s : s + PART + length - 1], np.array([0, min(len(data) - s, PART + length - 1)]), length), s) for s in range(0, len(data), PART)]
-        mini, row, first, number, pivot = (np.concatenate(x) for x in zip(*parts))
         rid = batch.column(0).to_numpy()
         # within a batch, a copy's runs add nothing
         fresh = np.zeros(len(rid), bool)
         fresh[np.unique(rid, return_index=True)[1]] = True
-        keep = fresh[row]
-        rows = rid[row[keep]]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (mini[keep], rows, first[keep], number[keep].astype(np.int32), pivot[keep])], ["mini", "rid", "start", "number", "pivot"])
-
-    cut = materialize(map_chunks(keyed.where(F.octet_length("text") >= length).select("rid", "text"), minimisers, "mini long, rid long, start long, number int, pivot long"))
-    counts = cut.groupBy("mini").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min("start").alias("first"), F.max("start").alias("last"), F.count("*").alias("n")).where("low <> high OR first <> last").select("mini", (F.col("n") > hot).alias("hot"))
-    again = cut.join(counts, "mini").select("rid", F.struct("mini", "start", "number", "pivot", "hot").alias("run"))
+        for s in range(0, max(len(data), 1), PART):
+            part, own = (data, offsets) if len(rid) > 1 else (data[s : s + PART + length - 1], np.array([0, min(len(data) - s, PART + length - 1)]))
+            mini, row, first, number, pivot = runs(part, own, length)
+            keep = fresh[row]
+            mini, row, first, number, pivot = (x[keep] for x in (mini, row, first, number, pivot))
+            begin = own[row] + first
+            content = range_hashes(part, begin, begin + number - 1 + length)
+            _, one, back, count = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
+            # strings that are the same in a batch repeat each other: they are settled here, and one of each goes on
+            again, lead = count[back] > 1, np.zeros(len(content), bool)
+            lead[one] = True
+            edge = np.flatnonzero(again & ~(np.concatenate(([False], again[:-1])) & np.concatenate(([False], begin[1:] == (begin + number)[:-1])) & np.concatenate(([False], row[1:] == row[:-1]))))
+            settled = np.add.reduceat(np.where(again, number, 0), edge) if len(edge) else edge
+            yield _cut_batch(mini[lead], rid[row[lead]], first[lead] + s, number[lead], (pivot - first)[lead], False)
+            yield _cut_batch(mini[edge], rid[row[edge]], first[edge] + s, settled, np.zeros(len(edge), np.int64), True)
+
+    cut = materialize(map_chunks(keyed.where(F.octet_length("text") >= length).select("rid", "text"), minimisers, "mini long, rid long, start int, number int, delta int, settled boolean"))
+    place = F.xxhash64("rid", "start")
+    counts = cut.where("NOT settled").groupBy("mini").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.count("*").alias("n")).where("low <> high").select("mini", (F.col("n") > hot).alias("hot"))
+    again = cut.where("NOT settled").join(counts, "mini").select("rid", F.struct("mini", "start", "number", "delta", "hot").alias("run"))
+    nothing = F.lit(None).cast(again.schema["run"].dataType)
+    again = again.union(cut.where("settled").select("rid", nothing.alias("run")).distinct())  # a text may have settled spans alone
     per_text = again.groupBy("rid").agg(F.collect_set("run").alias("runs")).join(classes.select("rid", "id"), "rid")
     texts = materialize(keyed.select("id", "rid", "text").join(per_text, ["id", "rid"]).dropDuplicates(["id", "rid"]))
 
@@ -222,7 +237,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200, hot: int = HOT) -> D
         for rid, body, own in zip(*(batch.column(i).to_pylist() for i in range(3))):
             body = body.encode()
             for r in own:
-                out.append((r["mini"], rid, r["start"], r["pivot"] - r["start"], body[r["start"] : r["start"] + r["number"] - 1 + length], r["hot"]))
+                out.append((r["mini"], rid, r["start"], r["delta"], body[r["start"] : r["start"] + r["number"] - 1 + length], r["hot"]))
             if len(out) > 20_000:
                 yield _strings_batch(out)
                 out = []
@@ -234,6 +249,8 @@ def repeated_substrings(docs: DataFrame, length: int = 200, hot: int = HOT) -> D
     found = cold.repartition("mini").sortWithinPartitions("mini").mapInArrow(_transform(length), "rid long, start long, number long")
     if not counts.where("hot").isEmpty():
         found = found.union(_by_counts(pieces.where("hot").select(names), length))
+    settled = cut.where("settled").select("rid", F.col("start").cast("long").alias("start"), F.col("number").cast("long").alias("number"))
+    found = found.union(settled.distinct())
     spans = materialize(found.groupBy("rid").agg(F.collect_list(F.struct("start", "number")).alias("found")))
 
     def cover(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -270,6 +287,11 @@ def repeated_substrings(docs: DataFrame, length: int = 200, hot: int = HOT) -> D
     )
 
 
+def _cut_batch(mini, rid, start, number, delta, settled: bool) -> pa.RecordBatch:
+    small = [pa.array(x.astype(np.int32)) for x in (start, number, delta)]
+    return pa.RecordBatch.from_arrays([pa.array(mini), pa.array(rid), *small, pa.array(np.full(len(mini), settled))], ["mini", "rid", "start", "number", "delta", "settled"])
+
+
 def _strings_batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) or [()] * 6
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]

@@ -32,7 +32,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write df to the shared folder and read it again: cuts lineage, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
