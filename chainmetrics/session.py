@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -41,3 +42,9 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(target)
         _shipped.add(context.applicationId)
     return spark
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder for a job's intermediate files: in the folder that the cluster shares, or a temporary one where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/job-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
