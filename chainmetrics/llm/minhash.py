@@ -118,7 +118,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     docs: doc_id, text; more columns are ignored. Texts are linked if their sets of shingle-word shingles have a
@@ -158,14 +158,16 @@ def connected_components_of(buckets: DataFrame, classes: DataFrame, docs: DataFr
     for turn in range(stars):
         inside = buckets.join(labels, "node")
         lead = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.col("l.node").alias("b"), F.col("l.comp").alias("lead_comp"))
-        star = inside.join(lead, "key").where("comp <> lead_comp").select(F.col("node").alias("a"), "b").distinct()
+        star = inside.join(lead, "key").where("comp <> lead_comp").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), F.col("lead_comp").alias("cb")).distinct()
         likely = star.join(side("a", near), "a").join(side("b", near), "b").where(like)
-        best = materialize(likely.groupBy("a").agg(F.max_by("b", F.struct(estimate("sa", "sb"), "b")).alias("b")))
+        # at first the likeliest leader of each node; then, of every two components, the likeliest pair between them
+        ends = [F.least("ca", "cb"), F.greatest("ca", "cb")] if turn else [F.col("a")]
+        best = materialize(likely.groupBy(*ends).agg(F.max(F.struct(estimate("sa", "sb"), "a", "b")).alias("p")).select("p.a", "p.b").distinct())
         if best.isEmpty():
             break
         links = materialize(confirm(best, texts, shingle, percent))
         labels = connected_components(labels, links)
-        if links.count() * 4 < best.count():  # few stars hold: what is left is not a large group of near copies
+        if links.count() * 20 < best.count():  # few hold: what is left apart stays apart, but for single texts
             break
     inside = materialize(buckets.join(labels, "node"))
     mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
