@@ -36,14 +36,16 @@ def byte_symbols() -> list[str]:
 
 
 class Merges:
-    """Merge ranks of a byte-level BPE file, as sorted pair keys."""
+    """Merge ranks of a byte-level BPE file, as sorted pair keys; with a suffix for word ends, if the file has one."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
         self.special = [t["content"] for t in spec["added_tokens"]]
+        suffix = spec["model"].get("end_of_word_suffix") or ""
         self.first = np.array([vocab[s] for s in byte_symbols()], np.int64)
+        self.last = np.array([vocab[s + suffix] for s in byte_symbols()], np.int64)
         pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
         keys = np.array([vocab[a] << 32 | vocab[b] for a, b in pairs], np.int64)
         order = np.argsort(keys)
@@ -56,12 +58,15 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
-    def merged_lengths(self, pieces: list[bytes]) -> np.ndarray:
-        """Tokens of each of the non-empty pieces."""
+    def merged(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of each of the non-empty pieces, and their ids end to end."""
         size = np.array([len(p) for p in pieces])
-        sym = self.first[np.frombuffer(b"".join(pieces), np.uint8)]
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        sym = self.first[raw]
+        ends = np.cumsum(size) - 1
+        sym[ends] = self.last[raw[ends]]
         row = np.repeat(np.arange(len(pieces)), size)
-        out = size.copy()
+        out, done = size.copy(), []
 
         def pair_ranks(i: np.ndarray) -> np.ndarray:
             """Rank of the pair from each index on; NONE at a row's end."""
@@ -80,6 +85,7 @@ class Merges:
             spread = np.repeat(lowest, length)
             live = spread < NONE
             if not live.all():
+                done.append((row[~live], sym[~live]))
                 sym, row, rank, spread = sym[live], row[live], rank[live], spread[live]
                 if not len(sym):
                     break
@@ -96,7 +102,8 @@ class Merges:
             at = moved[hit]
             again = np.union1d(at, at[at > 0] - 1)
             rank[again] = pair_ranks(again)
-        return out
+        rows, ids = (np.concatenate([d[i] for d in done]) for i in (0, 1))
+        return out, ids[np.argsort(rows, kind="stable")]
 
     def count(self, texts: list[str]) -> list[int]:
         parts = []
@@ -110,7 +117,7 @@ class Merges:
         new = list({t for _, own in parts for t in own}.difference(self.counts))
         for i in range(0, len(new), 20_000):
             some = new[i : i + 20_000]
-            self.counts.update(zip(some, self.merged_lengths([t.encode() for t in some]).tolist()))
+            self.counts.update(zip(some, self.merged([t.encode() for t in some])[0].tolist()))
         get = self.counts.__getitem__
         return [extra + sum(map(get, own)) for extra, own in parts]
 
