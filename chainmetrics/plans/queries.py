@@ -416,7 +416,7 @@ CENTS = "CAST(round(l_extendedprice * 100) AS BIGINT)"
 ZERO = f"'{hexnum.ZERO_ADDRESS}'"
 FROM_SQL = f"CASE WHEN l_linenumber = 1 THEN {ZERO} ELSE {ADDRESS.format('l_suppkey')} END"
 TO_SQL = f"CASE WHEN l_linenumber = 6 THEN {ZERO} ELSE {ADDRESS.format('l_partkey')} END"
-TYPE_SQL = "CASE WHEN l_linenumber = 1 THEN 'MINT' WHEN l_linenumber = 6 THEN 'BURN' ELSE 'TRANSFER' END"
+TYPE_SQL = "CASE WHEN l_linenumber = 1 OR l_suppkey = 0 THEN 'MINT' WHEN l_linenumber = 6 OR l_partkey = 0 THEN 'BURN' ELSE 'TRANSFER' END"
 TRANSFER_COLUMNS = ["transaction_hash", "log_index", "contract_address", "operator_address", "from_address", "to_address", "token_standard", "token_id", "value", "transfer_type", "erc1155_mode"]
 
 
@@ -664,7 +664,7 @@ def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     url = f"jdbc:derby:{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/db;create=true"
     rows = fx.ticks(spark, sf_dir).select("coin_id", "current_price", F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
-    sinks.jdbc_append(rows, url, "ticks")
+    sinks.jdbc_append(rows, url, "ticks", createTableColumnTypes="coin_id VARCHAR(32), day VARCHAR(10)")
     back = readers.jdbc_slice(spark, url, "SELECT \"coin_id\", \"current_price\" FROM ticks WHERE \"day\" = '2024-01-10'")
     return back.groupBy("coin_id").agg(F.count("*").alias("n"), F.round(F.sum("current_price"), 4).alias("price"))
 
