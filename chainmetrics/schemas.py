@@ -215,7 +215,7 @@ def _struct(fields: str, *more: str) -> str:
 
 
 #: One row a landed block number: its block and receipt responses.
-RAW = StructType.fromDDL(
+RAW = (
     "number long, "
     f"block {_struct(_HEX, 'blobVersionedHashes array<string>', 'transactions array<' + _struct(_RAW_TX, 'blobVersionedHashes array<string>') + '>', 'withdrawals array<' + _struct('index string, validatorIndex string, address string, amount string') + '>')}, "
     f"receipts array<{_struct(_RAW_RECEIPT, 'logs array<' + _struct(_RAW_LOG, 'topics array<string>') + '>')}>, "
