@@ -17,6 +17,7 @@ from chainmetrics.llm.minhash import near_duplicates
 from chainmetrics.llm.packing import pack
 from chainmetrics.llm.quality import fit_quality, scored
 from chainmetrics.llm.winnow import contamination
+from chainmetrics.session import ship
 
 QUALITY = 0.3
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +25,7 @@ TOKENIZER = "word_bpe_49k.json"
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores QUALITY or more; the model is fitted on the labels of sf_dir."""
+    ship(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).where(F.col("score") >= QUALITY).drop("score")
 
@@ -33,6 +35,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows that repeat a kept doc_id stay as one row for each text.
     """
+    ship(spark)
     found = near_duplicates(docs, shingle=5, percent=80)
     kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
     out = docs.join(kept, "doc_id").select(*docs.columns, "rows")
@@ -42,6 +45,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
+    ship(spark)
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hit = found.where(F.size("hits") > 0).select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti")
@@ -61,6 +65,7 @@ def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens, with their token ids."""
+    ship(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
