@@ -122,14 +122,20 @@ def find(docs: DataFrame, disclosure: float = 0.95, support: int = 3) -> DataFra
     together = near.select("tkey", "entity", F.explode(_terms(taken_out)).alias("term")).distinct()
     both = materialize(together.groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support))
     n_entity = once.select("tkey", F.explode(F.array_distinct(F.transform("base", lambda b: b["value"]))).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    # document counts of the candidate terms over the whole corpus; copies of a text are one
-    seen = rows.select(F.xxhash64("text").alias("tkey"), F.explode(_terms(F.col("text"))).alias("term")).join(both.select("term").distinct(), "term", "left_semi")
-    n_term = seen.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    total = rows.agg(F.count_distinct(F.xxhash64("text")).alias("total"))
-    measured = both.join(n_entity, "entity").join(n_term, "term").withColumn("one", F.lit(1)).join(F.broadcast(total.withColumn("one", F.lit(1))), "one")
-    pmi = F.log(F.col("total") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
+    total = rows.agg(F.count_distinct(F.xxhash64("text")).alias("total"), F.lit(1).alias("one"))
+    measured = both.join(n_entity, "entity").withColumn("one", F.lit(1)).join(F.broadcast(total), "one")  # one row
     content = F.log(F.col("total") / F.col("n_entity"))
-    telling = measured.where(content > 0).where(pmi >= disclosure * content).select("entity", "term")
+
+    def discloses(n_term: str) -> Column:
+        return (content > 0) & (F.log(F.col("total") * F.col("n_both") / (F.col(n_term) * F.col("n_entity"))) >= disclosure * content)
+
+    # a term's count in the texts with entities is a lower bound of its count in the corpus: pairs that fail by it fail
+    # by the whole count too, so that only telling terms are counted over the corpus
+    here = once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_here"))
+    likely = materialize(measured.join(here, "term").where(discloses("n_here")).select("entity", "term", "n_both", "n_entity", "total"))
+    seen = rows.select(F.xxhash64("text").alias("tkey"), F.explode(_terms(F.col("text"))).alias("term")).join(likely.select("term").distinct(), "term", "left_semi")
+    n_term = seen.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
+    telling = likely.join(n_term, "term").where(discloses("n_term")).select("entity", "term")
     of_text = once.select("tkey", F.explode(F.array_distinct(F.transform("base", lambda b: b["value"]))).alias("entity")).join(telling, "entity")
     of_text = of_text.groupBy("tkey").agg(F.sort_array(F.collect_set("term")).alias("terms"))
     flagged = hit.select("tkey", "text", "base").dropDuplicates(["tkey"]).join(of_text, "tkey")
