@@ -23,13 +23,15 @@ from .common import map_chunks, materialize, mix
 from .tokens import Merges
 
 DIMENSIONS, BITS, BUCKETS = 3, 10, 256
+#: The bucket that each 16-bit id is hashed to.
+BUCKET = (mix(np.arange(1 << 16, dtype=np.uint64)) >> np.uint64(56)).astype(np.uint8)
 PROJECTION = np.random.default_rng(11).normal(size=(BUCKETS, DIMENSIONS))
 #: Chunks of ASCII and accented Latin letters: composed already, and lower-cased one by one.
 PLAIN = re.compile("[\x00-\x7f\xc0-\u012f\u0131-\u017f]*")
 #: Pieces of such text in lower case, as the file's pre-tokenizer splits it.
 LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^\x20\x09-\x0d0-9a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 #: Chunks whose ids a worker keeps; beyond, it starts anew.
-KEPT = 400_000
+KEPT = 600_000
 
 
 class Ids:
@@ -112,7 +114,7 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert index of each document's hashed token counts, projected and scaled to 2 ** BITS steps a dimension."""
     vectors = np.zeros((len(ids), BUCKETS))
     for row, own in zip(vectors, ids):
-        row += np.bincount((mix(own.astype(np.uint64)) >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
+        row += np.bincount(BUCKET[own], minlength=BUCKETS)
     vectors = np.sqrt(vectors)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     flat = vectors @ PROJECTION / 3.0 + 0.5
