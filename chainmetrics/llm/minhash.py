@@ -30,6 +30,8 @@ ESTIMATE_SLACK = 0.12
 _rng = np.random.default_rng(7)
 MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
+#: Bits of the map of wanted ids (4 MB), and bytes of one of Spark's bitmap buckets.
+MAP_BITS, BUCKET_BYTES = 1 << 25, 4096
 #: Members that one leader's copy serves in a confirming task.
 FAN = 500
 
@@ -146,9 +148,7 @@ def connected_components_of(buckets: DataFrame, classes: DataFrame, docs: DataFr
     """node, comp for every node in a bucket with others."""
     open_nodes = materialize(buckets.select("node").distinct().join(classes, "node"))
     near = open_nodes.select("node", "n", "sig")
-    ids = open_nodes.select(F.col("rep").alias("rep_id")).distinct()
-    source = docs.select("doc_id", "text").join(ids, F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
-    texts = materialize(texts_of(source, shingle).join(open_nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    texts = materialize(texts_of(docs, open_nodes.select("rep"), shingle).join(open_nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     labels = open_nodes.select("node", F.col("node").alias("comp"))
     like = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb") >= percent / 100 - ESTIMATE_SLACK)
 
@@ -183,14 +183,28 @@ def _first_shared(key: Column) -> Column:
     return F.array_position(same, F.lit(True)) == F.array_position("bands_a", key)
 
 
-def texts_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """node, text of every text with shingles."""
+def texts_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """node, text of the texts with shingles whose doc_id is in wanted (rep), and of a few others.
+
+    What is wanted goes to the executors as a bitmap of hashed ids, of MAP_BITS bits whatever the number of ids, so that
+    the other texts are left out where they are read and not shuffled. Callers join the nodes that they want.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1  # noqa: E731  positions count from 1
+    parts = wanted.select(place("rep").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for part in parts:  # at most MAP_BITS / 8 bytes in all
+        at = (part["bucket"] - 1) * BUCKET_BYTES
+        bits[at : at + BUCKET_BYTES] = np.frombuffer(part["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def run(batch: pa.RecordBatch):
-        data, offsets = text_bytes(batch.column(1))
+        p = batch.column(0).to_numpy() - 1
+        rows = np.flatnonzero(shared.value[p // 8] >> (p % 8).astype(np.uint8) & 1)
+        own = batch.column(1).take(pa.array(rows))
+        data, offsets = text_bytes(own)
         sets = shingle_sets(data, offsets, shingle, SPACE_WORDS)
-        rows = np.flatnonzero([len(s) > 0 for s in sets])
-        node = [int.from_bytes(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest(), "little", signed=True) for i in rows]
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column(1).take(pa.array(rows))], ["node", "text"])
+        full = np.flatnonzero([len(s) > 0 for s in sets])
+        node = [int.from_bytes(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest(), "little", signed=True) for i in full]
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), own.take(pa.array(full, pa.int64()))], ["node", "text"])
 
-    return map_chunks(docs.select("doc_id", "text"), run, "node long, text string")
+    return map_chunks(docs.select(place("doc_id").alias("p"), "text"), run, "node long, text string")
