@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash.
 
-Every distinct shingle set gets PERMUTATIONS minima. Bands of ROWS minima make candidate buckets; the low
-BITS bits of all minima, packed in longs, give a collision-corrected similarity from bit counts, which
+Every distinct shingle set gets PERMUTATIONS minima. Bands of ROWS minima make candidate buckets; BITS bits of
+the mixed minima, packed in longs, give a collision-corrected similarity from bit counts, which
 drops hopeless candidates; what is left is confirmed on the full sets. A pair at similarity 0.8 shares no
 bucket with a chance below 1e-7, and is dropped by the estimate with a chance below 1e-5; both fall fast above.
 
@@ -55,8 +55,11 @@ def band_keys(low: np.ndarray) -> np.ndarray:
 
 
 def packed(low: np.ndarray) -> np.ndarray:
-    """The low bits of the minima, 64 // BITS to a long."""
-    lanes = (low & np.uint64((1 << BITS) - 1)).reshape(len(low), LONGS, 64 // BITS)
+    """BITS bits of each minimum, 64 // BITS to a long.
+
+    The minima are mixed first: as x * M + A with M odd their lowest bit is that of x + A, the same for all functions.
+    """
+    lanes = (mix(low) & np.uint64((1 << BITS) - 1)).reshape(len(low), LONGS, 64 // BITS)
     return (lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 

@@ -78,6 +78,18 @@ def test_estimates_are_near_the_truth():
     assert abs((1 - differing / minhash.PERMUTATIONS - 0.5) / 0.5 - 0.8) < 0.1
 
 
+def test_short_texts_at_the_threshold_are_linked(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(240):
+        less, more = ((7, 8), (11, 13), (15, 18))[i % 3]  # 4 of 5, 8 of 10 and 12 of 15 shingles of four words
+        text = [f"s{i}x{rng.randrange(10**6)}" for _ in range(more)]
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:less]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, shingle=4).collect())
+    assert got == brute_components(rows, 4) and all(d - d % 2 == c for d, _, c in got)
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(60))
     random.Random(2).shuffle(order)
