@@ -153,14 +153,14 @@ def _with_added(base: DataFrame, hit: DataFrame, added: DataFrame, kind: str) ->
 
 
 def sanitised(text: Column, spans: Column) -> Column:
-    """text with every span generalised to its kind, as <EMAIL>; of spans that overlap the first (then longest) stands."""
+    """text with every span generalised to its kind, as <EMAIL>; spans that overlap are one, named by the first (then longest)."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
     state = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
         fits = s["start"] >= acc["at"]
         between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        return F.struct(F.when(fits, -s["back"]).otherwise(acc["at"]).alias("at"), F.when(fits, F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"))
+        return F.struct(F.greatest(acc["at"], -s["back"]).alias("at"), F.when(fits, F.concat(acc["out"], between, F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(acc["out"]).alias("out"))
 
     rest = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, state, step, rest))

@@ -195,6 +195,16 @@ def test_personal_data_equals_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_spans_that_overlap_are_generalised_as_one(spark):
+    texts = ["at 10.0.0.18 4111 1111 1111 1111 end", "10.0.0.1 +1 234 567 8901", "+49 4111 1111 1111 1111!", "a@1.2.3.4 b"]
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), disclosure=9.0)
+    got = {r["doc_id"]: (r["t"], r["spans"]) for r in found.select("doc_id", "spans", pii.sanitised(F.col("text"), F.col("spans")).alias("t")).collect()}
+    assert got[0][0] == "at <IP> end" and {s["kind"] for s in got[0][1]} == {"ip", "card"}
+    for i, text in enumerate(texts):
+        inside = {p for s in got[i][1] for p in range(s["start"], s["end"])}
+        assert re.sub("<[A-Z]+>", "", got[i][0]) == "".join(c for p, c in enumerate(text) if p not in inside)
+
+
 def test_terms_that_disclose_are_generalised(spark):
     rows = [(i, f"report {i} of common matters\nwrite to jane.roe@example.org about zanzibar today") for i in range(4)]
     rows += [(100 + i, f"note {i}: today all is common, write about other matters") for i in range(40)] + [(200, "zanzibar"), (4, None)]
