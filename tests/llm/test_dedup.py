@@ -179,3 +179,47 @@ def test_passages_are_found_and_others_left_alone(spark):
         groups[(i // 3) % 4].add(got[i]["component_id"])
     assert all(len(g) == 1 for g in groups.values())
     assert compact.passages(df.limit(0)).count() == 0
+
+
+def brute_links(texts, words, k=5):
+    """For each text the number of others that have a passage of `words` words like one of its own."""
+    width = words - k + 1
+    windows = []
+    for t in texts:
+        w = word_list(t)
+        grams = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+        windows.append([frozenset(grams[i : i + width]) for i in range(len(grams) - width + 1)])
+    degree = [0] * len(texts)
+    for i, own in enumerate(windows):
+        for j in range(i):
+            # like windows have a common shingle of all: at most a fifth is alone
+            if any(5 * len(x & y) >= 4 * len(x | y) for x in own for y in windows[j] if not x.isdisjoint(y)):
+                degree[i] += 1
+                degree[j] += 1
+    return degree
+
+
+def test_passages_with_boilerplate_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(compact, "BLOCK", 16, raising=False)
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    licence, common = words(25), words(60)
+    texts = [words(rng.randint(20, 40)) + licence + words(rng.randint(20, 40)) for _ in range(40)]
+    for _ in range(20):  # half of what two texts share is what all have
+        own = words(25)
+        texts += [words(20) + own + licence + words(20) for _ in range(2)]
+    texts += [words(10) + common + words(10) for _ in range(40)]
+    texts = [" ".join(t) for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(500, texts[-1])], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in compact.passages(df).collect()}
+    want = brute_links(texts, 50)
+    assert want == [0] * 40 + [1] * 40 + [39] * 40
+    assert [got[i]["n_links"] for i in range(120)] == want[:80] + [40] * 40  # the copy counts
+    assert all((got[i]["n_repeated"] >= 50) == (i >= 40) for i in range(120))
+
+
+def test_passages_with_two_equally_common_shifts():
+    a, u = (np.arange(n, n + 30, dtype=np.uint64) for n in (0, 100))
+    left = np.concatenate((a, u))
+    right = np.concatenate((a, np.arange(1000, 1300, dtype=np.uint64), u))
+    assert compact.verified(left, right, (0, len(left)), 46, 80) == []
