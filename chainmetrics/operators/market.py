@@ -7,6 +7,9 @@ that a function names. Ties of event time within a coin are broken by nothing: g
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import deque
+from collections.abc import Iterator
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -214,48 +217,93 @@ def history_nearest(chart: DataFrame, ohlc: DataFrame, tolerance_ms: int = 30 *
 
     chart: coin_id, timestamp (ms), price, market_cap, volume; ohlc: coin_id, timestamp, open, high, low, close. Equal times
     match first; then OHLC rows, in order of time, take the nearest free point within the tolerance (of two equally
-    near the earlier). A matched row has the OHLC time, others keep their own.
+    near the earlier). A matched row has the OHLC time, others keep their own. Rows of one coin and time are rows of
+    their own, ordered by their values: the first of one side goes with the first of the other. A null time matches none.
+
+    A coin's rows are dealt out by stretches that gaps wider than the tolerance part, which no match can cross. A task
+    passes over a stretch in order of time and holds the rows of two tolerances, so that one without gaps fits as well.
     """
-    import numpy as np
-    import pandas as pd
-
-    columns = ["coin_id", "timestamp", "price", "market_cap", "volume", "open", "high", "low", "close"]
-
-    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left, right = (x.sort_values("timestamp").drop_duplicates("timestamp").reset_index(drop=True) for x in (left, right))
-        at, used = left["timestamp"].to_numpy(), np.zeros(len(left), bool)
-        mate = np.full(len(right), -1)
-        for turn in ("exact", "near"):
-            for i, t in enumerate(right["timestamp"]):
-                if mate[i] >= 0:
-                    continue
-                k = int(np.searchsorted(at, t))
-                if turn == "exact":
-                    if k < len(at) and at[k] == t:
-                        mate[i] = k
-                        used[k] = True
-                    continue
-                low, high = k - 1, k
-                while low >= 0 and used[low]:
-                    low -= 1
-                while high < len(at) and used[high]:
-                    high += 1
-                near = [j for j in (low, high) if 0 <= j < len(at) and abs(at[j] - t) <= tolerance_ms]
-                if near:
-                    mate[i] = min(near, key=lambda j: (abs(at[j] - t), j))
-                    used[mate[i]] = True
-        found = right.copy()
-        for c in ("price", "market_cap", "volume"):
-            values = left[c].to_numpy(float)
-            found[c] = [values[j] if j >= 0 else np.nan for j in mate]
-        rest = left[~used].copy()
-        for c in ("open", "high", "low", "close"):
-            rest[c] = np.nan
-        out = pd.concat([found[columns], rest[columns]], ignore_index=True)
-        return out.astype(object).where(out.notna(), None)
-
-    schema = "coin_id string, timestamp long, " + ", ".join(f"{c} double" for c in columns[2:])
-    return chart.groupBy("coin_id").cogroup(ohlc.groupBy("coin_id")).applyInPandas(match, schema)
+    points, bars = ["price", "market_cap", "volume"], ["open", "high", "low", "close"]
+    null = F.lit(None).cast("double")
+    side = lambda df, bar, own: df.select("coin_id", F.col("timestamp").cast("long").alias("timestamp"), F.lit(bar).alias("bar"), *((F.col(c).cast("double") if c in own else null).alias(c) for c in points + bars))
+    rows = side(chart, False, points).union(side(ohlc, True, bars)).withColumn("cell", F.expr(f"timestamp div {max(tolerance_ms, 1)}"))
+    # gaps are found between cells of a tolerance's length, of which a coin has few
+    cells = rows.groupBy("coin_id", "cell").agg(F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+    by_time = Window.partitionBy("coin_id").orderBy("cell")
+    starts = cells.withColumn("starts", F.coalesce(F.col("first") - F.lag("last").over(by_time) > tolerance_ms, F.lit(True)).cast("long"))
+    stretches = starts.select(F.col("coin_id").alias("coin"), F.col("cell").alias("at"), F.sum("starts").over(by_time).alias("stretch"))
+    dealt = rows.join(stretches, F.col("coin_id").eqNullSafe(F.col("coin")) & F.col("cell").eqNullSafe(F.col("at")))
+    order = ["coin_id", "stretch", "timestamp", "bar", *points, *bars]
+    dealt = dealt.select(*order).repartition("coin_id", "stretch").sortWithinPartitions(*order)
+    schema = "coin_id string, timestamp long, " + ", ".join(f"{c} double" for c in points + bars)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for found in nearest_rows((row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns))), tolerance_ms):
+            columns = list(zip(*found))
+            kinds = [pa.string(), pa.int64()] + [pa.float64()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split(" ")[0] for f in schema.split(", ")])
+
+    return dealt.mapInArrow(run, schema)
+
+
+def nearest_rows(rows: Iterator[tuple], tolerance_ms: int, size: int = 10_000) -> Iterator[list[tuple]]:
+    """Lists of history_nearest's rows. rows: coin_id, stretch, timestamp, bar, three point values, four bar values, sorted."""
+    no_point, no_bar = (None,) * 3, (None,) * 4
+    out: list[tuple] = []
+    # free: points by time that may still be taken, times beside them; waiting: bars that no point of their own time took
+    free: list[tuple] = []
+    times: list[int] = []
+    waiting: deque[tuple] = deque()
+    group, now, fresh = None, None, 0  # of the free points the last `fresh` are of the time now
+
+    def settle(before: int | None) -> None:
+        """Take points for the waiting bars whose reach ends before that time (None: for all)."""
+        while waiting and (before is None or waiting[0][1] + tolerance_ms < before):
+            coin, t, values = waiting.popleft()
+            k = bisect_left(times, t)
+            near = [j for j in (k - 1, k) if 0 <= j < len(times) and abs(times[j] - t) <= tolerance_ms]
+            if near:
+                # of points of one time the first
+                j = min(near, key=lambda j: (abs(times[j] - t), j))
+                j = bisect_left(times, times[j])
+                out.append((coin, t, *free[j][2], *values))
+                del times[j], free[j]
+            else:
+                out.append((coin, t, *no_point, *values))
+        # no bar to come or waiting reaches back further than this
+        least = None if before is None else (waiting[0][1] if waiting else before) - tolerance_ms
+        gone = len(times) if least is None else bisect_left(times, least)
+        out.extend((coin, t, *values, *no_bar) for coin, t, values in free[:gone])
+        del times[:gone], free[:gone]
+
+    for coin, stretch, t, bar, *values in rows:
+        if (coin, stretch) != group:
+            settle(None)
+            group, now = (coin, stretch), None
+        if t is None:
+            out.append((coin, None, *no_point, *values[3:]) if bar else (coin, None, *values[:3], *no_bar))
+            continue
+        if t != now:
+            settle(t)
+            now, fresh = t, 0
+            if len(out) >= size:
+                yield out
+                out = []
+        if not bar:
+            free.append((coin, t, tuple(values[:3])))
+            times.append(t)
+            fresh += 1
+        elif fresh:
+            out.append((coin, t, *free[-fresh][2], *values[3:]))
+            del times[len(times) - fresh], free[len(free) - fresh]
+            fresh -= 1
+        else:
+            waiting.append((coin, t, tuple(values[3:])))
+    settle(None)
+    if out:
+        yield out
 
 
 # universe

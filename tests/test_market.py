@@ -1,3 +1,4 @@
+import random
 from datetime import datetime
 
 import pytest
@@ -61,6 +62,42 @@ def test_nearest_history(spark):
     assert got == {0: (1.0, 1.0), 10: (None, 1.0), 40: (2.0, 1.0), 60: (None, 1.0), 120: (None, 1.0), 200: (3.0, None)}
 
 
+def brute_nearest(points, bars, tolerance):
+    out = []
+    for coin in {r[0] for r in points + bars}:
+        free, rest, mine = sorted(p for p in points if p[0] == coin), [], sorted(b for b in bars if b[0] == coin)
+        for b in mine:
+            same = [p for p in free if p[1] == b[1]]
+            if same:
+                free.remove(same[0])
+                out.append((*b[:2], *same[0][2:], *b[2:]))
+            else:
+                rest.append(b)
+        for b in rest:
+            near = [p for p in free if abs(p[1] - b[1]) <= tolerance]
+            best = min(near, key=lambda p: (abs(p[1] - b[1]), p), default=(None,) * 5)
+            if near:
+                free.remove(best)
+            out.append((*b[:2], *best[2:], *b[2:]))
+        out += [(*p, *(None,) * 4) for p in free]
+    return sorted(out, key=str)
+
+
+def test_nearest_history_of_long_and_repeated_times_equals_brute_force(spark):
+    rng, span = random.Random(9), {"dense": 400, "gaps": 40_000, "midnight": 3000}
+    points = [(c, rng.randrange(n), float(i), 1.0, 2.0) for c, n in span.items() for i in range(250)]
+    bars = [(c, rng.randrange(n), float(i), 1.0, 2.0, 3.0) for c, n in span.items() for i in range(250)]
+    day = 86_400_000
+    points, bars = points + [("b", day - 9, 1.0, 1.0, 1.0)] * 2, bars + [("b", day + 9, 1.0, 1.0, 1.0, 1.0)] * 3
+    chart = spark.createDataFrame([*points, ("b", None, 7.0, 7.0, 7.0)], "coin_id string, timestamp long, price double, market_cap double, volume double").repartition(3)
+    ohlc = spark.createDataFrame(bars, "coin_id string, timestamp long, open double, high double, low double, close double").repartition(3)
+    found = market.history_nearest(chart, ohlc, 25)
+    got = [tuple(r) for r in found.collect()]
+    assert sorted((r for r in got if r[1] is not None), key=str) == brute_nearest(points, bars, 25)
+    assert [r for r in got if r[1] is None] == [("b", None, 7.0, 7.0, 7.0, None, None, None, None)]
+    assert sum(r[1] == day + 9 and r[2] == 1.0 for r in got) == 2
+
+
 def test_universe_keeps_the_native_coin(spark):
     markets = spark.createDataFrame([("ethereum", 5.0), ("tether", 4.0), ("bitcoin", 9.0), ("late", 1.0)], "id string, market_cap double")
     listing = spark.createDataFrame([("ethereum", {}), ("tether", {"ethereum": "0xdac"}), ("bitcoin", None), ("late", {"ethereum": "0x1"})], "id string, platforms map<string,string>")
