@@ -3,8 +3,9 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers. Texts are then treated as in information-theoretic
 sanitisation: a found value e is a protected entity, and a term t of its contexts (the line around it) discloses
 PMI(t; e) = log(N n(t, e) / (n(t) n(e))) of its information IC(e) = log(N / n(e)), counts being of distinct texts of
-the whole corpus. A term that discloses at least `disclosure` of IC(e), in at least `support` distinct texts, is a
-further span where it occurs in texts with e, and is generalised with the patterns' spans.
+the whole corpus. A term that discloses at least `disclosure` of IC(e) is a further span where it occurs in texts with
+e, and is generalised with the patterns' spans. Every entity counts, also one of a single text. `support` asks for that
+many distinct texts with both. Terms are of three characters or more, or of any length in scripts without spaces.
 
 Positions come from marks: every match is put between two marks, the text is split there, and lengths are summed.
 A mark is a private-use character, which the text's own of that kind cannot be mistaken for (they are exchanged first).
@@ -28,7 +29,10 @@ PATTERNS = {
 }
 #: What a row must hold for a pattern to be tried.
 HINTS = {"email": "@", "ip": None, "card": None, "phone": "+"}
-TERM = r"[\p{L}\p{N}_'-]{4,}"
+CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
+TERM = rf"[\p{{L}}\p{{N}}_'-]{{3,}}|(?<![\p{{L}}\p{{N}}_'-])[{CJK}]{{1,2}}(?![\p{{L}}\p{{N}}_'-])"
+#: Bits of the map of terms that are counted over the corpus (4 MB).
+MAP_BITS = 1 << 25
 MARK, OTHER = "\ue000", "\ue001"
 
 
@@ -103,7 +107,7 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)))
 
 
-def find(docs: DataFrame, disclosure: float = 0.95, support: int = 3) -> DataFrame:
+def find(docs: DataFrame, disclosure: float = 0.95, support: int = 1) -> DataFrame:
     """doc_id, text (null: empty), spans: one row for each row of docs; spans by kind as listed ("term" last), then start.
 
     docs: doc_id, text; more columns are ignored. Repeated rows get the same spans. Copies of a text count once in the
@@ -133,7 +137,9 @@ def find(docs: DataFrame, disclosure: float = 0.95, support: int = 3) -> DataFra
     # by the whole count too, so that only telling terms are counted over the corpus
     here = once.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n_here"))
     likely = materialize(measured.join(here, "term").where(discloses("n_here")).select("entity", "term", "n_both", "n_entity", "total"))
-    seen = rows.select(F.xxhash64("text").alias("tkey"), F.explode(_terms(F.col("text"))).alias("term")).join(likely.select("term").distinct(), "term", "left_semi")
+    wanted = likely.select("term").distinct()
+    seen = rows.select(F.xxhash64("text").alias("tkey"), F.explode(_terms(F.col("text"))).alias("term"))
+    seen = _in_bitmap(seen, wanted).join(wanted, "term")  # a semi join would be pushed below the bitmap's
     n_term = seen.distinct().groupBy("term").agg(F.count("*").alias("n_term"))
     telling = likely.join(n_term, "term").where(discloses("n_term")).select("entity", "term")
     of_text = once.select("tkey", F.explode(F.array_distinct(F.transform("base", lambda b: b["value"]))).alias("entity")).join(telling, "entity")
@@ -146,6 +152,15 @@ def find(docs: DataFrame, disclosure: float = 0.95, support: int = 3) -> DataFra
     return _with_added(base, hit, added, kind)
 
 
+def _in_bitmap(seen: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of seen (tkey, term) whose term may be in wanted, by a bitmap of MAP_BITS hashed terms that is broadcast whatever their number."""
+    place = F.pmod(F.xxhash64("term"), F.lit(MAP_BITS)) + 1  # positions count from 1
+    bits = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    placed = seen.withColumn("p", place).select("tkey", "term", F.bitmap_bucket_number("p").alias("bucket"), F.bitmap_bit_position("p").cast("int").alias("bit"))
+    byte = "cast(conv(hex(substring(bits, cast(bit div 8 AS int) + 1, 1)), 16, 10) AS int)"
+    return placed.join(F.broadcast(bits), "bucket").where(F.expr(f"shiftright({byte}, bit % 8) & 1 = 1")).select("tkey", "term")
+
+
 def _with_added(base: DataFrame, hit: DataFrame, added: DataFrame, kind: str) -> DataFrame:
     none = F.array().cast(SPANS)
     with_hits = hit.join(added, "tkey", "left").select("doc_id", "text", F.concat("base", F.coalesce("added", none)).alias("spans"))

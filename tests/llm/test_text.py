@@ -205,6 +205,17 @@ def test_spans_that_overlap_are_generalised_as_one(spark):
         assert re.sub("<[A-Z]+>", "", got[i][0]) == "".join(c for p, c in enumerate(text) if p not in inside)
 
 
+def test_terms_of_rare_entities_disclose(spark):
+    one = "note of Kim for kim@example.org about rain\n金 4111 1111 1111 1111 common"
+    rows = [(1, one)] * 5 + [(2, "Ann wrote from 10.1.2.3 today"), (3, "more by Ann, 10.1.2.3 and rain")]
+    rows += [(10 + i, f"note {i} of what was wrote for all about and from rain, today more by common") for i in range(60)]
+    found = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", pii.sanitised(F.col("text"), F.col("spans")).alias("t"))
+    got = {r["doc_id"]: r["t"] for r in found.collect()}
+    assert got[1] == "note of <TERM> for <EMAIL> about rain\n<TERM> <CARD> common"
+    assert got[2] == "<TERM> wrote from <IP> today" and got[3] == "more by <TERM>, <IP> and rain"
+    assert all(got[d] == t for d, t in rows if d >= 10)
+
+
 def test_terms_that_disclose_are_generalised(spark):
     rows = [(i, f"report {i} of common matters\nwrite to jane.roe@example.org about zanzibar today") for i in range(4)]
     rows += [(100 + i, f"note {i}: today all is common, write about other matters") for i in range(40)] + [(200, "zanzibar"), (4, None)]
