@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_chunks, materialize, mix, powers, text_bytes
+from .common import CHUNK_BYTES, map_chunks, materialize, mix, text_bytes
 
 GRAM = 40
 #: Strings of one minimiser that meet in a task; a minimiser with more is settled by counts of whole substrings.
@@ -31,6 +31,24 @@ BLOCK = 4_000
 STRINGS = "mini long, rid long, start long, pivot int, text binary"
 
 
+BASE = 0x9E3779B97F4A7C15 | 1
+BASE_INV = pow(BASE, -1, 1 << 64)
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE ** i and BASE ** -i modulo 2 ** 64 for i up to n."""
+    size = max(CHUNK_BYTES, n) + 1
+    if size not in _powers:
+        up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INV, np.uint64)
+        up[0] = down[0] = 1
+        got = (np.multiply.accumulate(up), np.multiply.accumulate(down))
+        if size > CHUNK_BYTES + 1:
+            return got
+        _powers[size] = got
+    return _powers[size]
+
+
 def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     """Hash of the width bytes from each position on, for all positions that have as many."""
     h = data.astype(np.uint64) + np.uint64(1)

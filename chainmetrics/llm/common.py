@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Most bytes of text that one numpy pass holds (a single longer text is its own pass).
 CHUNK_BYTES = 1 << 20
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
-BASE = 0x9E3779B97F4A7C15 | 1
-BASE_INV = pow(BASE, -1, 1 << 64)
+#: Bits of a map of hashed values (4 MB), and bytes of one of Spark's bitmap buckets.
+MAP_BITS, BUCKET_BYTES = 1 << 25, 4096
+#: Words of up to so many bytes are hashed eight bytes at a time in numpy, longer ones by blake2b.
+WORD_BYTES = 64
 
 
 @lru_cache(maxsize=1)
@@ -85,22 +90,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and BASE ** -i modulo 2 ** 64 for i up to n."""
-    size = max(CHUNK_BYTES, n) + 1
-    if size not in _powers:
-        up, down = np.full(size, BASE, np.uint64), np.full(size, BASE_INV, np.uint64)
-        up[0] = down[0] = 1
-        got = (np.multiply.accumulate(up), np.multiply.accumulate(down))
-        if size > CHUNK_BYTES + 1:
-            return got
-        _powers[size] = got
-    return _powers[size]
-
-
 def byte_set(*ranges: tuple[int, int]) -> np.ndarray:
     lut = np.zeros(256, bool)
     for a, b in ranges:
@@ -132,10 +121,28 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> t
     after[edge[1:]] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = powers(n)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], dtype=np.uint64)))
-    h = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return h, starts, ends, np.searchsorted(starts, offsets)
+    return _spans_hashed(low, starts, ends), starts, ends, np.searchsorted(starts, offsets)
+
+
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
+
+
+def _spans_hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each span's bytes: blocks of eight bytes through a mix that is not linear, the length with them."""
+    eights = np.lib.stride_tricks.sliding_window_view(np.concatenate((data, np.zeros(8, np.uint8))), 8)
+    length = ends - starts
+    h = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    rows = np.arange(len(starts))
+    for at in range(0, WORD_BYTES, 8):
+        if at:
+            rows = rows[length[rows] > at]
+        if not len(rows):
+            break
+        block = eights[starts[rows] + at].view(np.uint64)[:, 0] & _KEEP[np.minimum(length[rows] - at, 8)]
+        h[rows] = mix((h[rows] ^ block) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(at + 1))
+    for i in np.flatnonzero(length > WORD_BYTES):
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
@@ -169,3 +176,32 @@ def list_array(values: np.ndarray, width: int, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from a matrix with width columns."""
     rows = len(values) // width if values.ndim == 1 else len(values)
     return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * width), pa.array(values.reshape(-1), kind))
+
+
+def digests(parts: Iterable[np.ndarray]) -> list[bytes]:
+    """128 bits that tell arrays apart."""
+    return [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in parts]
+
+
+def map_place(value: Column) -> Column:
+    """The place of a value in a map of MAP_BITS bits; positions count from 1."""
+    return F.pmod(F.xxhash64(value), F.lit(MAP_BITS)) + 1
+
+
+def hashed_map(values: DataFrame) -> Broadcast:
+    """A bit for each hashed value of the one column of values, on all executors: MAP_BITS bits whatever their number.
+
+    It only leaves out rows early; who uses it joins the values themselves afterwards.
+    """
+    place = values.select(map_place(F.col(values.columns[0])).alias("p"))
+    parts = place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    bits = np.zeros(MAP_BITS // 8, np.uint8)
+    for part in parts:  # at most MAP_BITS / 8 bytes in all
+        at = (part["bucket"] - 1) * BUCKET_BYTES
+        bits[at : at + BUCKET_BYTES] = np.frombuffer(part["bits"], np.uint8)
+    return values.sparkSession.sparkContext.broadcast(bits)
+
+
+def in_map(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    p = place - 1
+    return (bits[p // 8] >> (p % 8).astype(np.uint8) & 1).astype(bool)

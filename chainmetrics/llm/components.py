@@ -9,7 +9,7 @@ from .common import materialize
 
 
 def connected_components(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """labels (node long, comp long), one row a node; edges (a long, b long) between nodes.
+    """labels (node, comp), one row a node, of a type that has an order; edges (a, b) between nodes.
 
     Returns labels in which comps that edges join have become one, named by the smallest comp in it.
     Each round hangs every comp on its smallest neighbour and follows the pointers twice; the graph of

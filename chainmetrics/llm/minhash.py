@@ -6,20 +6,19 @@ drops hopeless candidates; what is left is confirmed on the full sets. A pair at
 bucket with a chance below 1e-7, and is dropped by the estimate with a chance below 1e-5; both fall fast above.
 
 Equal sets are one class from the start, so copies never meet. Within a bucket, pairs are not expanded:
-rounds of stars (every member against one leader a bucket) merge what they confirm, and only members that
-are then still in different components are compared with each other.
+rounds of stars (each component's likeliest member against one leader) merge what they confirm. Members that
+are then still in different components are compared with each other if the shingles that they share with other
+components at all are enough for a link.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, list_array, map_chunks, materialize, mix, shingle_sets, text_bytes
+from .common import SPACE_WORDS, digests, hashed_map, in_map, list_array, map_chunks, map_place, materialize, mix, shingle_sets, text_bytes
 from .components import connected_components
 
 #: Minima of which low bits are kept; the first of them also make the bands. One bit each says most for its size.
@@ -30,8 +29,6 @@ ESTIMATE_SLACK = 0.12
 _rng = np.random.default_rng(7)
 MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
-#: Bits of the map of wanted ids (4 MB), and bytes of one of Spark's bitmap buckets.
-MAP_BITS, BUCKET_BYTES = 1 << 25, 4096
 #: Members that one leader's copy serves in a confirming task.
 FAN = 500
 
@@ -73,15 +70,14 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
         full = np.flatnonzero([len(s) > 0 for s in sets])
         for rows in (full[i : i + 4096] for i in range(0, len(full), 4096)):
             own = [sets[i] for i in rows]
-            node = pa.array([int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) for s in own], pa.int64())
+            node = pa.array(digests(own), pa.binary())
             low = minima(own)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array([len(s) for s in own], pa.int64()), node, list_array(band_keys(low), BANDS, pa.int64()), list_array(packed(low), LONGS, pa.int64())], ["doc_id", "n_shingles", "node", "bands", "sig"])
         bare = np.flatnonzero([len(s) == 0 for s in sets])
         if len(bare):
-            none = pa.nulls(len(bare), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bare)), pa.array(np.zeros(len(bare), np.int64)), none, pa.nulls(len(bare), pa.list_(pa.int64())), pa.nulls(len(bare), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bare)), pa.array(np.zeros(len(bare), np.int64)), pa.nulls(len(bare), pa.binary()), pa.nulls(len(bare), pa.list_(pa.int64())), pa.nulls(len(bare), pa.list_(pa.int64()))], ["doc_id", "n_shingles", "node", "bands", "sig"])
 
-    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, node long, bands array<long>, sig array<long>")
+    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, node binary, bands array<long>, sig array<long>")
 
 
 def estimate(a: str, b: str) -> Column:
@@ -118,25 +114,25 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
                         both = len(np.intersect1d(own, s, assume_unique=True))
                         if 100 * both >= percent * (len(own) + len(s) - both):
                             kept.append((a, b))
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.int64()), pa.array([x[1] for x in kept], pa.int64())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in kept], pa.binary()), pa.array([x[1] for x in kept], pa.binary())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 5) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs.
 
     docs: doc_id, text; more columns are ignored. Texts are linked if their sets of shingle-word shingles have a
     Jaccard similarity of percent / 100 or more; component_id is the smallest doc_id that links reach, kept is
     doc_id = component_id. A null, empty or wordless text has no shingles and is its own component. Repeated
     doc_ids give a row each; a null doc_id keeps null unless it is linked with others, and is never kept.
-    stars: most rounds of leaders before all pairs across components of a bucket are compared.
+    stars: rounds of leaders before the likely pairs across components of a bucket are compared.
     """
     all_rows = materialize(signatures(docs, shingle))
     some = all_rows.where("node IS NOT NULL")
     classes = materialize(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
     spread = classes.select("node", F.explode("bands").alias("key"))
-    full = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    full = spread.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     buckets = materialize(spread.join(full, "key"))
     labels = connected_components_of(buckets, classes, docs, shingle, percent, stars)
     named = classes.join(labels, "node", "left").select("node", "rep", F.coalesce("comp", "node").alias("comp"))
@@ -148,38 +144,71 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, stars:
 
 
 def connected_components_of(buckets: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, stars: int) -> DataFrame:
-    """node, comp for every node in a bucket with others."""
-    open_nodes = materialize(buckets.select("node").distinct().join(classes, "node"))
+    """node, comp for every node in a bucket with others. buckets: key, node, size (of the bucket)."""
+    score = buckets.groupBy("node").agg(F.sum("size").alias("score"))
+    open_nodes = materialize(score.join(classes, "node"))
     near = open_nodes.select("node", "n", "sig")
     texts = materialize(texts_of(docs, open_nodes.select("rep"), shingle).join(open_nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
     labels = open_nodes.select("node", F.col("node").alias("comp"))
     like = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb") >= percent / 100 - ESTIMATE_SLACK)
 
-    def side(k: str, df: DataFrame, *more: str) -> DataFrame:
-        return df.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), *(F.col(c).alias(f"{c}_{k}") for c in more))
+    def side(k: str) -> DataFrame:
+        return near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
 
     for turn in range(stars):
-        inside = buckets.join(labels, "node")
-        lead = inside.groupBy("key").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.col("l.node").alias("b"), F.col("l.comp").alias("lead_comp"))
-        star = inside.join(lead, "key").where("comp <> lead_comp").select(F.col("node").alias("a"), "b", F.col("comp").alias("ca"), F.col("lead_comp").alias("cb")).distinct()
-        likely = star.join(side("a", near), "a").join(side("b", near), "b").where(like)
-        # at first the likeliest leader of each node; then, of every two components, the likeliest pair between them
-        ends = [F.least("ca", "cb"), F.greatest("ca", "cb")] if turn else [F.col("a")]
-        best = materialize(likely.groupBy(*ends).agg(F.max(F.struct(estimate("sa", "sb"), "a", "b")).alias("p")).select("p.a", "p.b").distinct())
+        # the first leader of a bucket is the node with most neighbours, which is near the middle of its group
+        order = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        inside = buckets.join(labels, "node").join(open_nodes.select("node", "score"), "node").withColumn("order", order)
+        lead = inside.groupBy("key").agg(F.max(F.struct("order", "node", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.col("l.node").alias("b"), F.col("l.comp").alias("cb"))
+        star = inside.join(lead, "key").where("comp <> cb").groupBy(F.col("node").alias("a"), "b", F.col("comp").alias("ca")).agg(F.count("*").alias("shared"))
+        # one pair for each component: of its members the one that shares most buckets with a leader
+        pairs = star.groupBy("ca").agg(F.max(F.struct("shared", F.xxhash64("a", "b"), "a", "b")).alias("p")).select("p.a", "p.b")
+        best = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b"))
         if best.isEmpty():
-            break
-        links = materialize(confirm(best, texts, shingle, percent))
-        labels = connected_components(labels, links)
-        if links.count() * 20 < best.count():  # few hold: what is left apart stays apart, but for single texts
-            break
-    inside = materialize(buckets.join(labels, "node"))
-    mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    inside = inside.join(mixed, "key").join(open_nodes, "node")
-    left, right = (inside.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("bands").alias(f"bands_{k}")) for k in "ab")
-    rest = materialize(left.join(right, (left["key"] == right["key"]) & F.expr("a > b AND ca <> cb") & like & _first_shared(left["key"])).select("a", "b"))
+            continue
+        labels = connected_components(labels, materialize(confirm(best, texts, shingle, percent)))
+    rest = materialize(_across(buckets, labels, open_nodes, texts, like, shingle, percent))
     return labels if rest.isEmpty() else connected_components(labels, confirm(rest, texts, shingle, percent))
 
 
+def _across(buckets: DataFrame, labels: DataFrame, open_nodes: DataFrame, texts: DataFrame, like: Column, shingle: int, percent: int) -> DataFrame:
+    """a, b of all likely pairs of a bucket whose components differ.
+
+    A node alone in its component can only be linked across components by shingles that some other component has too;
+    so many of them bound its similarity to any text. Nodes whose bound is under percent meet nobody, which is what
+    variants of a common text come to whose own words set them apart; the rest meet where their bounds allow it.
+    """
+    inside = buckets.join(labels, "node")
+    mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    inside = materialize(inside.join(mixed, "key").select("key", "node", "comp"))
+    alone = labels.groupBy("comp").agg(F.count("*").alias("members")).where("members = 1").select("comp")
+    members = inside.select("node", "comp").distinct().join(alone.withColumn("alone", F.lit(True)), "comp", "left").select("node", "comp", F.coalesce("alone", F.lit(False)).alias("alone"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(batch.column(2))
+        sets = shingle_sets(data, offsets, shingle, SPACE_WORDS)
+        names, comp = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
+        pair = np.empty(sum(map(len, sets)), np.dtype([("comp", np.int64), ("shingle", np.uint64)]))
+        pair["comp"], pair["shingle"] = np.repeat(comp, [len(s) for s in sets]), np.concatenate([np.empty(0, np.uint64), *sets])
+        pair = np.unique(pair)
+        own = pa.array(names.tolist(), pa.binary()).take(pa.array(pair["comp"]))
+        single = np.zeros(len(names), bool)
+        single[comp] = batch.column(1).to_numpy(zero_copy_only=False)
+        return pa.RecordBatch.from_arrays([own, pa.array(single[pair["comp"]]), pa.array(pair["shingle"].view(np.int64).copy())], ["comp", "alone", "shingle"])
+
+    shingles = materialize(map_chunks(members.join(texts, "node").select("comp", "alone", "text"), run, "comp binary, alone boolean, shingle long"))
+    shared = shingles.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
+    known = shingles.where("alone").join(shared, "shingle").groupBy("comp").agg(F.count("*").alias("bound"))
+    sized = members.join(open_nodes.select("node", "n", "sig", "bands"), "node").join(known, "comp", "left")
+    sized = sized.withColumn("bound", F.when(F.col("alone"), F.coalesce("bound", F.lit(0))).otherwise(F.col("n"))).where(f"100 * bound >= {percent} * n")
+    full = inside.select("key", "node").join(sized, "node")
+    mixed = full.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    full = full.join(mixed, "key")
+    left, right = (full.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("bound").alias(f"most{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("bands").alias(f"bands_{k}")) for k in "ab")
+    bound = F.expr(f"100 * least(mosta, mostb) >= {percent} * (na + nb - least(mosta, mostb))")
+    return left.join(right, (left["key"] == right["key"]) & F.expr("a > b AND ca <> cb") & bound & like & _first_shared(left["key"])).select("a", "b")
+
+
 def _first_shared(key: Column) -> Column:
     """Whether key is the first band that both sides have; a pair meets in each bucket that it shares."""
     same = F.zip_with("bands_a", "bands_b", lambda x, y: x == y)
@@ -189,25 +218,16 @@ def _first_shared(key: Column) -> Column:
 def texts_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     """node, text of the texts with shingles whose doc_id is in wanted (rep), and of a few others.
 
-    What is wanted goes to the executors as a bitmap of hashed ids, of MAP_BITS bits whatever the number of ids, so that
-    the other texts are left out where they are read and not shuffled. Callers join the nodes that they want.
+    Texts are left out where they are read, by a map of the wanted ids. Callers join the nodes that they want.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS)) + 1  # noqa: E731  positions count from 1
-    parts = wanted.select(place("rep").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
-    bits = np.zeros(MAP_BITS // 8, np.uint8)
-    for part in parts:  # at most MAP_BITS / 8 bytes in all
-        at = (part["bucket"] - 1) * BUCKET_BYTES
-        bits[at : at + BUCKET_BYTES] = np.frombuffer(part["bits"], np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+    shared = hashed_map(wanted)
 
     def run(batch: pa.RecordBatch):
-        p = batch.column(0).to_numpy() - 1
-        rows = np.flatnonzero(shared.value[p // 8] >> (p % 8).astype(np.uint8) & 1)
+        rows = np.flatnonzero(in_map(shared.value, batch.column(0).to_numpy()))
         own = batch.column(1).take(pa.array(rows))
         data, offsets = text_bytes(own)
         sets = shingle_sets(data, offsets, shingle, SPACE_WORDS)
         full = np.flatnonzero([len(s) > 0 for s in sets])
-        node = [int.from_bytes(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest(), "little", signed=True) for i in full]
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), own.take(pa.array(full, pa.int64()))], ["node", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(digests(sets[i] for i in full), pa.binary()), own.take(pa.array(full, pa.int64()))], ["node", "text"])
 
-    return map_chunks(docs.select(place("doc_id").alias("p"), "text"), run, "node long, text string")
+    return map_chunks(docs.select(map_place(F.col("doc_id")).alias("p"), "text"), run, "node binary, text string")
