@@ -188,18 +188,17 @@ def map_place(value: Column) -> Column:
     return F.pmod(F.xxhash64(value), F.lit(MAP_BITS)) + 1
 
 
-def hashed_map(values: DataFrame) -> Broadcast:
-    """A bit for each hashed value of the one column of values, on all executors: MAP_BITS bits whatever their number.
+def hashed_map(places: DataFrame) -> Broadcast:
+    """A bit for each place in the one column of places, on all executors: MAP_BITS bits whatever their number.
 
     It only leaves out rows early; who uses it joins the values themselves afterwards.
     """
-    place = values.select(map_place(F.col(values.columns[0])).alias("p"))
-    parts = place.groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    parts = places.toDF("p").groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
     bits = np.zeros(MAP_BITS // 8, np.uint8)
     for part in parts:  # at most MAP_BITS / 8 bytes in all
         at = (part["bucket"] - 1) * BUCKET_BYTES
         bits[at : at + BUCKET_BYTES] = np.frombuffer(part["bits"], np.uint8)
-    return values.sparkSession.sparkContext.broadcast(bits)
+    return places.sparkSession.sparkContext.broadcast(bits)
 
 
 def in_map(bits: np.ndarray, place: np.ndarray) -> np.ndarray:

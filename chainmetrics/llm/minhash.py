@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, digests, hashed_map, in_map, list_array, map_chunks, map_place, materialize, mix, shingle_sets, text_bytes
+from .common import SPACE_WORDS, digests, hashed_map, in_map, list_array, map_chunks, map_place, materialize, mix, row_slices, shingle_sets, text_bytes
 from .components import connected_components
 
 #: Minima of which low bits are kept; the first of them also make the bands. One bit each says most for its size.
@@ -29,8 +29,14 @@ ESTIMATE_SLACK = 0.12
 _rng = np.random.default_rng(7)
 MULTIPLIERS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 ADDENDS = _rng.integers(0, 1 << 63, PERMUTATIONS, dtype=np.uint64)
+#: Longs of parity bits, which rule out pairs exactly.
+ODD_LONGS = 32
 #: Members that one leader's copy serves in a confirming task.
 FAN = 500
+#: Nodes of a bucket that meet each other without a bound of what they can share.
+CROWD = 500
+#: Nodes of a component whose shingles one task gathers.
+CLASS = 1000
 
 
 def minima(sets: list[np.ndarray]) -> np.ndarray:
@@ -60,6 +66,12 @@ def packed(low: np.ndarray) -> np.ndarray:
     return (lanes << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Bits of which each shingle turns one: two sets' bits differ in no more places than the sets differ in shingles."""
+    places = (mix(shingles + np.uint64(1)) & np.uint64(ODD_LONGS * 64 - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=ODD_LONGS * 64) & 1).astype(bool)).view(np.int64)
+
+
 def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, node (of the class of equal sets; null if empty), bands, sig."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -147,13 +159,15 @@ def connected_components_of(buckets: DataFrame, classes: DataFrame, docs: DataFr
     """node, comp for every node in a bucket with others. buckets: key, node, size (of the bucket)."""
     score = buckets.groupBy("node").agg(F.sum("size").alias("score"))
     open_nodes = materialize(score.join(classes, "node"))
-    near = open_nodes.select("node", "n", "sig")
     texts = materialize(texts_of(docs, open_nodes.select("rep"), shingle).join(open_nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
+    near = open_nodes.select("node", "n", "sig").join(texts.select("node", "odd"), "node")
     labels = open_nodes.select("node", F.col("node").alias("comp"))
     like = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)") & (estimate("sa", "sb") >= percent / 100 - ESTIMATE_SLACK)
+    # sets that are alike differ in (1 - s) / (1 + s) of their sizes at most, and the bits of parity in no more places
+    like &= F.expr(f"{100 + percent} * ({' + '.join(f'bit_count(oa[{i}] ^ ob[{i}])' for i in range(ODD_LONGS))}) <= {100 - percent} * (na + nb)")
 
     def side(k: str) -> DataFrame:
-        return near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"))
+        return near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("odd").alias(f"o{k}"))
 
     for turn in range(stars):
         # the first leader of a bucket is the node with most neighbours, which is near the middle of its group
@@ -174,39 +188,43 @@ def connected_components_of(buckets: DataFrame, classes: DataFrame, docs: DataFr
 def _across(buckets: DataFrame, labels: DataFrame, open_nodes: DataFrame, texts: DataFrame, like: Column, shingle: int, percent: int) -> DataFrame:
     """a, b of all likely pairs of a bucket whose components differ.
 
-    A node alone in its component can only be linked across components by shingles that some other component has too;
-    so many of them bound its similarity to any text. Nodes whose bound is under percent meet nobody, which is what
-    variants of a common text come to whose own words set them apart; the rest meet where their bounds allow it.
+    In a bucket of more than CROWD nodes only those meet that can be linked at all: a node alone in its component can be
+    linked only by shingles that some other component has too, and so many of them bound its similarity to any text.
+    Variants of a common text that their own words set apart fall out there without meeting each other.
     """
     inside = buckets.join(labels, "node")
-    mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    inside = materialize(inside.join(mixed, "key").select("key", "node", "comp"))
-    alone = labels.groupBy("comp").agg(F.count("*").alias("members")).where("members = 1").select("comp")
-    members = inside.select("node", "comp").distinct().join(alone.withColumn("alone", F.lit(True)), "comp", "left").select("node", "comp", F.coalesce("alone", F.lit(False)).alias("alone"))
+    mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", (F.col("n") > CROWD).alias("crowded"))
+    inside = materialize(inside.join(mixed, "key").select("key", "crowded", "node", "comp"))
+    sizes = labels.groupBy("comp").agg(F.count("*").alias("size"))
+    members = inside.where("crowded").select("node", "comp").distinct().join(sizes, "comp").select("node", "comp", (F.col("size") == 1).alias("alone"), F.floor(F.pmod(F.xxhash64("node"), F.col("size")) / CLASS).alias("part"))
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = text_bytes(batch.column(2))
-        sets = shingle_sets(data, offsets, shingle, SPACE_WORDS)
-        names, comp = np.unique(np.array(batch.column(0).to_pylist(), object), return_inverse=True)
-        pair = np.empty(sum(map(len, sets)), np.dtype([("comp", np.int64), ("shingle", np.uint64)]))
-        pair["comp"], pair["shingle"] = np.repeat(comp, [len(s) for s in sets]), np.concatenate([np.empty(0, np.uint64), *sets])
-        pair = np.unique(pair)
-        own = pa.array(names.tolist(), pa.binary()).take(pa.array(pair["comp"]))
-        single = np.zeros(len(names), bool)
-        single[comp] = batch.column(1).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([own, pa.array(single[pair["comp"]]), pa.array(pair["shingle"].view(np.int64).copy())], ["comp", "alone", "shingle"])
-
-    shingles = materialize(map_chunks(members.join(texts, "node").select("comp", "alone", "text"), run, "comp binary, alone boolean, shingle long"))
+    def run(batches):
+        seen: dict[bytes, np.ndarray] = {}  # of components in this task: CLASS nodes, so that their shingles are sent once
+        for batch in batches:
+            _, all_offsets = text_bytes(batch.column(2))
+            for i, j in row_slices(all_offsets):
+                own, out = batch.slice(i, j - i), []
+                for comp, alone, shingles in zip(own.column(0).to_pylist(), own.column(1).to_pylist(), shingle_sets(*text_bytes(own.column(2)), shingle, SPACE_WORDS)):
+                    if not alone:
+                        before = seen.get(comp, shingles[:0])
+                        shingles = np.setdiff1d(shingles, before, assume_unique=True)
+                        seen[comp] = np.union1d(before, shingles)
+                    out.append((comp, alone, shingles))
+                many = [len(x[2]) for x in out]
+                take = pa.array(np.repeat(np.arange(len(out)), many))
+                flat = np.concatenate([np.empty(0, np.uint64), *(x[2] for x in out)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()).take(take), pa.array([x[1] for x in out], pa.bool_()).take(take), pa.array(flat)], ["comp", "alone", "shingle"])
+
+    dealt = members.join(texts, "node").select("comp", "alone", "text", "part").repartition("comp", "part").drop("part")
+    shingles = materialize(dealt.mapInArrow(run, "comp binary, alone boolean, shingle long"))
     shared = shingles.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("shingle")
-    known = shingles.where("alone").join(shared, "shingle").groupBy("comp").agg(F.count("*").alias("bound"))
-    sized = members.join(open_nodes.select("node", "n", "sig", "bands"), "node").join(known, "comp", "left")
-    sized = sized.withColumn("bound", F.when(F.col("alone"), F.coalesce("bound", F.lit(0))).otherwise(F.col("n"))).where(f"100 * bound >= {percent} * n")
-    full = inside.select("key", "node").join(sized, "node")
-    mixed = full.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    full = full.join(mixed, "key")
-    left, right = (full.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("bound").alias(f"most{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("bands").alias(f"bands_{k}")) for k in "ab")
-    bound = F.expr(f"100 * least(mosta, mostb) >= {percent} * (na + nb - least(mosta, mostb))")
-    return left.join(right, (left["key"] == right["key"]) & F.expr("a > b AND ca <> cb") & bound & like & _first_shared(left["key"])).select("a", "b")
+    known = shingles.where("alone").join(shared, "shingle").groupBy(F.col("comp").alias("node")).agg(F.count("*").alias("most"))
+    bound = members.join(known, "node", "left").select("node", F.when(F.col("alone"), F.coalesce("most", F.lit(0))).alias("most"))
+    sized = open_nodes.select("node", "n", "sig", "bands").join(texts.select("node", "odd"), "node").join(bound, "node", "left")
+    full = inside.join(sized, "node").withColumn("most", F.when(F.col("crowded"), F.coalesce("most", "n")).otherwise(F.col("n"))).where(f"100 * most >= {percent} * n")
+    left, right = (full.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("most").alias(f"most{k}"), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}"), F.col("odd").alias(f"o{k}"), F.col("bands").alias(f"bands_{k}")) for k in "ab")
+    enough = F.expr(f"100 * least(mosta, mostb) >= {percent} * (na + nb - least(mosta, mostb))")
+    return left.join(right, (left["key"] == right["key"]) & F.expr("a > b AND ca <> cb") & enough & like & _first_shared(left["key"])).select("a", "b")
 
 
 def _first_shared(key: Column) -> Column:
@@ -216,11 +234,11 @@ def _first_shared(key: Column) -> Column:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, text of the texts with shingles whose doc_id is in wanted (rep), and of a few others.
+    """node, text, odd (bits of parity) of the texts with shingles whose doc_id is in wanted (rep), and of a few others.
 
     Texts are left out where they are read, by a map of the wanted ids. Callers join the nodes that they want.
     """
-    shared = hashed_map(wanted)
+    shared = hashed_map(wanted.select(map_place(F.col(wanted.columns[0]))))
 
     def run(batch: pa.RecordBatch):
         rows = np.flatnonzero(in_map(shared.value, batch.column(0).to_numpy()))
@@ -228,6 +246,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
         data, offsets = text_bytes(own)
         sets = shingle_sets(data, offsets, shingle, SPACE_WORDS)
         full = np.flatnonzero([len(s) > 0 for s in sets])
-        return pa.RecordBatch.from_arrays([pa.array(digests(sets[i] for i in full), pa.binary()), own.take(pa.array(full, pa.int64()))], ["node", "text"])
+        odd = np.array([parities(sets[i]) for i in full], np.int64).reshape(-1, ODD_LONGS)
+        return pa.RecordBatch.from_arrays([pa.array(digests(sets[i] for i in full), pa.binary()), own.take(pa.array(full, pa.int64())), list_array(odd, ODD_LONGS, pa.int64())], ["node", "text", "odd"])
 
-    return map_chunks(docs.select(map_place(F.col("doc_id")).alias("p"), "text"), run, "node binary, text string")
+    return map_chunks(docs.select(map_place(F.col("doc_id")).alias("p"), "text"), run, "node binary, text string, odd array<long>")
