@@ -46,9 +46,9 @@ def op5_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = passages(table(spark, sf_dir, "documents"), words=50, percent=80)
+    found = passages(table(spark, sf_dir, "documents"), words=50, percent=80, all_links=False)
     text = F.array_join(F.transform("passages", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
-    return found.select("doc_id", "n_words", "component_id", "n_links", F.size("passages").cast("long").alias("n_passages"), "n_repeated", text.alias("passages"))
+    return found.select("doc_id", "n_words", "component_id", F.size("passages").cast("long").alias("n_passages"), "n_repeated", text.alias("passages"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
