@@ -26,3 +26,21 @@ def test_stages_on_a_small_corpus(spark, tmp_path):
     assert "<EMAIL>" in kept["sanitise"][63] and set(kept["sanitise"]) == set(kept["decontaminate"])
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert {r["doc_id"] for r in pieces.collect()} == set(kept["sanitise"])
+
+
+def test_stages_decide_by_row_and_keep_clashing_columns(spark, tmp_path):
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    item = words(20)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    leak, clean = words(10) + " " + item, words(30)
+    rows = [(None, leak), (None, clean), (7, leak), (7, clean), (8, clean + " mail a.b@example.com"), (9, None)]
+    extra = ("score", "rows", "id", "key", "safe", "hits", "doc", "rep")
+    docs = spark.createDataFrame([(d, t, *range(len(extra))) for d, t in rows], "doc_id long, text string, " + ", ".join(f"{c} int" for c in extra))
+    kept = {name: stage(spark, docs, str(tmp_path)) for name, stage in corpus_pipeline.STAGES[1:4]}
+    assert all(df.columns == docs.columns for df in kept.values())
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert pairs(kept["decontaminate"]) == sorted([r for r in rows if r[1] != leak], key=str)
+    safe = next(t for d, t in pairs(kept["sanitise"]) if d == 8)
+    assert safe.startswith(clean) and safe.endswith("<EMAIL>") and "a.b@" not in safe and len(pairs(kept["sanitise"])) == len(rows)
+    assert {d for d, _ in pairs(kept["near_dedup"])} == {None, 7, 9}
