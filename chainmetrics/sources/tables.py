@@ -43,7 +43,8 @@ def read_latest(spark: SparkSession, name: str, path: str) -> DataFrame:
 
 def replace_slices(rows: DataFrame, path: str, column: str) -> None:
     """Write rows in place of all rows of the slices (values of column) that they have; other slices stay."""
-    rows.repartition(column).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
+    spread = [F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if f.dataType.typeName() != "map"))]
+    rows.repartitionByRange(column, *spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
 def upsert(rows: DataFrame, path: str, keys: list[str], version: int) -> None:

@@ -9,7 +9,7 @@ is kept by all stages but the second, which keeps one row of it a text (see ther
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainmetrics.llm import pii
@@ -23,11 +23,17 @@ QUALITY = 0.3
 TOKENIZER = "word_bpe_49k.json"
 
 
+def whole(docs: DataFrame) -> Column:
+    """All columns of a row as one, so that no name of theirs can clash with a stage's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text scores QUALITY or more; the model is fitted on the labels of sf_dir."""
     ship(spark)
     model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return scored(docs, model).where(F.col("score") >= QUALITY).drop("score")
+    kept = scored(docs.select(whole(docs).alias("doc"), "text"), model).where(F.col("score") >= QUALITY)
+    return kept.select("doc.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,29 +44,28 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     found = near_duplicates(docs, shingle=5, percent=80)
     kept = found.where("kept").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    out = docs.join(kept, "doc_id").select(*docs.columns, "rows")
-    once, more = out.where("rows = 1").select(docs.columns), out.where("rows > 1").select(docs.columns).dropDuplicates(["doc_id", "text"])
+    out = docs.select(whole(docs).alias("doc"), "doc_id", "text").join(kept, "doc_id")
+    once, more = out.where("rows = 1").select("doc.*"), out.where("rows > 1").dropDuplicates(["doc_id", "text"]).select("doc.*")
     return once.unionByName(more).unionByName(docs.where("doc_id IS NULL"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Rows whose own text holds no window of a benchmark item, whatever their doc_id: each row goes through as its own id."""
     ship(spark)
-    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.where(F.size("hits") > 0).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    found = contamination(docs.select(whole(docs).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.where(F.size("hits") == 0).select("doc_id.*")
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that disclose it, generalised to their kind; n_chars is counted anew."""
     found = pii.find(docs)
-    changed = found.where(F.size("spans") > 0).select("doc_id", F.xxhash64("text").alias("tkey"), pii.sanitised(F.col("text"), F.col("spans")).alias("safe")).dropDuplicates(["doc_id", "tkey"])
-    keyed = docs.withColumn("tkey", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(changed.withColumnsRenamed({"doc_id": "id", "tkey": "key"}), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left")
-    text = F.coalesce("safe", "text")
-    counted = F.when(F.col("safe").isNull(), F.col("n_chars")).otherwise(F.length("safe")) if "n_chars" in docs.columns else None
-    columns = [text.alias(c) if c == "text" else counted.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.select(columns)
+    changed = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), pii.sanitised(F.col("text"), F.col("spans")).alias("safe")).dropDuplicates(["id", "key"])
+    keyed = docs.select(whole(docs).alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
+    joined = keyed.join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left")
+    own = {"text": F.coalesce("safe", F.col("doc.text"))}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("safe").isNull(), F.col("doc.n_chars")).otherwise(F.length("safe")).cast(docs.schema["n_chars"].dataType)
+    return joined.select([own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
