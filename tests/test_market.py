@@ -14,10 +14,11 @@ def ticks(spark, rows):
 
 
 def test_daily_metrics_of_one_coin(spark):
-    at = lambda h: datetime(2024, 1, 1, h)
-    got = market.daily_metrics(ticks(spark, [(50000.0, 1e6, 2e12, at(0)), (49000.0, 1.1e6, 2e12, at(6)), (51000.0, 1.2e6, 2e12, at(12)), (52000.0, 1.3e6, 2e12, at(23))]), "2024-01-01").first()
-    assert (got["open_price"], got["high_price"], got["low_price"], got["close_price"], got["volume_24h"]) == (50000, 52000, 49000, 52000, 1.3e6)
-    assert got["price_change_24h"] == 2000 and got["price_change_percentage_24h"] == 4.0 and got["fdv_ratio"] == 0.5
+    at = lambda h, m: datetime(2023, 7, 19, h, m)
+    rows = [(320.0, 710.0, 4e12, at(2, 15)), (355.5, 740.0, 4e12, at(3, 1)), (288.25, 795.0, 4e12, at(9, 40)), (301.0, 880.0, 4e12, at(17, 5)), (336.0, 930.0, 4e12, at(21, 59))]
+    got = market.daily_metrics(ticks(spark, rows), "2023-07-19").first()
+    assert (got["open_price"], got["high_price"], got["low_price"], got["close_price"], got["volume_24h"]) == (320, 355.5, 288.25, 336, 930)
+    assert got["price_change_24h"] == 16 and got["price_change_percentage_24h"] == 5.0 and got["fdv_ratio"] == 0.25
 
 
 def test_daily_metrics_zero_denominators(spark):
@@ -31,12 +32,12 @@ def test_daily_plan_has_one_shuffle_of_ticks(spark):
 
 
 def test_hourly_score(spark):
-    hour = datetime(2024, 1, 1, 10)
-    hourly = spark.createDataFrame([("bitcoin", "btc", hour, 50000.0, 52000.0, 49000.0, 51000.0, 2e6, 10)], "coin_id string, symbol string, hour timestamp_ntz, open_price double, high_price double, low_price double, close_price double, current_volume double, tick_count long")
-    base = spark.createDataFrame([("bitcoin", 1e6)], "coin_id string, avg_volume_7d double")
+    hour = datetime(2023, 7, 19, 21)
+    hourly = spark.createDataFrame([("bitcoin", "btc", hour, 200.0, 210.6, 195.0, 206.0, 690.0, 4)], "coin_id string, symbol string, hour timestamp_ntz, open_price double, high_price double, low_price double, close_price double, current_volume double, tick_count long")
+    base = spark.createDataFrame([("bitcoin", 460.0)], "coin_id string, avg_volume_7d double")
     got = market.trending_scores(hourly, base).first()
-    assert got["momentum"] == pytest.approx(0.02) and got["volume_spike_ratio"] == 2.0
-    assert got["trending_score"] == pytest.approx(42.367, abs=1e-3)
+    assert got["momentum"] == pytest.approx(0.03) and got["volume_spike_ratio"] == 1.5
+    assert got["trending_score"] == pytest.approx(3 * 8 + 2 * 3 + 5 * 3)
     alone = market.trending_scores(hourly, base.limit(0)).first()
     assert alone["volume_spike_ratio"] == 1.0
 
