@@ -60,6 +60,24 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_near_duplicates_in_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CROWD", 2)
+    rows = list(enumerate(near_copies(9, 120, 50, 9) + near_copies(10, 80, 30, 6)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = minhash.near_duplicates(df, shingle=4, stars=1).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components(rows, 4)
+
+
+def test_long_words_that_differ_in_order_alone_are_told_apart():
+    from chainmetrics.llm.common import SPACE_WORDS, word_hashes
+
+    even = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    words = [even, even.translate(str.maketrans("ab", "ba")), even[:40], even[40:80], "ab", "ba", "é" * 5]
+    raw = " ".join(words).encode()
+    hashes, starts, ends, _ = word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), SPACE_WORDS)
+    assert len(set(hashes.tolist())) == len(words) and [raw[a:b].decode() for a, b in zip(starts, ends)] == words
+
+
 def test_near_duplicates_of_odd_rows(spark):
     long = "one two three four five six seven"
     df = spark.createDataFrame([(1, None), (2, long), (2, long), (None, long), (None, "x"), (None, None)], "doc_id long, text string")
