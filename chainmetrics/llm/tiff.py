@@ -25,6 +25,8 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 #: Fixed values of the format: bytes and struct codes of the field types of whole numbers.
 KINDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 LINE, PAGE_ROWS = 64, 4096
+#: No code of any compression stands for more bytes a stored byte.
+MOST_OUT = 4096
 
 
 class Page(NamedTuple):
@@ -36,21 +38,25 @@ class Page(NamedTuple):
 
 
 def pack_bits(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = 1
-        while run < 128 and i + run < n and data[i + run] == data[i]:
-            run += 1
-        if run > 1:
-            out += bytes((257 - run, data[i]))
-            i += run
-            continue
-        j = i + 1
-        while j < n and j - i < 128 and not (j + 1 < n and data[j] == data[j + 1]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of three equal bytes or more as runs, all else as literals."""
+    raw, out, done = np.frombuffer(data, np.uint8), bytearray(), 0
+
+    def literals(end: int) -> None:
+        for i in range(done, end, 128):
+            part = data[i : min(i + 128, end)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    edges = np.concatenate(([0], np.flatnonzero(raw[1:] != raw[:-1]) + 1, [len(raw)]))
+    long = np.flatnonzero(np.diff(edges) > 2)
+    for start, end in zip(edges[long].tolist(), edges[long + 1].tolist()):
+        literals(start)
+        while end - start > 1:
+            run = min(128, end - start)
+            out += bytes((257 - run, data[start]))
+            start += run
+        done = start  # a single byte that is left belongs to the literals
+    literals(len(data))
     return bytes(out)
 
 
@@ -71,41 +77,32 @@ def unpack_bits(data: bytes, size: int) -> bytes:
 
 def lzw(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first; 256 clears the table, 257 ends."""
-    table = {bytes((b,)): b for b in range(256)}
-    acc, held, width, nxt, out, own = 256, 9, 9, 258, bytearray(), b""
-
-    def put(code: int) -> None:
-        nonlocal acc, held
-        acc = acc << width | code
-        held += width
-        while held >= 8:
-            held -= 8
-            out.append(acc >> held & 255)
-        acc &= (1 << held) - 1
-
-    for i in range(len(data)):
-        more = own + data[i : i + 1]
-        if more in table:
-            own = more
+    codes, widths = [], []
+    table, width, nxt, own = {}, 9, 258, data[0] if data else None
+    for byte in data[1:]:
+        pair = own << 8 | byte
+        if pair in table:
+            own = table[pair]
             continue
-        put(table[own])
-        table[more] = nxt
+        codes.append(own)
+        widths.append(width)
+        table[pair] = nxt
         nxt += 1
-        own = data[i : i + 1]
+        own = byte
         if nxt == (1 << width) and width < 12:
             width += 1
         elif nxt == 4094:
-            put(256)
-            table, width, nxt = {bytes((b,)): b for b in range(256)}, 9, 258
-    if own:
-        put(table[own])
-        nxt += 1
-        if nxt == (1 << width) and width < 12:
+            codes.append(256)
+            widths.append(width)
+            table, width, nxt = {}, 9, 258
+    if own is not None:
+        codes.append(own)
+        widths.append(width)
+        if nxt + 1 == (1 << width) and width < 12:
             width += 1
-    put(257)
-    if held:
-        out.append(acc << (8 - held) & 255)
-    return bytes(out)
+    places = np.arange(11, -1, -1)
+    bits = np.array([*codes, 257])[:, None] >> places & 1
+    return np.packbits(bits[places < np.array([*widths, width])[:, None]].astype(np.uint8)).tobytes()
 
 
 def unlzw(data: bytes, size: int) -> bytes:
@@ -148,13 +145,15 @@ def shrink(block: np.ndarray, compression: int, predictor: int) -> bytes:
 def restore(raw: bytes, rows: int, columns: int, samples: int, compression: int, predictor: int) -> np.ndarray:
     size = rows * columns * samples
     if compression in (DEFLATE, ADOBE_DEFLATE):
-        raw = zlib.decompress(raw)
+        raw = zlib.decompressobj().decompress(raw, max(size, 1))
     elif compression == LZW:
         raw = unlzw(raw, size)
     elif compression == PACK_BITS:
         raw = unpack_bits(raw, size)
     elif compression != PLAIN:
         raise ValueError(f"compression {compression}")
+    if len(raw) < size:
+        raise ValueError("samples are missing")
     block = np.frombuffer(raw, np.uint8)[:size].reshape(rows, columns, samples)
     if predictor == 2:
         block = np.cumsum(block, axis=1, dtype=np.uint8)
@@ -222,7 +221,7 @@ def pages_of(media: bytes) -> Iterator[Page]:
                     fields[tag] = struct.unpack_from(f"{order}{count}{code}", media, where)
             yield _page(media, fields)
             at = struct.unpack_from(order + "I", media, at + 2 + 12 * n)[0]
-    except (struct.error, KeyError, IndexError, zlib.error) as e:
+    except (struct.error, KeyError, IndexError, zlib.error, MemoryError) as e:
         raise ValueError(f"damaged: {e}") from e
 
 
@@ -231,6 +230,8 @@ def _page(media: bytes, fields: dict[int, tuple[int, ...]]) -> Page:
     samples, compression, predictor = (fields.get(t, (1,))[0] for t in (SAMPLES, COMPRESSION, PREDICTOR))
     if set(fields.get(BITS, (1,))) != {8}:
         raise ValueError("samples are not of 8 bits")
+    if height * width * samples > MOST_OUT * len(media) or 0 in (*fields.get(TILE_WIDTH, ()), *fields.get(TILE_HEIGHT, ()), *fields.get(ROWS_PER_STRIP, ())):
+        raise ValueError("sizes that the file cannot hold")
     out = np.zeros((height, width, samples), np.uint8)
     if TILE_OFFSETS in fields:
         tall, wide = fields[TILE_HEIGHT][0], fields[TILE_WIDTH][0]
@@ -247,17 +248,15 @@ def _page(media: bytes, fields: dict[int, tuple[int, ...]]) -> Page:
     return Page(width, height, compression, predictor, out.tobytes())
 
 
+#: Ways to store a payload: compression, predictor, tile.
+WAYS = [(c, p, t) for c in (LZW, PACK_BITS, ADOBE_DEFLATE) for p in (1, 2) for t in (None, (64, 64))]
+
+
 def stored(payload: bytes) -> bytes:
-    """A file of pages LINE samples wide and PAGE_ROWS high at most. How it is stored follows from its size alone."""
+    """A file of pages LINE samples wide and PAGE_ROWS high at most. A hash of the payload picks one of WAYS, whatever its size."""
     lines = np.frombuffer(payload, np.uint8).reshape(-1, LINE)
-    pages = [lines[i : i + PAGE_ROWS] for i in range(0, len(lines), PAGE_ROWS)]
-    if len(payload) <= 256:
-        return encode(pages, LZW, 2)
-    if len(payload) <= 512:
-        return encode(pages, PACK_BITS)
-    if len(payload) <= 8192:
-        return encode(pages, ADOBE_DEFLATE)
-    return encode(pages, ADOBE_DEFLATE, 2, tile=(64, 64))
+    compression, predictor, tile = WAYS[zlib.crc32(payload) % len(WAYS)]
+    return encode([lines[i : i + PAGE_ROWS] for i in range(0, len(lines), PAGE_ROWS)], compression, predictor, tile=tile)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
