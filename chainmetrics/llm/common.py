@@ -63,13 +63,13 @@ def row_slices(offsets: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[
         i = min(j, n)
 
 
-def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, text: str = "text") -> DataFrame:
-    """mapInArrow in which fn gets batches of about CHUNK_BYTES of text."""
+def map_chunks(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, text: str = "text", limit: int = CHUNK_BYTES) -> DataFrame:
+    """mapInArrow in which fn gets batches of about limit bytes of text."""
 
     def run(batches):
         for batch in batches:
             _, offsets = text_bytes(batch.column(batch.schema.get_field_index(text)))
-            for i, j in row_slices(offsets):
+            for i, j in row_slices(offsets, limit):
                 out = fn(batch.slice(i, j - i))
                 if isinstance(out, pa.RecordBatch):
                     yield out

@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,12 +33,15 @@ PLAIN = re.compile("[\x00-\x7f\xc0-\u012f\u0131-\u017f]*")
 LATIN_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+|[0-9]|[^\x20\x09-\x0d0-9a-z\xc0-\xd6\xd8-\xf6\xf8-\u017f]+")
 #: Chunks whose ids a worker keeps; beyond, it starts anew.
 KEPT = 600_000
+#: Text that is looked up at once: the more, the fewer lookups of the chunks that its documents share.
+BATCH_BYTES = 1 << 22
 
 
 class Ids:
-    """Token ids, as little-endian unsigned 16-bit bytes, of texts cut at spaces and line ends.
+    """Token ids, unsigned 16-bit, of texts cut at spaces and line ends.
 
-    The vocabulary's pre-tokenizer drops white space, so ids of chunks between spaces stand alone and are kept. Pieces of
+    The vocabulary's pre-tokenizer drops white space, so ids of chunks between spaces stand alone and are kept, end to
+    end in one array. A batch's distinct chunks are looked up once and its texts gathered from that array. Pieces of
     Latin chunks are merged by the file's ranks, many at once; the library, which is slow on words it has not seen,
     takes the rest. Both give the same ids.
     """
@@ -48,19 +52,37 @@ class Ids:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit 16 bits")
         self.merges = Merges(path)
-        self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
+        self.forget()
 
-    def of(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > KEPT:
-            self.chunks = {"": b""}
+    def forget(self) -> None:
+        """Start the kept chunks anew: their numbers, and where each one's ids lie."""
+        self.numbers: dict[str, int] = {}
+        self.flat, self.ends = np.empty(0, "<u2"), np.zeros(1, np.int64)
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (null: empty), end to end, and the n + 1 offsets."""
+        if len(self.numbers) > KEPT:
+            self.forget()
         if len(self.pieces) > KEPT:
             self.pieces = {}
-        have, pieces = self.chunks, self.pieces
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = {c for own in cut for c in own if c not in have}
+        lists = pc.split_pattern(pc.replace_substring(texts.cast(pa.large_string()).fill_null(""), "\n", " "), " ")
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        self.learn([c for c in chunks if c not in self.numbers])
+        number = np.fromiter(map(self.numbers.__getitem__, chunks), np.int64, len(chunks))[coded.indices.to_numpy()]
+        first = self.ends[number]
+        size = self.ends[number + 1] - first
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(size)))
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], size)]
+        at = np.asarray(lists.offsets)
+        return ids, ends[at - at[0]]
+
+    def learn(self, new: list[str]) -> None:
+        """Number new chunks and keep their ids."""
+        pieces, found = self.pieces, {}
         plain = [c for c in new if (c.isascii() or PLAIN.fullmatch(c)) and "<|" not in c]
-        other = list(new.difference(plain))
+        other = list(set(new).difference(plain))
         split = list(map(LATIN_PIECES.findall, " ".join(plain).lower().split(" "))) if plain else []
         unseen = list({p for own in split for p in own if p not in pieces})
         for i in range(0, len(unseen), 20_000):
@@ -69,12 +91,14 @@ class Ids:
             raw, ends = ids.astype("<u2").tobytes(), (2 * np.cumsum(size)).tolist()
             pieces.update((p, raw[a:b]) for p, a, b in zip(some, [0, *ends], ends))
         for c, own in zip(plain, split):
-            have[c] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
+            found[c] = pieces[own[0]] if len(own) == 1 else b"".join([pieces[p] for p in own])
         for i in range(0, len(other), 5_000):
             some = other[i : i + 5_000]
-            have.update((c, np.array(e.ids, "<u2").tobytes()) for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
-        get = have.__getitem__
-        return [b"".join(map(get, own)) for own in cut]
+            found.update((c, np.array(e.ids, "<u2").tobytes()) for c, e in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)))
+        self.numbers.update(zip(found, range(len(self.numbers), len(self.numbers) + len(found))))
+        size = np.fromiter(map(len, found.values()), np.int64, len(found)) // 2
+        self.ends = np.concatenate((self.ends, self.ends[-1] + np.cumsum(size)))
+        self.flat = np.concatenate((self.flat, np.frombuffer(b"".join(found.values()), "<u2")))
 
 
 @lru_cache(maxsize=2)
@@ -110,11 +134,14 @@ def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return key
 
 
-def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
-    """Hilbert index of each document's hashed token counts, projected and scaled to 2 ** BITS steps a dimension."""
-    vectors = np.zeros((len(ids), BUCKETS))
-    for row, own in zip(vectors, ids):
-        row += np.bincount(BUCKET[own], minlength=BUCKETS)
+def curve_keys(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hilbert index of each document's hashed token counts, projected and scaled to 2 ** BITS steps a dimension.
+
+    ids: those of all documents, end to end; at: the n + 1 offsets.
+    """
+    n = len(at) - 1
+    place = np.repeat(np.arange(n) * BUCKETS, np.diff(at)) + BUCKET[ids]
+    vectors = np.bincount(place, minlength=n * BUCKETS).reshape(n, BUCKETS)
     vectors = np.sqrt(vectors)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     flat = vectors @ PROJECTION / 3.0 + 0.5
@@ -124,14 +151,14 @@ def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, key, n, ids (16-bit) of every row."""
     kind = dict(docs.dtypes)["doc_id"]
-    end = np.array([end_id], "<u2").tobytes()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [x + end for x in ids_of(path).of([t or "" for t in batch.column(1).to_pylist()])]
-        key = curve_keys([np.frombuffer(x, "<u2") for x in ids])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(key), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
+        ids, at = ids_of(path).of(batch.column(1))
+        ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+        packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(2 * at), pa.py_buffer(ids)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(curve_keys(ids, at)), pa.array(np.diff(at)), packed.cast(pa.binary())], ["doc_id", "key", "n", "ids"])
 
-    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {kind}, key long, n long, ids binary")
+    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {kind}, key long, n long, ids binary", limit=BATCH_BYTES)
 
 
 def pack(docs: DataFrame, path: str, length: int = 4096, end_id: int = 2) -> DataFrame:

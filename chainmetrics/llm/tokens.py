@@ -100,7 +100,9 @@ class Merges:
             moved = np.cumsum(keep) - 1
             sym, row, rank = sym[keep], row[keep], rank[keep]
             at = moved[hit]
-            again = np.union1d(at, at[at > 0] - 1)
+            near = np.zeros(len(sym) + 1, bool)
+            near[at] = near[at - 1] = True  # before the first pair: the spare place at the end
+            again = np.flatnonzero(near[:-1])
             rank[again] = pair_ranks(again)
         rows, ids = (np.concatenate([d[i] for d in done]) for i in (0, 1))
         return out, ids[np.argsort(rows, kind="stable")]

@@ -1,10 +1,14 @@
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -36,8 +40,17 @@ def test_token_counts_equal_the_library(spark):
 
 def test_ids_equal_the_library():
     texts = odd_texts()
-    want = [np.array(e.ids, "<u2").tobytes() for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
-    assert packing.Ids(WORD).of(texts) == want
+    want = [e.ids for e in Tokenizer.from_file(WORD).encode_batch(texts, add_special_tokens=False)]
+    ids, at = packing.Ids(WORD).of(pa.array(["left out", *texts, None])[1:])
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:])] == [*want, []]
+
+
+def test_ids_outlive_what_is_kept(monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 2)
+    kept = packing.Ids(WORD)
+    for text in ("one two three four", "four five", "one", "", "two four"):
+        assert kept.of(pa.array([text]))[0].tolist() == kept.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [len(x) for x in kept.of(pa.array([], pa.string()))] == [0, 1]
 
 
 def test_packing_is_gapless(spark):
@@ -53,7 +66,7 @@ def test_packing_is_gapless(spark):
             assert offset == end
             end += length
         assert end == 4096 or s == max(at)
-    assert sum(r["length"] for r in got) == sum(len(x) // 2 + 1 for x in packing.Ids(WORD).of([t or "" for _, t in rows]))
+    assert sum(r["length"] for r in got) == len(packing.Ids(WORD).of(pa.array([t for _, t in rows]))[0]) + len(rows)
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), WORD).count() == 0
 
 
@@ -116,6 +129,40 @@ def test_lzw_past_a_full_table():
     assert tiff.unlzw(tiff.lzw(data), len(data)) == data
 
 
+def test_every_way_serves_every_size():
+    for words in (1, 30, 3000):
+        payloads = [(f"{i} word " * words).encode() for i in range(150)]
+        payloads = [p + bytes(-len(p) % 64) for p in payloads]
+        used = set()
+        for p in payloads:
+            pages = list(tiff.pages_of(tiff.stored(p)))
+            assert b"".join(x.samples for x in pages) == p and tiff.stored(p) == tiff.stored(bytes(p))
+            used.add((pages[0].compression, pages[0].predictor))
+        assert used == {(c, p) for c, p, _ in tiff.WAYS}
+
+
+@pytest.mark.parametrize("tag", [tiff.WIDTH, tiff.HEIGHT, tiff.TILE_WIDTH, tiff.ROWS_PER_STRIP])
+@pytest.mark.parametrize("claim", [0, 1 << 30])
+def test_sizes_that_the_file_cannot_hold(tag, claim):
+    page = np.arange(64 * 64, dtype=np.uint32).astype(np.uint8).reshape(64, 64)
+    raw = bytearray(tiff.encode([page], 8, tile=(64, 64) if tag == tiff.TILE_WIDTH else None))
+    struct.pack_into("<I", raw, raw.index(struct.pack("<HHI", tag, 4, 1)) + 8, claim)
+    if tag == tiff.ROWS_PER_STRIP and claim:  # more rows a strip than there are is allowed
+        assert next(tiff.pages_of(bytes(raw))).samples == page.tobytes()
+    elif tag in (tiff.WIDTH, tiff.HEIGHT) and not claim:
+        assert all(p.samples == b"" for p in _pages_or_none(bytes(raw)))
+    else:
+        with pytest.raises(ValueError):
+            list(tiff.pages_of(bytes(raw)))
+
+
+def _pages_or_none(raw):
+    try:
+        return list(tiff.pages_of(raw))
+    except ValueError:
+        return []
+
+
 def test_media_rows(spark):
     texts = [None, "", "a", "x" * 300, "é" * 5000, "long " * 70_000]
     df = spark.createDataFrame([(i % 5, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, media int")
@@ -224,3 +271,16 @@ def test_terms_that_disclose_are_generalised(spark):
     got = {r["doc_id"]: r["t"] for r in found.collect()}
     assert got[0] == "report 0 of common matters\nwrite to <EMAIL> about <TERM> today"
     assert got[200] == "zanzibar" and got[105] == rows[9][1] and got[4] == ""
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 300)), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_codecs_give_back_runs(runs):
+    data = b"".join(bytes((b,)) * n for b, n in runs)
+    assert tiff.unpack_bits(tiff.pack_bits(data), len(data)) == data and tiff.unlzw(tiff.lzw(data), len(data)) == data
+
+
+def test_codecs_on_literal_bytes():
+    # by hand: three 9-bit codes 97, 98, 258 ("ab") and the end
+    assert tiff.lzw(b"abab") == int("001100001" "001100010" "100000010" "100000001" "0000", 2).to_bytes(5, "big")
+    assert tiff.pack_bits(b"aaab" + b"c" * 130) == bytes((254, 97, 0, 98, 129, 99, 255, 99))
