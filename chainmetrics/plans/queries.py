@@ -294,18 +294,24 @@ def blocks_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("number", "hash", "difficulty", "difficulty_double", "base_fee_per_gas", "transaction_count", "timestamp", "gas_limit", "extra_data", "total_difficulty")
 
 
+def transactions_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return fx.table(spark, sf_dir, "orders").select(fx.wide_hash(key).alias("hash"), F.when(key % 3 != 0, F.round(F.col("o_totalprice") * 100).cast("long").cast("string")).alias("value"), F.when(key % 2 != 0, "x").alias("input"), F.col("o_custkey").alias("nonce"))
+
+
 @query(f"SELECT {WORD.format('o_orderkey')} AS hash, CASE WHEN o_orderkey % 3 = 0 THEN '0' ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) END AS value, 0 AS gas, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' END AS input, 'transaction' AS type, o_custkey AS nonce FROM orders")
 def transactions_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.normalised("transaction", transactions_rows(spark, sf_dir)).select("hash", "value", "gas", "input", "type", "nonce")
+
+
+def receipts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    rows = fx.table(spark, sf_dir, "orders").select(fx.wide_hash(key).alias("hash"), F.when(key % 3 != 0, F.round(F.col("o_totalprice") * 100).cast("long").cast("string")).alias("value"), F.when(key % 2 != 0, "x").alias("input"), F.col("o_custkey").alias("nonce"))
-    return entities.normalised("transaction", rows).select("hash", "value", "gas", "input", "type", "nonce")
+    return fx.table(spark, sf_dir, "orders").select(fx.wide_hash(key).alias("transaction_hash"), F.when(key % 3 != 0, F.col("o_custkey")).alias("gas_used"), F.when(F.col("o_orderstatus") == "F", 1).alias("status"))
 
 
 @query(f"SELECT {WORD.format('o_orderkey')} AS transaction_hash, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS gas_used, 'receipt' AS type, '' AS root, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INT) AS status FROM orders")
 def receipts_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("o_orderkey")
-    rows = fx.table(spark, sf_dir, "orders").select(fx.wide_hash(key).alias("transaction_hash"), F.when(key % 3 != 0, F.col("o_custkey")).alias("gas_used"), F.when(F.col("o_orderstatus") == "F", 1).alias("status"))
-    return entities.normalised("receipt", rows).select("transaction_hash", "gas_used", "type", "root", "status")
+    return entities.normalised("receipt", receipts_rows(spark, sf_dir)).select("transaction_hash", "gas_used", "type", "root", "status")
 
 
 @query(f"SELECT {WORD.format('l_orderkey')} AS transaction_hash, CAST(l_linenumber AS INT) AS log_index, coalesce({VALUE}, '0') AS value, 'unknown' AS token_standard, 'unknown' AS transfer_type, '0' AS token_id, '' AS erc1155_mode FROM lineitem")
@@ -313,26 +319,35 @@ def token_transfers_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.normalised("token_transfer", fx.transfers(spark, sf_dir)).select("transaction_hash", "log_index", "value", "token_standard", "transfer_type", "token_id", "erc1155_mode")
 
 
+def contracts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return fx.table(spark, sf_dir, "part").select(fx.address(key).alias("address"), F.when(key % 2 != 0, F.col("p_name")).alias("name"), key.alias("block_number"))
+
+
 @query(f"SELECT {ADDRESS.format('p_partkey')} AS address, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name END AS name, '' AS symbol, CAST(0 AS INT) AS decimals, false AS is_proxy, p_partkey AS block_number FROM part")
 def contracts_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    rows = fx.table(spark, sf_dir, "part").select(fx.address(key).alias("address"), F.when(key % 2 != 0, F.col("p_name")).alias("name"), key.alias("block_number"))
-    return entities.normalised("contract", rows).select("address", "name", "symbol", "decimals", "is_proxy", "block_number")
+    return entities.normalised("contract", contracts_rows(spark, sf_dir)).select("address", "name", "symbol", "decimals", "is_proxy", "block_number")
+
+
+def ticks_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    return fx.ticks(spark, sf_dir).withColumns({"id": F.col("coin_id"), "ath_date": F.when(F.col("event_id") % 2 == 0, text).otherwise("not a date"), "last_updated": text})
 
 
 @query(f"WITH {TICKS} SELECT coin_id, coalesce(price_change_percentage_1h, 0) AS price_change_percentage_1h, '' AS name, last_updated, CASE WHEN event_id % 2 = 0 THEN last_updated END AS ath_date FROM ticks")
 def ticks_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    rows = fx.ticks(spark, sf_dir).withColumns({"id": F.col("coin_id"), "ath_date": F.when(F.col("event_id") % 2 == 0, text).otherwise("not a date"), "last_updated": text})
     ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("last_updated", "ath_date")}
-    return entities.normalised("tick", rows).select("coin_id", "price_change_percentage_1h", "name", "last_updated", "ath_date").withColumns(ntz)
+    return entities.normalised("tick", ticks_rows(spark, sf_dir)).select("coin_id", "price_change_percentage_1h", "name", "last_updated", "ath_date").withColumns(ntz)
+
+
+def protocols_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    return fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("slug"), F.when(key % 2 != 0, F.col("p_type")).alias("category"), F.when(key % 3 != 0, F.col("p_retailprice")).alias("tvl"), F.lit("2024-01-01T00:00:00Z").alias("last_updated"))
 
 
 @query("SELECT p_name AS slug, CASE WHEN p_partkey % 2 = 0 THEN 'Unknown' ELSE p_type END AS category, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_retailprice END AS tvl, '' AS symbol FROM part")
 def protocols_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    rows = fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("slug"), F.when(key % 2 != 0, F.col("p_type")).alias("category"), F.when(key % 3 != 0, F.col("p_retailprice")).alias("tvl"), F.lit("2024-01-01T00:00:00Z").alias("last_updated"))
-    return entities.normalised("protocol", rows).select("slug", "category", "tvl", "symbol")
+    return entities.normalised("protocol", protocols_rows(spark, sf_dir)).select("slug", "category", "tvl", "symbol")
 
 
 # raw responses

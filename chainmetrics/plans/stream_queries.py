@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import alerts
+from ..operators import alerts, entities
 from ..session import scratch
 from ..sources import readers, tables
 from ..streaming import jobs
@@ -72,18 +72,18 @@ def stream_dedup_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Odd ticks come after the watermark has passed them; none of them counts.
 
-    A batch is held against the watermark that the batch before it began with, so one more lies between.
+    The stream runs once for each phase and goes on from its checkpoint. A batch is held against the watermark that
+    the batch before it began with, so one more lies between.
     """
     root = scratch(spark)
     ticks = fx.fast_ticks(spark, sf_dir)
     even = ticks.where("event_id % 2 = 0")
     mark = even.agg((F.max("last_updated") - F.expr("INTERVAL 10 MINUTES")).alias("mark"))
     late = ticks.where("event_id % 2 = 1").join(F.broadcast(mark)).where("last_updated < mark").drop("mark")  # one row
-    _tick_messages(even).coalesce(1).write.parquet(f"{root}/in")
     newest = even.join(F.broadcast(even.agg(F.max("last_updated").alias("last_updated"))), "last_updated", "left_semi")  # one row
-    _tick_messages(newest).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = _landed(spark, _tick_messages(late).coalesce(1), f"{root}/in", maxFilesPerTrigger="1")
-    return _trending(spark, stream, root)
+    for phase in (even, newest):
+        _trending(spark, _landed(spark, _tick_messages(phase), f"{root}/in"), root)
+    return _trending(spark, _landed(spark, _tick_messages(late), f"{root}/in"), root)
 
 
 @query(f"WITH {q.PRICED} {q.ALERT} WHERE usd_value >= 1000000 OR (token_symbol = 'UNKNOWN' AND amount > 1000000)")
@@ -95,10 +95,78 @@ def stream_whale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"timestamp": F.col("timestamp").cast("timestamp_ntz"), "amount": F.round("amount", 4), "usd_value": F.round("usd_value", 2)})
 
 
+def _fed(spark: SparkSession, messages: DataFrame, entity: str, *tables_read: str) -> list[DataFrame]:
+    """What start_normalising writes of an entity's messages, table by table."""
+    root = scratch(spark)
+    jobs.start_normalising(_landed(spark, messages, f"{root}/in"), entity, f"{root}/tables", f"{root}/state", available_now=True).awaitTermination()
+    return [spark.read.parquet(f"{root}/tables/{t}").drop("batch") for t in tables_read]
+
+
 @query(q.WITHDRAWAL_SQL)
 def stream_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks as messages feed the tables of blocks and of withdrawals in one pass; the latter is the result."""
-    root = scratch(spark)
-    messages = _landed(spark, fx.framed(q._blocks(spark, sf_dir)), f"{root}/in")
-    jobs.start_normalising(messages, "block", f"{root}/tables", f"{root}/state", available_now=True).awaitTermination()
-    return spark.read.parquet(f"{root}/tables/withdrawals").drop("batch")
+    return _fed(spark, fx.framed(q._blocks(spark, sf_dir)), "block", "withdrawals")[0]
+
+
+@query(f"WITH {q.DAYS} SELECT n AS number, {q.WORD.format('n')} AS hash, CAST(n * n * 1000000 AS VARCHAR) AS difficulty, CAST(count(*) AS INT) AS transaction_count, 788918400 + 86400 * n AS timestamp FROM good GROUP BY n")
+def stream_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fed(spark, fx.framed(q._blocks(spark, sf_dir)), "block", "blocks")[0].select("number", "hash", "difficulty", "transaction_count", "timestamp")
+
+
+@query(q.LOG_SQL)
+def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Receipts as messages feed the tables of receipts and of logs; the latter is the result."""
+    receipts = entities.raw_receipts(fx.raw_typed(spark, sf_dir))
+    return _fed(spark, fx.framed(receipts), "receipt", "logs")[0].select("transaction_hash", "block_number", "block_timestamp", "address", "topic0", "log_index")
+
+
+@query(q.ORACLES["receipts_normalised"])
+def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = q.receipts_rows(spark, sf_dir).withColumn("type", F.lit("receipt"))
+    return _fed(spark, fx.framed(rows), "receipt", "receipts")[0].select("transaction_hash", "gas_used", "type", "root", "status")
+
+
+@query(q.ORACLES["transactions_normalised"])
+def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = q.transactions_rows(spark, sf_dir).withColumn("type", F.lit("transaction"))
+    return _fed(spark, fx.framed(rows), "transaction", "transactions")[0].select("hash", "value", "gas", "input", "type", "nonce")
+
+
+@query(q.ORACLES["token_transfers_normalised"])
+def stream_token_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _fed(spark, _transfer_messages(fx.transfers(spark, sf_dir)), "token_transfer", "token_transfers")[0]
+    return found.select("transaction_hash", "log_index", "value", "token_standard", "transfer_type", "token_id", "erc1155_mode")
+
+
+@query(q.ORACLES["contracts_normalised"])
+def stream_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = q.contracts_rows(spark, sf_dir).withColumn("type", F.lit("contract"))
+    return _fed(spark, fx.framed(rows), "contract", "contracts")[0].select("address", "name", "symbol", "decimals", "is_proxy", "block_number")
+
+
+@query(q.ORACLES["ticks_normalised"])
+def stream_coin_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _fed(spark, fx.framed(q.ticks_rows(spark, sf_dir)), "tick", "coin_market_history")[0]
+    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("last_updated", "ath_date")}
+    return found.select("coin_id", "price_change_percentage_1h", "name", "last_updated", "ath_date").withColumns(ntz)
+
+
+@query(q.ORACLES["protocols_normalised"])
+def stream_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fed(spark, fx.framed(q.protocols_rows(spark, sf_dir)), "protocol", "protocol_metrics")[0].select("slug", "category", "tvl", "symbol")
+
+
+@query(
+    f"""SELECT 'kept' AS fate, concat({q.WORD.format('l_orderkey')}, ':', l_linenumber) AS message FROM lineitem WHERE l_linenumber % 3 <> 0
+  UNION ALL SELECT 'unreadable', concat('{{"transaction_hash": ', l_orderkey, ':', l_linenumber) FROM lineitem WHERE l_linenumber = 3
+  UNION ALL SELECT 'unreadable', '' FROM lineitem WHERE l_linenumber = 6"""
+)
+def stream_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the transfers, the third of each order is cut short and the sixth is empty; both are set apart, the rest goes on."""
+    rows = fx.transfers(spark, sf_dir)
+    junk = F.concat(F.lit('{"transaction_hash": '), F.conv(F.substring("transaction_hash", 3, 64), 16, 10), F.lit(":"), F.col("log_index"))
+    cut = rows.where("log_index = 3").select(F.encode(junk, "UTF-8").alias("value"))
+    empty = rows.where("log_index = 6").select(F.encode(F.lit(""), "UTF-8").alias("value"))
+    good = _transfer_messages(rows.where("log_index % 3 <> 0"))
+    kept, broken = _fed(spark, good.union(cut).union(empty), "token_transfer", "token_transfers", "unreadable/token_transfer")
+    return kept.select(F.lit("kept").alias("fate"), F.concat_ws(":", "transaction_hash", "log_index").alias("message")).union(broken.select(F.lit("unreadable"), "message"))

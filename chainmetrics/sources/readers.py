@@ -28,16 +28,19 @@ def payload(value: Column) -> Column:
     return F.when(framed, F.substring(value, HEADER_BYTES + 1, 1 << 30)).otherwise(value)
 
 
-def parsed(messages: DataFrame, entity: str, avro_schema: str | None = None) -> DataFrame:
-    """Columns of the entity; a message that cannot be read is all null. avro_schema needs spark-avro on the class path; else JSON."""
+def decoded(entity: str, avro_schema: str | None = None) -> Column:
+    """A message's value as a struct of the entity, all null if it cannot be read. avro_schema needs spark-avro on the class path; else JSON."""
     body = payload(F.col("value"))
     if avro_schema:
         from pyspark.sql.avro.functions import from_avro
 
-        data = from_avro(body, avro_schema, {"mode": "PERMISSIVE"})
-    else:
-        data = F.from_json(body.cast("string"), schema(entity))
-    return messages.select(data.alias("data")).select("data.*")
+        return from_avro(body, avro_schema, {"mode": "PERMISSIVE"})
+    return F.from_json(body.cast("string"), schema(entity))
+
+
+def parsed(messages: DataFrame, entity: str, avro_schema: str | None = None) -> DataFrame:
+    """Columns of the entity; a message that cannot be read is all null."""
+    return messages.select(decoded(entity, avro_schema).alias("data")).select("data.*")
 
 
 def parse_ticks(messages: DataFrame, avro_schema: str | None = None) -> DataFrame:

@@ -55,18 +55,26 @@ FEEDS: dict[str, dict[str, Callable[[DataFrame], DataFrame]]] = {
 }
 
 
-def start_normalising(messages: DataFrame, entity: str, root: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
-    """Write all tables that an entity's queue feeds, from one read of it; unreadable messages are skipped."""
-    rows = readers.parsed(messages, entity)
+def start_normalising(messages: DataFrame, entity: str, root: str, checkpoint: str, available_now: bool = False, avro_schema: str | None = None) -> StreamingQuery:
+    """Write all tables that an entity's queue feeds, from one read of it.
+
+    Messages that cannot be read, or lack the entity's key, are set apart as text in <root>/unreadable/<entity>; they
+    do not stop the stream, however many come.
+    """
     key = "slug" if entity == "protocol" else "id" if entity == "tick" else "type"
+    rows = messages.select("value", readers.decoded(entity, avro_schema).alias("data"))
 
     def write(batch_rows: DataFrame, batch: int) -> None:
-        kept = batch_rows.where(F.col(key).isNotNull()).persist()
+        batch_rows = batch_rows.persist()
         try:
+            readable = F.col("data").getField(key).isNotNull()
+            kept = batch_rows.where(readable).select("data.*")
             for table, view in FEEDS[entity].items():
                 _versioned(view(kept), batch, f"{root}/{table}")
+            broken = batch_rows.where(F.coalesce(~readable, F.lit(True))).select(readers.payload(F.col("value")).cast("string").alias("message"))
+            _versioned(broken, batch, f"{root}/unreadable/{entity}")
         finally:
-            kept.unpersist()
+            batch_rows.unpersist()
 
     return _start(rows, "append", checkpoint, write, available_now)
 
