@@ -219,6 +219,37 @@ def test_secret_patterns_and_network(spark):
     assert scores[0] > 0.8 > 0.2 > scores[1]
 
 
+def test_secrets_that_nothing_introduces_are_added_as_brute_force_says(spark):
+    rng = random.Random(3)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    word = lambda: "".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 12)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    address = lambda i: f"{word()}.{i}@mail{i % 9}.example.com"
+    labelled = [f"{prose(30)} {rng.choice(['token = ', 'api_key: ', ''])}{hexes(40)} {prose(20)} {address(i)} {prose(9)}" for i in range(300)]
+    planted = [f"{prose(12)} {hexes(rng.randint(24, 31))} {prose(6)}" for _ in range(40)] + [f"blob {'words9and' * 60}{hexes(28)} end"]
+    clean = [f"{prose(12)} chapter-{i} of {address(i)} {prose(5)}" for i in range(100)]
+    texts = labelled + planted + clean + [None, "", "a1" * 20_000]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, score int")
+    net = secrets.fit_network(df)
+    got = {r["doc_id"]: {(s["start"], s["end"]) for s in r["found"] if s["kind"] == "cnn"} for r in secrets.scan(df).collect()}
+    token = re.compile("[A-Za-z0-9+/_.=-]{8,}")
+    for i, text in enumerate(texts):
+        taken = {p for s in brute_secrets(text).split(",") if s for p in range(*map(int, s.split(":")[1:]))}
+        want = set()
+        for m in token.finditer(text or ""):
+            own = m.group().rstrip(".")
+            span = range(m.start(), m.start() + len(own))
+            if len(own) >= 8 and re.search("[0-9]", own) and re.search("[A-Za-z]", own) and not taken & set(span):
+                pieces = [max(span.start, min(a, span.stop - 48)) for a in span[::48]]
+                rows = np.array([secrets.window(text, a, min(a + 48, span.stop)) for a in pieces])
+                if net.probability(rows).max() >= net.threshold:
+                    want.add((span.start, span.stop))
+        assert got[i] == want, text
+    first = len(labelled)
+    assert sum(bool(got[i]) for i in range(first, first + len(planted))) >= 0.9 * len(planted)
+    assert not any(got[i] for i in range(first + len(planted), first + len(planted) + len(clean)))
+
+
 PII = {"email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
 
 
