@@ -9,7 +9,7 @@ import pytest
 
 ROOT, SF = Path(__file__).resolve().parent.parent, "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["hourly_trending_score", "daily_market_metrics", "sliding_metrics", "whale_alerts", "raw_blocks", "transfer_extract_batch", "proxy_resolution", "oracle_prices", "replace_slice", "jdbc_roundtrip", "stream_dedup_sliding", "stream_late_rows", "stream_normalised", "doc_sync"]
+NAMES = ["hourly_trending_score", "daily_market_metrics", "sliding_metrics", "whale_alerts", "raw_blocks", "transfer_extract_batch", "proxy_resolution", "oracle_prices", "replace_slice", "jdbc_roundtrip", "stream_dedup_sliding", "stream_late_rows", "stream_normalised", "stream_logs", "stream_coin_history", "stream_unreadable", "doc_sync"]
 
 
 def plain(x):
