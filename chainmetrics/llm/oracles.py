@@ -4,12 +4,12 @@ from __future__ import annotations
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
-#: Distinct sets are compared pair by pair; what links reach is a recursive union over them.
-NEAR_DUPLICATES = rf"""
+#: Components of documents whose sets of n-word shingles are alike. Distinct sets are compared pair by pair; what links reach is a recursive union over them.
+_COMPONENTS = rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents
 ), sets AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')))) END AS s FROM words
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(range(1, greatest(len(w) - MORE, 1) + 1), lambda i: array_to_string(w[i:i + MORE], ' ')))) END AS s FROM words
 ), classes AS (
   SELECT row_number() OVER () AS c, s, len(s) AS n, min(doc_id) AS least_id FROM sets GROUP BY s
 ), members AS (
@@ -24,10 +24,11 @@ WITH RECURSIVE words AS (
 ), components AS (
   SELECT reach.c, min(classes.least_id) AS component_id FROM reach JOIN classes ON classes.c = reach.other GROUP BY reach.c
 )
-SELECT doc_id, CAST(classes.n AS BIGINT) AS n_shingles, CASE WHEN classes.n = 0 THEN doc_id ELSE component_id END AS component_id,
-  coalesce(classes.n = 0 OR doc_id = component_id, false) AS kept
+SELECT doc_id, CAST(classes.n AS BIGINT) AS n_shingles, CASE WHEN classes.n = 0 THEN doc_id ELSE component_id END AS component_id
 FROM sets JOIN classes ON classes.s = sets.s JOIN components ON components.c = classes.c
 """
+NEAR_DUPLICATES = f"SELECT *, coalesce(n_shingles = 0 OR doc_id = component_id, false) AS kept FROM ({_COMPONENTS.replace('MORE', '3')})"
+JACCARD_JOIN = _COMPONENTS.replace("MORE", "4")
 
 _ITEM_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 #: Every window of an item against every window of a document that is as long.
@@ -84,4 +85,5 @@ ORACLES = {
     "op1_minhash_near_dedup": NEAR_DUPLICATES,
     "op2_winnowing_decontamination": DECONTAMINATION,
     "op8_suffix_dedup": REPEATED_SUBSTRINGS,
+    "op12_partenum_jaccard_join": JACCARD_JOIN,
 }

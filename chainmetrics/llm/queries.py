@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, over whole tables, and the SQL of those that SQL can express."""
+"""The registered queries of the operators, over whole tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from .columns import repeated_substrings
 from .compact import passages
 from .minhash import near_duplicates
 from .packing import pack
+from .partenum import jaccard_components
 from .quality import quality_scores
 from .tiff import media_digests
 from .tokens import token_counts
@@ -67,6 +68,10 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op12_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -78,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii_sanitisation": op10_pii_sanitisation,
+    "op12_partenum_jaccard_join": op12_partenum_jaccard_join,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
