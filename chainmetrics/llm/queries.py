@@ -15,8 +15,10 @@ from .minhash import near_duplicates
 from .packing import pack
 from .partenum import jaccard_components
 from .quality import quality_scores
+from .repair import repair_digests
 from .tiff import media_digests
 from .tokens import token_counts
+from .trie import prefix_trie
 from .winnow import contamination
 
 
@@ -68,10 +70,18 @@ def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find(table(spark, sf_dir, "documents")))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_digests(table(spark, sf_dir, "conversations"))
+
+
 def op12_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), shingle=5, percent=80)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_winnowing_decontamination": op2_winnowing_decontamination,
@@ -83,7 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii_sanitisation": op10_pii_sanitisation,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_partenum_jaccard_join": op12_partenum_jaccard_join,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
