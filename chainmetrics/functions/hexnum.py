@@ -8,7 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO_ADDRESS = "0x" + "0" * 40
-LIMB, LIMBS = 10**12, 7
+#: Wide numbers are read in parts of 14 hex digits (56 bits) and written in limbs of 18 decimal digits.
+PART, BITS, LIMB, LIMBS = 14, 56, 10**18, 5
 
 
 def strip_0x(text: Column) -> Column:
@@ -29,15 +30,22 @@ def normalized_address(text: Column) -> Column:
 def u256_decimal(text: Column) -> Column:
     """Decimal text of a hex text of at most 256 bits; null if null, empty, malformed or longer.
 
-    Sixteen groups of four hex digits are folded into seven limbs of twelve decimal digits.
+    What fits 63 bits is one conversion, what fits 112 bits two halves in decimal arithmetic, both in generated code. Only
+    longer numbers are folded limb by limb.
     """
-    digits = strip_0x(text)
-    padded = F.lpad(digits, 64, "0")
-    groups = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 16, 10).cast("long"))
-    limbs = F.aggregate(groups, F.array_repeat(F.lit(0).cast("long"), LIMBS), _fold)
-    text_limbs = F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 12, "0"))
-    decimal = F.regexp_replace(F.array_join(text_limbs, ""), "^0+(?=.)", "")
-    return F.when(digits.rlike("^[0-9a-fA-F]{1,64}$"), decimal)
+    digits = F.regexp_replace(strip_0x(text), "^0+(?=.)", "")
+    half = lambda start: F.conv(F.substring(F.lpad(digits, 2 * PART, "0"), start, PART), 16, 10).cast("decimal(17,0)")
+    halves = half(1) * F.lit(2**BITS).cast("decimal(17,0)") + half(PART + 1)
+    short = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10)).when(F.length(digits) <= 2 * PART, halves.cast("string")).otherwise(_long_decimal(digits))
+    return F.when(strip_0x(text).rlike("^[0-9a-fA-F]{1,64}$"), short)
+
+
+def _long_decimal(digits: Column) -> Column:
+    """Decimal text of at most 64 hex digits, by limbs of 18 decimal digits from the low end."""
+    padded = F.lpad(digits, 5 * PART, "0")
+    parts = F.array(*(F.conv(F.substring(padded, i * PART + 1, PART), 16, 10).cast("decimal(20,0)") for i in range(5)))
+    limbs = F.aggregate(parts, F.array_repeat(F.lit(0).cast("decimal(20,0)"), LIMBS), _fold)
+    return F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 18, "0")), ""), "^0+(?=.)", "")
 
 
 def _div(a: Column, b: int) -> Column:
@@ -45,14 +53,14 @@ def _div(a: Column, b: int) -> Column:
     return F.call_function("div", a, F.lit(b).cast("long"))
 
 
-def _fold(limbs: Column, group: Column) -> Column:
-    """limbs * 65536 + group, limbs from the low end."""
-    start = F.struct(group.alias("carry"), F.array().cast("array<bigint>").alias("done"))
+def _fold(limbs: Column, part: Column) -> Column:
+    """limbs * 2^56 + part, limbs from the low end."""
+    start = F.struct(part.alias("carry"), F.array().cast("array<decimal(20,0)>").alias("done"))
+    limb = F.lit(LIMB).cast("decimal(19,0)")
 
-    def one(acc: Column, limb: Column) -> Column:
-        total = limb * 65536 + acc["carry"]
-        high = _div(total, LIMB)
-        return F.struct(high.alias("carry"), F.concat(acc["done"], F.array(total - high * LIMB)).alias("done"))
+    def one(acc: Column, x: Column) -> Column:
+        total = x * F.lit(2**BITS).cast("decimal(17,0)") + acc["carry"]
+        return F.struct(F.call_function("div", total, limb).cast("decimal(20,0)").alias("carry"), F.concat(acc["done"], F.array((total % limb).cast("decimal(20,0)"))).alias("done"))
 
     return F.aggregate(limbs, start, one, lambda acc: acc["done"])
 

@@ -57,6 +57,19 @@ def rolling_baseline(ticks: DataFrame, days: int = 7) -> DataFrame:
     return hourly.withColumn("at", seconds).select("coin_id", "hour", (F.sum("s").over(before) / F.sum("n").over(before)).alias("avg_volume_7d"))
 
 
+def volume_partials(ticks: DataFrame) -> DataFrame:
+    """hour, coin_id, volume_sum, volume_count: what the baselines of later hours need of an hour's ticks."""
+    hour = F.date_trunc("hour", "last_updated").alias("hour")
+    return ticks.groupBy(hour, "coin_id").agg(F.sum("total_volume").alias("volume_sum"), F.count("total_volume").alias("volume_count"))
+
+
+def baseline_of_partials(partials: DataFrame, hour: datetime, days: int = 7) -> DataFrame:
+    """volume_baseline() from volume_partials() rows. The range of hours reaches the scan, so that slices by hour outside it are not read."""
+    at = F.col("hour")
+    span = partials.where((at >= F.lit(hour - timedelta(days=days)).cast("timestamp_ntz")) & (at < F.lit(hour).cast("timestamp_ntz")))
+    return span.groupBy("coin_id").agg((F.sum("volume_sum") / F.sum("volume_count")).alias("avg_volume_7d"))
+
+
 def trending_scores(hourly: DataFrame, baseline: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The hourly metric rows, scored 0 to 100; a coin without a baseline has 0 and so a spike of 1."""
     both = hourly.join(baseline, keys or ["coin_id"], "left").fillna({"avg_volume_7d": 0.0})
@@ -162,8 +175,16 @@ def valuations(prices: DataFrame) -> DataFrame:
 
 
 def sliding_metrics(ticks: DataFrame, time: str = "timestamp", size: str = "5 minutes", slide: str = "1 minute") -> DataFrame:
-    """Aggregates and metrics of every coin's sliding windows; time must be a timestamp column."""
-    rows = ticks.groupBy(F.window(time, size, slide), "coin_id", "symbol").agg(
+    """Aggregates and metrics of every coin's sliding windows; time must be a timestamp column.
+
+    Batch rows are summed up once, to panes of one slide, and windows are put together of panes: a tick is one row and
+    a pane one row of a shuffle. A stream's windows are Spark's own, which keep their state.
+    """
+    return _window_metrics(_streamed_windows(ticks, time, size, slide) if ticks.isStreaming else _paned_windows(ticks, time, size, slide))
+
+
+def _streamed_windows(ticks: DataFrame, time: str, size: str, slide: str) -> DataFrame:
+    return ticks.groupBy(F.window(time, size, slide), "coin_id", "symbol").agg(
         F.min_by("current_price", time).alias("open_price"),
         F.max_by("current_price", time).alias("close_price"),
         F.max("current_price").alias("high_price"),
@@ -174,6 +195,67 @@ def sliding_metrics(ticks: DataFrame, time: str = "timestamp", size: str = "5 mi
         F.max_by("price_change_percentage_1h", time).alias("price_change_1h"),
         F.count("*").alias("tick_count"),
     )
+
+
+def _micros(span: str) -> int:
+    """Microseconds of a span such as `5 minutes`."""
+    number, unit = span.split()
+    return int(number) * {"second": 1, "minute": 60, "hour": 3600, "day": 86400}[unit.rstrip("s")] * 1_000_000
+
+
+def _paned_windows(ticks: DataFrame, time: str, size: str, slide: str) -> DataFrame:
+    """The windows of _streamed_windows from panes: counts, sums, extremes and moments that can be merged."""
+    width, step = _micros(size), _micros(slide)
+    if width % step:
+        return _streamed_windows(ticks, time, size, slide)
+    many = width // step
+    pane = F.expr(f"floor(unix_micros(`{time}`) / {step})").cast("long").alias("pane")
+    rows = ticks.where(F.col(time).isNotNull()).groupBy("coin_id", "symbol", pane).agg(
+        F.min_by("current_price", time).alias("open"),
+        F.max_by("current_price", time).alias("close"),
+        F.max_by("price_change_percentage_1h", time).alias("change"),
+        F.max("current_price").alias("high"),
+        F.min("current_price").alias("low"),
+        F.count("current_price").alias("n"),
+        F.avg("current_price").alias("mean"),
+        (F.var_pop("current_price") * F.count("current_price")).alias("spread"),
+        F.sum("total_volume").alias("volume"),
+        F.count("total_volume").alias("volumes"),
+        F.count("*").alias("ticks"),
+    )
+    parts = [c for c in rows.columns if c not in ("coin_id", "symbol")]
+    by_time = Window.partitionBy("coin_id", "symbol").orderBy("pane")
+    ahead = [F.struct(*parts), *(F.lead(F.struct(*parts), k).over(by_time) for k in range(1, many))]
+    rows = rows.select("coin_id", "symbol", "pane", F.array(*ahead).alias("panes"), F.lag("pane").over(by_time).alias("before"))
+    # a window that starts in a pane without ticks belongs to the next pane that has some
+    starts = F.sequence(F.greatest(F.col("pane") - (many - 1), F.coalesce(F.col("before") + 1, F.col("pane") - (many - 1))), F.col("pane"))
+    rows = rows.select("coin_id", "symbol", F.explode(starts).alias("start"), "panes")
+    inside = F.filter("panes", lambda p: p.isNotNull() & (p["pane"] < F.col("start") + many))
+    rows = rows.select("coin_id", "symbol", "start", inside.alias("panes"))
+    column = lambda name: F.transform("panes", lambda p: p[name])
+    total = lambda name, kind: F.aggregate(column(name), F.lit(0).cast(kind), lambda a, x: a + F.coalesce(x, F.lit(0).cast(kind)))
+    mean = F.aggregate("panes", F.lit(0.0), lambda a, p: a + F.coalesce(p["mean"] * p["n"], F.lit(0.0))) / F.nullif(total("n", "long"), F.lit(0))
+    rows = rows.withColumns({"n": total("n", "long"), "avg_price": mean})
+    # Chan's rule: the squares within panes, and those of the panes' means around the window's
+    squares = F.aggregate("panes", F.lit(0.0), lambda a, p: a + F.coalesce(p["spread"] + p["n"] * (p["mean"] - F.col("avg_price")) * (p["mean"] - F.col("avg_price")), F.lit(0.0)))
+    micros = F.col("start") * step
+    return rows.select(
+        F.struct(F.timestamp_micros(micros).alias("start"), F.timestamp_micros(micros + width).alias("end")).alias("window"),
+        "coin_id",
+        "symbol",
+        F.element_at("panes", 1)["open"].alias("open_price"),
+        F.element_at("panes", -1)["close"].alias("close_price"),
+        F.array_max(column("high")).alias("high_price"),
+        F.array_min(column("low")).alias("low_price"),
+        "avg_price",
+        F.when(F.col("n") > 1, F.sqrt(squares / (F.col("n") - 1))).alias("stddev_price"),
+        (total("volume", "double") / F.nullif(total("volumes", "long"), F.lit(0))).alias("volume_avg"),
+        F.element_at("panes", -1)["change"].alias("price_change_1h"),
+        total("ticks", "long").alias("tick_count"),
+    )
+
+
+def _window_metrics(rows: DataFrame) -> DataFrame:
     rows = rows.withColumns(
         {
             "volatility": _ratio(100 * F.coalesce("stddev_price", F.lit(0.0)), F.col("avg_price")),

@@ -20,18 +20,37 @@ def daily_job(ticks: DataFrame, date: str, path: str, calculated_at: datetime) -
     return True
 
 
-def hourly_job(ticks: DataFrame, hour: str, path: str, calculated_at: datetime) -> bool:
-    """Replace the hour's slice of trending scores; False if there are no ticks of that hour."""
+def hourly_job(ticks: DataFrame, hour: str, path: str, calculated_at: datetime, partials: str | None = None) -> bool:
+    """Replace the hour's slice of trending scores; False if there are no ticks of that hour.
+
+    partials: folder of volume sums by hour. The job adds the hour's slice to it, and its baseline reads the 168 slices before,
+    not the ticks of seven days; without it the baseline is computed from ticks.
+    """
     at = market.parse_hour(hour)
     start = F.lit(at).cast("timestamp_ntz")
     own = ticks.where((F.col("last_updated") >= start) & (F.col("last_updated") < start + F.expr("INTERVAL 1 HOUR")))
     if not readers.ready(own):
         return False
-    scores = market.trending_scores(market.hourly_ohlc(own), market.volume_baseline(ticks, at))
+    if partials is None:
+        baseline = market.volume_baseline(ticks, at)
+    else:
+        tables.replace_slices(market.volume_partials(own), partials, "hour")
+        baseline = market.baseline_of_partials(read_partials(ticks.sparkSession, partials), at)
+    scores = market.trending_scores(market.hourly_ohlc(own), baseline)
     tables.replace_slices(scores.withColumn("calculated_at", F.lit(calculated_at)), path, "hour")
     return True
 
 
+def read_partials(spark: SparkSession, path: str) -> DataFrame:
+    """The volume sums that hourly_job keeps; slices are folders by hour."""
+    return spark.read.schema("coin_id string, volume_sum double, volume_count long, hour timestamp_ntz").parquet(path)
+
+
+def fill_partials(ticks: DataFrame, path: str) -> None:
+    """Volume sums of all hours that ticks have, in place of those there are: for a new table, or after ticks were corrected."""
+    tables.replace_slices(market.volume_partials(ticks), path, "hour")
+
+
 def metric_documents(metrics: DataFrame, kind: str) -> DataFrame:
     """Metric rows with their doc_id: `yyyyMMdd_coin` of daily ones, `coin_hour` of hourly ones; any other kind is an error."""
     if kind == "daily":

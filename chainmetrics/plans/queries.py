@@ -238,7 +238,25 @@ def history_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.history_outer(pick(2, "current_price", "price"), pick(3, "market_cap", "market_cap"), pick(5, "total_volume", "volume"))
 
 
-@query()
+NEAREST = f"""WITH RECURSIVE {TICKS}, s AS (SELECT *, epoch_us(last_updated) // 1000 AS timestamp FROM ticks),
+points AS (SELECT event_id AS pid, coin_id, timestamp, current_price AS price, market_cap, total_volume AS volume, row_number() OVER (PARTITION BY coin_id, timestamp ORDER BY current_price, market_cap, total_volume) AS nth FROM s WHERE event_id % 2 = 0),
+bars AS (SELECT event_id AS bid, coin_id, timestamp, current_price AS bar, row_number() OVER (PARTITION BY coin_id, timestamp ORDER BY current_price) AS nth FROM s WHERE event_id % 2 = 1),
+same AS (SELECT pid, bid FROM points JOIN bars USING (coin_id, timestamp, nth)),
+free AS (SELECT * FROM points WHERE pid NOT IN (SELECT pid FROM same)),
+waiting AS (SELECT *, row_number() OVER (PARTITION BY coin_id ORDER BY timestamp, nth) AS turn FROM bars WHERE bid NOT IN (SELECT bid FROM same)),
+wanted AS (SELECT w.coin_id, w.turn, w.bid, coalesce(list(f.pid ORDER BY abs(f.timestamp - w.timestamp), f.timestamp, f.nth) FILTER (f.pid IS NOT NULL), []) AS pids
+  FROM waiting w LEFT JOIN free f ON f.coin_id = w.coin_id AND abs(f.timestamp - w.timestamp) <= 1800000 GROUP BY ALL),
+turns AS (
+  SELECT DISTINCT coin_id, CAST(0 AS BIGINT) AS turn, CAST(NULL AS BIGINT) AS bid, CAST(NULL AS BIGINT) AS pid, CAST([] AS BIGINT[]) AS taken FROM waiting
+  UNION ALL
+  SELECT coin_id, turn, bid, pid, CASE WHEN pid IS NULL THEN taken ELSE list_append(taken, pid) END
+  FROM (SELECT w.coin_id, w.turn, w.bid, list_filter(w.pids, lambda p: NOT list_contains(t.taken, p))[1] AS pid, t.taken FROM turns t JOIN wanted w ON w.coin_id = t.coin_id AND w.turn = t.turn + 1)),
+pairs AS (SELECT pid, bid FROM same UNION ALL SELECT pid, bid FROM turns WHERE pid IS NOT NULL)
+SELECT coalesce(b.coin_id, p.coin_id) AS coin_id, coalesce(b.timestamp, p.timestamp) AS timestamp, price, market_cap, volume, bar AS open, bar AS high, bar AS low, bar AS close
+FROM points p LEFT JOIN pairs USING (pid) FULL JOIN bars b ON b.bid = pairs.bid"""
+
+
+@query(NEAREST)
 def history_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _series(spark, sf_dir)
     chart = s.where("event_id % 2 = 0").select("coin_id", "timestamp", F.col("current_price").alias("price"), "market_cap", F.col("total_volume").alias("volume"))
@@ -684,16 +702,61 @@ def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("coin_id").agg(F.count("*").alias("n"), F.round(F.sum("current_price"), 4).alias("price"))
 
 
+def _weeks(rows: DataFrame, time: str) -> list[DataFrame]:
+    """rows by week; a table has 53 weeks a year at most."""
+    keyed = rows.withColumn("week", F.date_trunc("week", time))
+    weeks = [r["week"] for r in keyed.select("week").distinct().orderBy("week").collect()]
+    return [keyed.where(F.col("week") == F.lit(w)).drop("week") for w in weeks]
+
+
 @query(f"WITH {TICKS} SELECT coin_id, max(last_updated) AS last_updated, arg_max(current_price, last_updated) AS current_price FROM ticks GROUP BY coin_id")
 def doc_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ticks upserted by coin in four versions of increasing time, then compacted."""
-    path = scratch(spark)
-    weekly = fx.ticks(spark, sf_dir).withColumn("week", F.weekofyear("last_updated")).select("coin_id", "last_updated", "current_price", "week")
-    for week in range(1, 6):
-        newest = market.latest_ticks(weekly.where(F.col("week") == week).drop("week"))
-        tables.upsert(newest, f"{path}/docs", ["coin_id"], week)
-    tables.compact(spark, f"{path}/docs", f"{path}/compact", ["coin_id"])
-    return tables.read_upserted(spark, f"{path}/compact", ["coin_id"])
+    """Ticks upserted by coin, a version for each week; what older states alone consisted of is dropped."""
+    path = f"{scratch(spark)}/docs"
+    for version, week in enumerate(_weeks(fx.ticks(spark, sf_dir).select("coin_id", "last_updated", "current_price"), "last_updated"), 1):
+        tables.upsert(market.latest_ticks(week), path, ["coin_id"], version)
+    tables.compact(spark, path)
+    return tables.read_upserted(spark, path)
+
+
+@query("SELECT user_id, max(ts) AS ts, arg_max(value, ts) AS value, arg_max(event_id, ts) AS event_id, arg_max(event_type, ts) AS event_type FROM events GROUP BY user_id")
+def keyed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events merged by user week by week, the newest week first, so that older versions come late and must not win."""
+    path = f"{scratch(spark)}/users"
+    weeks = _weeks(fx.table(spark, sf_dir, "events").select("user_id", "ts", "value", "event_id", "event_type"), "ts")
+    for version, week in reversed(list(enumerate(weeks))):
+        tables.upsert(market.latest_ticks(week, "user_id", "ts"), path, ["user_id"], version)
+    return tables.read_upserted(spark, path).select("user_id", "ts", "value", "event_id", "event_type")
+
+
+@query(ORACLES["volume_baseline_7d"])
+def kept_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of seven days from hourly sums that are kept as a table."""
+    path = f"{scratch(spark)}/volumes"
+    jobs.fill_partials(fx.ticks(spark, sf_dir), path)
+    return rounded(market.baseline_of_partials(jobs.read_partials(spark, path), datetime(2024, 1, 20, 12)), "avg_volume_7d")
+
+
+@query(rounded_sql(f"{TICKS}, {HOURLY}, {ROLLING}, {SCORES}", "(SELECT * FROM scored WHERE hour = (SELECT max(hour) FROM scored))", *RATIOS))
+def hourly_job_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The job of the newest hour: its ticks, and the kept sums of the hours before."""
+    path, ticks = scratch(spark), fx.ticks(spark, sf_dir)
+    newest = ticks.agg(F.date_trunc("hour", F.max("last_updated")).alias("hour")).first()["hour"]
+    jobs.fill_partials(ticks.where(F.col("last_updated") < F.lit(newest)), f"{path}/volumes")
+    jobs.hourly_job(ticks, f"{newest:%Y-%m-%d %H}", f"{path}/scores", newest, f"{path}/volumes")
+    return rounded(spark.read.parquet(f"{path}/scores").withColumn("hour", F.col("hour").cast("timestamp_ntz")).drop("calculated_at"), *RATIOS)
+
+
+@query(f"WITH {TICKS} SELECT coin_id, count(*) AS n, round(sum(current_price), 4) AS price FROM ticks GROUP BY coin_id")
+def jdbc_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ticks appended to a database by day as batches, each of them twice; every tick is there once."""
+    url = f"jdbc:derby:{scratch(spark).removeprefix('file://')}/db;create=true"
+    rows = fx.ticks(spark, sf_dir).select("event_id", "coin_id", "current_price", (F.dayofmonth("last_updated") % 3).alias("third"))
+    for _ in range(2):
+        for third in range(3):
+            sinks.jdbc_append_once(rows.where(F.col("third") == third).drop("third"), url, "ticks_once", f"third-{third}", createTableColumnTypes="coin_id VARCHAR(32)")
+    back = readers.jdbc_slice(spark, url, 'SELECT "coin_id", count(*) AS "n", sum("current_price") AS "price" FROM ticks_once GROUP BY "coin_id"')
+    return back.select("coin_id", F.col("n").cast("long").alias("n"), F.round("price", 4).alias("price"))
 
 
 @query(f"WITH {TICKS}, {DAILY} SELECT concat(strftime(date, '%Y%m%d'), '_', coin_id) AS doc_id, close_price, eth_contract_address FROM metrics WHERE date = DATE '2024-01-10' AND eth_contract_address IN (SELECT min(eth_contract_address) FROM metrics m WHERE m.date = DATE '2024-01-10' GROUP BY coin_id)")
@@ -704,7 +767,7 @@ def doc_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = first.groupBy("date", "coin_id").agg(F.min(F.struct("eth_contract_address", "close_price")).alias("r")).select("date", "coin_id", "r.*")
     tables.replace_slices(one, f"{path}/daily", "date")
     jobs.sync_documents(spark, f"{path}/daily", "daily", "2024-01-10", f"{path}/docs", 1)
-    return tables.read_upserted(spark, f"{path}/docs", ["doc_id"]).select("doc_id", "close_price", "eth_contract_address")
+    return tables.read_upserted(spark, f"{path}/docs").select("doc_id", "close_price", "eth_contract_address")
 
 
 @query("SELECT concat('chain.', t, 's.v0') AS topic, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'block' WHEN 1 THEN 'transaction' WHEN 2 THEN 'odd' END AS t FROM orders) WHERE t IN ('block', 'transaction') GROUP BY 1")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import alerts, entities
 from ..session import scratch
-from ..sources import readers, tables
-from ..streaming import jobs
+from ..sources import feeds, readers, tables
+from ..streaming import jobs, progress
 from . import fixtures as fx
 from . import queries as q
 
@@ -75,7 +76,10 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     The stream runs once for each phase and goes on from its checkpoint. A batch is held against the watermark that
     the batch before it began with, so one more lies between.
     """
-    root = scratch(spark)
+    return _late_phases(spark, sf_dir, scratch(spark))
+
+
+def _late_phases(spark: SparkSession, sf_dir: str, root: str) -> DataFrame:
     ticks = fx.fast_ticks(spark, sf_dir)
     even = ticks.where("event_id % 2 = 0")
     mark = even.agg((F.max("last_updated") - F.expr("INTERVAL 10 MINUTES")).alias("mark"))
@@ -86,20 +90,32 @@ def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trending(spark, _landed(spark, _tick_messages(late), f"{root}/in"), root)
 
 
+@query(f"WITH {q.TICKS}, {q.FAST} SELECT count(*) AS late_rows FROM fast WHERE event_id % 2 = 1 AND last_updated < (SELECT max(last_updated) FROM fast WHERE event_id % 2 = 0) - INTERVAL 10 MINUTE")
+def stream_late_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The late ticks of stream_late_rows, as a listener counts what the watermark drops."""
+    late = progress.listen(spark)
+    try:
+        _late_phases(spark, sf_dir, scratch(spark))
+        progress.settle(spark)
+        return spark.range(1).select(F.lit(late.total()).cast("long").alias("late_rows"))
+    finally:
+        spark.streams.removeListener(late)
+
+
 @query(f"WITH {q.PRICED} {q.ALERT} WHERE usd_value >= 1000000 OR (token_symbol = 'UNKNOWN' AND amount > 1000000)")
 def stream_whale_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch(spark)
     messages = _landed(spark, _transfer_messages(fx.transfers(spark, sf_dir)), f"{root}/in")
-    jobs.start_alerts(messages, alerts.known_tokens(spark), f"{root}/alerts", f"{root}/state", available_now=True).awaitTermination()
-    rows = spark.read.parquet(f"{root}/alerts")
+    jobs.start_alerts(messages, alerts.known_tokens(spark), f"{root}/feed", f"{root}/state", available_now=True).awaitTermination()
+    rows = feeds.read(spark, f"{root}/feed", "alerts", "alerts")
     return rows.withColumns({"timestamp": F.col("timestamp").cast("timestamp_ntz"), "amount": F.round("amount", 4), "usd_value": F.round("usd_value", 2)})
 
 
-def _fed(spark: SparkSession, messages: DataFrame, entity: str, *tables_read: str) -> list[DataFrame]:
+def _fed(spark: SparkSession, messages: DataFrame, entity: str, *tables_read: str, **options) -> list[DataFrame]:
     """What start_normalising writes of an entity's messages, table by table."""
     root = scratch(spark)
-    jobs.start_normalising(_landed(spark, messages, f"{root}/in"), entity, f"{root}/tables", f"{root}/state", available_now=True).awaitTermination()
-    return [spark.read.parquet(f"{root}/tables/{t}").drop("batch") for t in tables_read]
+    jobs.start_normalising(_landed(spark, messages, f"{root}/in"), entity, f"{root}/tables", f"{root}/state", available_now=True, **options).awaitTermination()
+    return feeds.read_together(spark, f"{root}/tables", entity, list(tables_read))
 
 
 @query(q.WITHDRAWAL_SQL)
@@ -168,5 +184,45 @@ def stream_unreadable(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = rows.where("log_index = 3").select(F.encode(junk, "UTF-8").alias("value"))
     empty = rows.where("log_index = 6").select(F.encode(F.lit(""), "UTF-8").alias("value"))
     good = _transfer_messages(rows.where("log_index % 3 <> 0"))
-    kept, broken = _fed(spark, good.union(cut).union(empty), "token_transfer", "token_transfers", "unreadable/token_transfer")
+    # of the given lines two sevenths are broken, more than a stream skips by default
+    kept, broken = _fed(spark, good.union(cut).union(empty), "token_transfer", "token_transfers", "unreadable/token_transfer", most_broken=None)
     return kept.select(F.lit("kept").alias("fate"), F.concat_ws(":", "transaction_hash", "log_index").alias("message")).union(broken.select(F.lit("unreadable"), "message"))
+
+
+@query(f"SELECT {q.WORD.format('l_orderkey')} AS transaction_hash, CAST(l_linenumber AS INT) AS log_index FROM lineitem WHERE l_linenumber <= 2")
+def stream_broken_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The third line of each order is broken, and the stream may skip that many; the rest of the lines brings one more and stops it.
+
+    What was committed before stays, and nothing of the batch that went too far.
+    """
+    root = scratch(spark)
+    rows = fx.transfers(spark, sf_dir)
+    junk = lambda which: rows.where(f"log_index IN ({which})").select(F.encode(F.lit("{broken"), "UTF-8").alias("value"))
+    limit = rows.where("log_index = 3").count()
+    for good, bad in (("1, 2", "3"), ("4, 5, 7", "6")):
+        messages = _landed(spark, _transfer_messages(rows.where(f"log_index IN ({good})")).union(junk(bad)), f"{root}/in")
+        stream = jobs.start_normalising(messages, "token_transfer", f"{root}/tables", f"{root}/state", available_now=True, most_broken=limit)
+        try:
+            stream.awaitTermination()
+        except StreamingQueryException as e:
+            if "TooManyBroken" not in str(e):
+                raise
+    return feeds.read(spark, f"{root}/tables", "token_transfer", "token_transfers").select("transaction_hash", "log_index")
+
+
+@query("SELECT o_orderkey AS number, CASE WHEN o_orderstatus = 'F' THEN o_custkey END AS validator_index FROM orders WHERE o_orderkey <= (SELECT max(o_orderkey) - 12 FROM orders)")
+def stream_followed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as blocks that arrive with gaps, out of order and partly twice, over two runs of a stream that stays 12 blocks behind the head."""
+    root = scratch(spark)
+    key = F.col("o_orderkey")
+    withdrawal = F.struct(key.alias("index"), F.col("o_custkey").alias("validator_index"), fx.address(F.col("o_custkey")).alias("address"), F.lit("1").alias("amount"))
+    found = fx.table(spark, sf_dir, "orders").select(F.lit("block").alias("type"), key.alias("number"), fx.wide_hash(key).alias("hash"), (fx.DAY_ZERO + key).alias("timestamp"), F.when(F.col("o_orderstatus") == "F", F.array(withdrawal)).otherwise(F.array().cast(f"array<{withdrawal_type()}>")).alias("withdrawals"))
+    for phase in ("number % 3 <> 1", "number % 3 = 1 OR number % 2 = 0"):
+        messages = _landed(spark, fx.framed(found.where(phase)), f"{root}/in")
+        jobs.start_following(messages, f"{root}/chain", f"{root}/state", lag=12, available_now=True).awaitTermination()
+    blocks, withdrawals = feeds.read_together(spark, f"{root}/chain", "chain", ["blocks", "withdrawals"])
+    return blocks.select("number").join(withdrawals.select(F.col("block_number").alias("number"), "validator_index"), "number", "left")
+
+
+def withdrawal_type() -> str:
+    return "struct<index:bigint,validator_index:bigint,address:string,amount:string>"

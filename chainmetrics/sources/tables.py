@@ -1,4 +1,4 @@
-"""Table layouts, newest versions, slices that are replaced, and keyed upserts, on plain Parquet."""
+"""Table layouts, newest versions, slices that are replaced, and keyed upserts (see keyed), on plain Parquet."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import LAYOUTS, VERSIONED
+from . import keyed
 
 PART = "part"
 
@@ -47,15 +48,16 @@ def replace_slices(rows: DataFrame, path: str, column: str) -> None:
     rows.repartitionByRange(column, *spread).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
-def upsert(rows: DataFrame, path: str, keys: list[str], version: int) -> None:
-    """Add rows as a new version of their keys; read_upserted gives the newest. compact() folds versions away."""
-    rows.withColumn("_version", F.lit(version).cast("long")).write.mode("append").parquet(path)
+def upsert(rows: DataFrame, path: str, keys: list[str], version: int, buckets: int = keyed.BUCKETS) -> None:
+    """Merge rows as a version of their keys; of a key the newest version stays. Only the buckets that rows touch are rewritten."""
+    keyed.merge(rows, path, keys, version, buckets)
 
 
-def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return latest(spark.read.parquet(path), keys, "_version").drop("_version")
+def read_upserted(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """The newest committed state; keys are those of the table."""
+    return keyed.read(spark, path)
 
 
-def compact(spark: SparkSession, path: str, target: str, keys: list[str]) -> None:
-    """Write the newest versions to a new folder, as version 0."""
-    upsert(read_upserted(spark, path, keys), target, keys, 0)
+def compact(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Drop what older states of an upserted table alone consist of; the number of dropped folders."""
+    return keyed.vacuum(spark, path, keep)

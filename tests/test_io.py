@@ -1,9 +1,11 @@
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
+from chainmetrics.operators import market
 from chainmetrics.plans import jobs
-from chainmetrics.sources import readers, sinks, tables
+from chainmetrics.sources import commits, feeds, keyed, readers, sinks, tables
 
 
 def test_slices_are_replaced_and_others_stay(spark, tmp_path):
@@ -20,6 +22,121 @@ def test_upserts_keep_the_newest(spark, tmp_path):
     assert tables.read_upserted(spark, path, ["doc_id"]).collect()[0]["v"] == "new"
 
 
+def test_merge_rewrites_only_the_buckets_it_touches(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v"))
+    assert keyed.merge(rows, path, ["k"], 1, buckets=64) == list(range(64))
+    before = commits.Log(spark, path).newest()["files"]
+    touched = keyed.merge(spark.createDataFrame([("7", -7), ("new", 1), (None, 5)], "k string, v long"), path, ["k"], 2)
+    after = commits.Log(spark, path).newest()["files"]
+    assert 0 < len(touched) <= 3 and {b for b in after if after[b] != before[b]} == set(map(str, touched))
+    got = {r["k"]: r["v"] for r in keyed.read(spark, path).collect()}
+    assert len(got) == 5002 and got["7"] == -7 and got["8"] == 8 and got["new"] == 1 and got[None] == 5
+
+
+def test_a_snapshot_stays_while_others_merge(spark, tmp_path):
+    path = str(tmp_path / "t")
+    one = lambda v: spark.createDataFrame([("a", v)], "k string, v long")
+    keyed.merge(one(1), path, ["k"], 1)
+    old = keyed.read(spark, path)
+    keyed.merge(one(2), path, ["k"], 2)
+    assert old.first()["v"] == 1 and keyed.read(spark, path, version=1).first()["v"] == 1 and keyed.read(spark, path).first()["v"] == 2
+    assert keyed.vacuum(spark, path) == 1 and keyed.read(spark, path).first()["v"] == 2 and commits.Log(spark, path).versions() == [2]
+
+
+def test_merging_a_batch_again_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    batch = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "k string, v long")
+    for _ in range(2):
+        keyed.merge(batch, path, ["k"], 4)
+    keyed.merge(spark.createDataFrame([("b", 9)], "k string, v long"), path, ["k"], 3)
+    assert {tuple(r) for r in keyed.read(spark, path).collect()} == {("a", 3), ("b", 2)}
+
+
+def test_merge_of_nothing_new_columns_and_other_keys(spark, tmp_path):
+    path = str(tmp_path / "t")
+    with pytest.raises(FileNotFoundError):
+        keyed.read(spark, path)
+    assert keyed.merge(spark.createDataFrame([], "k string, v long"), path, ["k"], 1) == [] and keyed.read(spark, path).count() == 0
+    keyed.merge(spark.createDataFrame([("a", 1)], "k string, v long"), path, ["k"], 2)
+    keyed.merge(spark.createDataFrame([("b", 2, "x")], "k string, v long, w string"), path, ["k"], 3)
+    keyed.merge(spark.createDataFrame([("c", 3)], "k string, v long"), path, ["k"], 4)
+    assert {tuple(r) for r in keyed.read(spark, path).select("k", "v", "w").collect()} == {("a", 1, None), ("b", 2, "x"), ("c", 3, None)}
+    with pytest.raises(ValueError):
+        keyed.merge(spark.createDataFrame([("a", 1)], "k string, v long"), path, ["v"], 5)
+
+
+def test_a_merge_that_fails_before_its_commit_is_not_seen(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    keyed.merge(spark.createDataFrame([("a", 1)], "k string, v long"), path, ["k"], 1)
+    with monkeypatch.context() as m:
+        m.setattr(commits.Log, "commit", lambda self, state: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            keyed.merge(spark.createDataFrame([("a", 2)], "k string, v long"), path, ["k"], 2)
+    assert keyed.read(spark, path).first()["v"] == 1
+    log = commits.Log(spark, path)
+    with pytest.raises(commits.Conflict):
+        log.commit(log.newest() | {"version": 0})
+
+
+def test_feeds_commit_tables_together_and_batches_once(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    rows = lambda n: spark.createDataFrame([(n,)], "n long")
+    for batch in range(23):
+        assert feeds.append(spark, root, "f", batch, {"a": rows(batch), "b": rows(-batch)}, more={"cursor": batch}, fan=4)
+        a, b = feeds.read_together(spark, root, "f", ["a", "b"])
+        if batch in (0, 3, 15, 22):
+            assert sorted(r["n"] for r in a.collect()) == sorted(-r["n"] for r in b.collect()) == list(range(batch + 1))
+    assert not feeds.append(spark, root, "f", 22, {"a": rows(99), "b": rows(99)}) and feeds.last(spark, root, "f")["cursor"] == 22
+    assert len(feeds.last(spark, root, "f")["tables"]["a"]["folders"]) <= 9
+    own = feeds.uuid.uuid4
+    calls = iter([own])
+    with monkeypatch.context() as m:  # the second table of the batch cannot be written
+        m.setattr(feeds.uuid, "uuid4", lambda: next(calls)())
+        with pytest.raises(StopIteration):
+            feeds.append(spark, root, "f", 23, {"a": rows(23), "b": rows(-23)})
+    a, b = feeds.read_together(spark, root, "f", ["a", "b"])
+    assert a.count() == b.count() == 23
+    assert feeds.append(spark, root, "f", 23, {"a": rows(23), "b": rows(-23)}) and feeds.vacuum(spark, root, "f") > 0
+    assert [x.count() for x in feeds.read_together(spark, root, "f", ["a", "b"])] == [24, 24]
+
+
+def test_jdbc_rows_come_once_whatever_fails(spark, tmp_path, monkeypatch):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(i, f"n{i % 3}") for i in range(50)], "i long, n string")
+    types = {"createTableColumnTypes": "n VARCHAR(10)"}
+    count = lambda: spark.read.format("jdbc").options(url=url, dbtable="t").load().count()
+    # the first attempt dies in a task, after other tasks have written their rows to staging
+    fail = F.udf(lambda i: i if i != 49 else 1 // 0, "long")
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        sinks.jdbc_append_once(rows.repartition(4).withColumn("i", fail("i")), url, "t", "b1", **types)
+    # the second when the staged rows are moved: the transaction is undone as a whole
+    own = sinks._connection.__call__
+    with monkeypatch.context() as m:
+        m.setattr(sinks._connection, "__call__", lambda self, sql: own(self, sql if not sql.startswith("DROP") else "DROP TABLE not_there"))
+        with pytest.raises(Exception, match="NOT_THERE"):
+            sinks.jdbc_append_once(rows, url, "t", "b1", **types)
+    assert count() == 0
+    assert sinks.jdbc_append_once(rows, url, "t", "b1", **types) and count() == 50
+    assert not sinks.jdbc_append_once(rows, url, "t", "b1", **types) and count() == 50
+    assert sinks.jdbc_append_once(rows.union(rows), url, "t", "it's b2", **types) and count() == 150
+
+
+def test_hourly_job_reads_the_kept_slices_alone(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    ticks = spark.createDataFrame([(f"c{i % 2}", "S", 1.0 + i % 7, float(i % 11), start + timedelta(minutes=17 * i)) for i in range(1000)], "coin_id string, symbol string, current_price double, total_volume double, last_updated timestamp_ntz")
+    at = datetime(2024, 1, 9, 12)
+    jobs.fill_partials(ticks.where(F.col("last_updated") < F.lit(at)), str(tmp_path / "p"))
+    for kept, path in ((None, "plain"), (str(tmp_path / "p"), "kept")):
+        assert jobs.hourly_job(ticks, "2024-01-09 12", str(tmp_path / path), at, kept)
+    plain, kept = ({r["coin_id"]: r for r in spark.read.parquet(str(tmp_path / p)).collect()} for p in ("plain", "kept"))
+    assert plain.keys() == kept.keys() and all(plain[c]["trending_score"] == pytest.approx(kept[c]["trending_score"]) for c in plain)
+    plan = market.baseline_of_partials(jobs.read_partials(spark, str(tmp_path / "p")), at)
+    assert len(plan.inputFiles()) > 160 and "PartitionFilters: [isnotnull(hour" in plan._jdf.queryExecution().executedPlan().toString()
+    read = plan.select(F.lit(1)).sparkSession.read.parquet(str(tmp_path / "p")).where(F.col("hour").between(at - timedelta(days=7), at - timedelta(hours=1))).select("hour").distinct().count()
+    assert read == 168
+
+
 def test_latest_with_maps(spark):
     df = spark.createDataFrame([("a", 1, {"x": 1}), ("a", 2, {"x": 2})], "k string, v long, m map<string,int>")
     assert tables.latest(df, ["k"], "v").first()["m"] == {"x": 2}
