@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bytecode, hexnum
 from ..operators import alerts, blocks, contracts, entities, market, oracle, transfers
+from ..schemas import FIELDS
 from ..session import scratch
 from ..sources import readers, sinks, tables
 from . import fixtures as fx
@@ -84,6 +85,31 @@ def rounded_sql(body: str, source: str, *columns: str, digits: int = 6) -> str:
     return f"WITH {body} SELECT * REPLACE ({', '.join(f'round({c}, {digits}) AS {c}' for c in columns)}) FROM {source}"
 
 
+_KINDS = {"long": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "float": "FLOAT", "boolean": "BOOLEAN", "array<string>": "VARCHAR"}
+
+
+def table_sql(entity: str, source: str, **given: str) -> str:
+    """The whole table view of rows of which `given` are the columns that they have: all others are the entity's defaults."""
+    out = []
+    for name, kind, default in FIELDS[entity]:
+        if default == "*":
+            continue
+        own = "TIMESTAMP" if name in ("last_updated", "ath_date", "atl_date") else _KINDS[kind]
+        value = f"CAST({given.get(name, 'NULL')} AS {own})"
+        if default != "-":
+            value = f"coalesce({value}, CAST('{default}' AS {own}))"
+        out.append(f"{value} AS {'coin_id' if (entity, name) == ('tick', 'id') else name}")
+        if name in entities.WIDE and kind == "string":
+            out.append(f"TRY_CAST({value} AS DOUBLE) AS {name}_double")
+    return f"SELECT {', '.join(out)} FROM {source}"
+
+
+def plain(rows: DataFrame) -> DataFrame:
+    """Times without a zone, and lists as text."""
+    kinds = dict(rows.dtypes)
+    return rows.select(*(F.col(c).cast("timestamp_ntz").alias(c) if k == "timestamp" else F.array_join(c, ",").alias(c) if k == "array<string>" else F.col(c) for c, k in kinds.items()))
+
+
 # market
 
 
@@ -210,11 +236,25 @@ def top_market_cap_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return market.top_coins(users, _listing(users)).select("id", "market_cap", "eth_contract_address")
 
 
-@query(f"WITH {USERS} SELECT id, concat('0x', id) AS eth_contract_address, current_price, market_cap, CAST(NULL AS DOUBLE) AS ath FROM top WHERE event_id % 3 <> 0")
+QUOTED = {  # what the quotes have beside id, price and market cap; the rest is missing or cannot be read
+    "symbol": "concat('S', event_id % 10)", "name": "concat('name ', event_id)", "image": "CASE WHEN event_id % 2 = 0 THEN 'i.png' END", "ath_date": "'2024-01-01T00:00:00Z'", "last_updated": "concat('t', event_id)", "market_cap_rank": "event_id % 500",
+    "fully_diluted_valuation": "current_price * 3", "total_volume": "event_id * 2", "high_24h": "current_price + 1", "low_24h": "current_price - 1", "price_change_24h": "current_price / 2", "price_change_percentage_24h": "event_id % 9",
+    "price_change_percentage_1h_in_currency": "event_id % 7", "price_change_percentage_7d_in_currency": "CASE WHEN event_id % 5 = 0 THEN event_id END", "circulating_supply": "event_id", "total_supply": "event_id + 1", "ath": "'n/a'", "atl": "current_price / 4",
+}
+_UNREAD = {"ath": "NULL"}
+
+
+@query(
+    f"WITH {USERS} SELECT id, concat('0x', id) AS eth_contract_address, current_price, market_cap, "
+    + ", ".join(f"CAST({'NULL' if c in _UNREAD else QUOTED.get(c, 'NULL')} AS DOUBLE) AS {c.removesuffix('_in_currency')}" for c in market.QUOTE_NUMBERS if c not in ("current_price", "market_cap"))
+    + ", "
+    + ", ".join(f"CAST({QUOTED.get(c, 'NULL')} AS VARCHAR) AS {c}" for c in ("symbol", "name", "image", "ath_date", "atl_date", "last_updated"))
+    + f", CAST({QUOTED['market_cap_rank']} AS BIGINT) AS market_cap_rank FROM top WHERE event_id % 3 <> 0"
+)
 def quote_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = _users(spark, sf_dir)
-    quotes = users.where("event_id % 3 <> 0").select("id", "current_price", F.col("market_cap").cast("string").alias("market_cap"), F.lit("n/a").alias("ath"))
-    return market.quoted_ticks(market.top_coins(users, _listing(users)), quotes).select("id", "eth_contract_address", "current_price", "market_cap", "ath")
+    quotes = users.where("event_id % 3 <> 0").select("id", "current_price", F.col("market_cap").cast("string").alias("market_cap"), *(F.expr(sql).alias(c) for c, sql in QUOTED.items()))
+    return market.quoted_ticks(market.top_coins(users, _listing(users)), quotes)
 
 
 @query("SELECT user_id, CASE WHEN user_id % 2 = 0 THEN concat('0xu-', user_id) END AS eth_contract_address FROM (SELECT DISTINCT user_id FROM events)")
@@ -303,69 +343,101 @@ def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.raw_blocks(fx.raw_typed(spark, sf_dir))
 
 
-@query(
-    f"""WITH {DAYS} SELECT n AS number, '' AS hash, CAST(n * n * 1000000 AS VARCHAR) AS difficulty, CAST(n * n * 1000000 AS DOUBLE) AS difficulty_double, CASE WHEN n % 2 = 0 THEN n ELSE 0 END AS base_fee_per_gas,
-  CAST(count(*) AS INT) AS transaction_count, 788918400 + 86400 * n AS timestamp, 0 AS gas_limit, '' AS extra_data, '0' AS total_difficulty FROM good GROUP BY n"""
-)
+BLOCK_TABLE = table_sql("block", "good GROUP BY n", number="n", parent_hash=WORD.format("n - 1"), miner=ADDRESS.format("n"), difficulty="n * n * 1000000", base_fee_per_gas="CASE WHEN n % 2 = 0 THEN n END", transaction_count="count(*)", timestamp="788918400 + 86400 * n")
+
+
+@query(f"WITH {DAYS} {BLOCK_TABLE}")
 def blocks_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = entities.normalised("block", _blocks(spark, sf_dir).withColumn("hash", F.lit(None).cast("string")))
-    return rows.select("number", "hash", "difficulty", "difficulty_double", "base_fee_per_gas", "transaction_count", "timestamp", "gas_limit", "extra_data", "total_difficulty")
+    return plain(entities.normalised("block", _blocks(spark, sf_dir).withColumn("hash", F.lit(None).cast("string"))))
 
 
 def transactions_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return fx.table(spark, sf_dir, "orders").select(fx.wide_hash(key).alias("hash"), F.when(key % 3 != 0, F.round(F.col("o_totalprice") * 100).cast("long").cast("string")).alias("value"), F.when(key % 2 != 0, "x").alias("input"), F.col("o_custkey").alias("nonce"))
+    return fx.table(spark, sf_dir, "orders").select(
+        fx.wide_hash(key).alias("hash"), F.when(key % 3 != 0, F.round(F.col("o_totalprice") * 100).cast("long").cast("string")).alias("value"), F.when(key % 2 != 0, "x").alias("input"), F.col("o_custkey").alias("nonce"),
+        fx.day_number("o_orderdate").alias("block_number"), F.when(key % 5 != 0, fx.address(F.col("o_custkey"))).alias("from_address"), (key % 7).cast("int").alias("transaction_index"), F.when(key % 4 == 0, F.array(F.lit("a"), F.col("o_orderstatus"))).alias("blob_versioned_hashes"), (key % 3).cast("int").alias("receipt_status"),
+    )
+
 
+DAY_NUMBER = "CAST(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS BIGINT)"
 
-@query(f"SELECT {WORD.format('o_orderkey')} AS hash, CASE WHEN o_orderkey % 3 = 0 THEN '0' ELSE CAST(CAST(round(o_totalprice * 100) AS BIGINT) AS VARCHAR) END AS value, 0 AS gas, CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE 'x' END AS input, 'transaction' AS type, o_custkey AS nonce FROM orders")
+
+@query(
+    table_sql(
+        "transaction", "orders", hash=WORD.format("o_orderkey"), value="CASE WHEN o_orderkey % 3 <> 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) END", input="CASE WHEN o_orderkey % 2 <> 0 THEN 'x' END", nonce="o_custkey", block_number=DAY_NUMBER,
+        from_address=f"CASE WHEN o_orderkey % 5 <> 0 THEN {ADDRESS.format('o_custkey')} END", transaction_index="o_orderkey % 7", blob_versioned_hashes="CASE WHEN o_orderkey % 4 = 0 THEN concat('a,', o_orderstatus) END", receipt_status="o_orderkey % 3",
+    )
+)
 def transactions_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.normalised("transaction", transactions_rows(spark, sf_dir)).select("hash", "value", "gas", "input", "type", "nonce")
+    return plain(entities.normalised("transaction", transactions_rows(spark, sf_dir)))
 
 
 def receipts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return fx.table(spark, sf_dir, "orders").select(fx.wide_hash(key).alias("transaction_hash"), F.when(key % 3 != 0, F.col("o_custkey")).alias("gas_used"), F.when(F.col("o_orderstatus") == "F", 1).alias("status"))
+    return fx.table(spark, sf_dir, "orders").select(
+        fx.wide_hash(key).alias("transaction_hash"), F.when(key % 3 != 0, F.col("o_custkey")).alias("gas_used"), F.when(F.col("o_orderstatus") == "F", 1).alias("status"),
+        fx.day_number("o_orderdate").alias("block_number"), F.when(key % 2 == 0, fx.address(key)).alias("contract_address"), (key * 3).alias("cumulative_gas_used"), F.when(key % 4 != 1, key % 11).alias("blob_gas_price"),
+    )
 
 
-@query(f"SELECT {WORD.format('o_orderkey')} AS transaction_hash, CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS gas_used, 'receipt' AS type, '' AS root, CAST(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS INT) AS status FROM orders")
+@query(
+    table_sql(
+        "receipt", "orders", transaction_hash=WORD.format("o_orderkey"), gas_used="CASE WHEN o_orderkey % 3 <> 0 THEN o_custkey END", status="CASE WHEN o_orderstatus = 'F' THEN 1 END", block_number=DAY_NUMBER,
+        contract_address=f"CASE WHEN o_orderkey % 2 = 0 THEN {ADDRESS.format('o_orderkey')} END", cumulative_gas_used="o_orderkey * 3", blob_gas_price="CASE WHEN o_orderkey % 4 <> 1 THEN o_orderkey % 11 END",
+    )
+)
 def receipts_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.normalised("receipt", receipts_rows(spark, sf_dir)).select("transaction_hash", "gas_used", "type", "root", "status")
+    return plain(entities.normalised("receipt", receipts_rows(spark, sf_dir)))
 
 
-@query(f"SELECT {WORD.format('l_orderkey')} AS transaction_hash, CAST(l_linenumber AS INT) AS log_index, coalesce({VALUE}, '0') AS value, 'unknown' AS token_standard, 'unknown' AS transfer_type, '0' AS token_id, '' AS erc1155_mode FROM lineitem")
+@query(table_sql("token_transfer", "lineitem", transaction_hash=WORD.format("l_orderkey"), log_index="l_linenumber", value=VALUE, contract_address=CONTRACT, from_address=ADDRESS.format("l_suppkey"), to_address=ADDRESS.format("l_partkey"), block_timestamp="epoch(l_shipdate)"))
 def token_transfers_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.normalised("token_transfer", fx.transfers(spark, sf_dir)).select("transaction_hash", "log_index", "value", "token_standard", "transfer_type", "token_id", "erc1155_mode")
+    return plain(entities.normalised("token_transfer", fx.transfers(spark, sf_dir)))
 
 
 def contracts_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return fx.table(spark, sf_dir, "part").select(fx.address(key).alias("address"), F.when(key % 2 != 0, F.col("p_name")).alias("name"), key.alias("block_number"))
+    return fx.table(spark, sf_dir, "part").select(
+        fx.address(key).alias("address"), F.when(key % 2 != 0, F.col("p_name")).alias("name"), key.alias("block_number"), F.when(key % 3 == 0, F.col("p_size")).alias("decimals"), F.when(key % 4 == 0, key % 8 == 0).alias("is_erc20"),
+        F.array(F.lit("0x1"), F.col("p_brand")).alias("function_sighashes"), F.when(key % 5 == 0, 0.5).cast("float").alias("impl_classify_confidence"), F.when(key % 7 == 0, key.cast("string")).alias("total_supply"),
+    )
 
 
-@query(f"SELECT {ADDRESS.format('p_partkey')} AS address, CASE WHEN p_partkey % 2 = 0 THEN '' ELSE p_name END AS name, '' AS symbol, CAST(0 AS INT) AS decimals, false AS is_proxy, p_partkey AS block_number FROM part")
+@query(
+    table_sql(
+        "contract", "part", address=ADDRESS.format("p_partkey"), name="CASE WHEN p_partkey % 2 <> 0 THEN p_name END", block_number="p_partkey", decimals="CASE WHEN p_partkey % 3 = 0 THEN p_size END", is_erc20="CASE WHEN p_partkey % 4 = 0 THEN p_partkey % 8 = 0 END",
+        function_sighashes="concat('0x1,', p_brand)", impl_classify_confidence="CASE WHEN p_partkey % 5 = 0 THEN 0.5 END", total_supply="CASE WHEN p_partkey % 7 = 0 THEN p_partkey END",
+    )
+)
 def contracts_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.normalised("contract", contracts_rows(spark, sf_dir)).select("address", "name", "symbol", "decimals", "is_proxy", "block_number")
+    return plain(entities.normalised("contract", contracts_rows(spark, sf_dir)))
 
 
 def ticks_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.date_format("last_updated", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    return fx.ticks(spark, sf_dir).withColumns({"id": F.col("coin_id"), "ath_date": F.when(F.col("event_id") % 2 == 0, text).otherwise("not a date"), "last_updated": text})
+    rows = fx.ticks(spark, sf_dir).withColumns({"id": F.col("coin_id"), "ath_date": F.when(F.col("event_id") % 2 == 0, text).otherwise("not a date"), "atl_date": text, "last_updated": text, "image": F.lit("not in the table")})
+    return rows.drop("max_supply", "total_supply").withColumn("high_24h", F.when(F.col("event_id") % 4 != 0, F.col("current_price") * 2))
 
 
-@query(f"WITH {TICKS} SELECT coin_id, coalesce(price_change_percentage_1h, 0) AS price_change_percentage_1h, '' AS name, last_updated, CASE WHEN event_id % 2 = 0 THEN last_updated END AS ath_date FROM ticks")
+@query(
+    f"WITH {TICKS} "
+    + table_sql(
+        "tick", "ticks", id="coin_id", ath_date="CASE WHEN event_id % 2 = 0 THEN last_updated END", atl_date="last_updated", high_24h="CASE WHEN event_id % 4 <> 0 THEN current_price * 2 END",
+        **{c: c for c in ("symbol", "eth_contract_address", "current_price", "market_cap", "market_cap_rank", "fully_diluted_valuation", "total_volume", "price_change_percentage_1h", "circulating_supply", "ath", "last_updated")},
+    )
+)
 def ticks_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("last_updated", "ath_date")}
-    return entities.normalised("tick", ticks_rows(spark, sf_dir)).select("coin_id", "price_change_percentage_1h", "name", "last_updated", "ath_date").withColumns(ntz)
+    return plain(entities.normalised("tick", ticks_rows(spark, sf_dir)))
 
 
 def protocols_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("p_partkey")
-    return fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("slug"), F.when(key % 2 != 0, F.col("p_type")).alias("category"), F.when(key % 3 != 0, F.col("p_retailprice")).alias("tvl"), F.lit("2024-01-01T00:00:00Z").alias("last_updated"))
+    return fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("slug"), F.when(key % 2 != 0, F.col("p_type")).alias("category"), F.when(key % 3 != 0, F.col("p_retailprice")).alias("tvl"), F.lit("2024-01-01T00:00:00Z").alias("last_updated"), F.array(F.col("p_brand"), F.col("p_type")).alias("chains"), F.when(key % 5 == 0, F.col("p_size").cast("double")).alias("mcap"))
 
 
-@query("SELECT p_name AS slug, CASE WHEN p_partkey % 2 = 0 THEN 'Unknown' ELSE p_type END AS category, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_retailprice END AS tvl, '' AS symbol FROM part")
+@query(table_sql("protocol", "part", slug="p_name", category="CASE WHEN p_partkey % 2 <> 0 THEN p_type END", tvl="CASE WHEN p_partkey % 3 <> 0 THEN p_retailprice END", last_updated="TIMESTAMP '2024-01-01'", chains="concat(p_brand, ',', p_type)", mcap="CASE WHEN p_partkey % 5 = 0 THEN p_size END"))
 def protocols_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.normalised("protocol", protocols_rows(spark, sf_dir)).select("slug", "category", "tvl", "symbol")
+    return plain(entities.normalised("protocol", protocols_rows(spark, sf_dir)))
 
 
 # raw responses
@@ -425,13 +497,18 @@ def receipts_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("transaction_hash", F.size("logs").cast("long").alias("log_count"), F.element_at("logs", 1)["log_index"].alias("first_index"), F.element_at("logs", -1)["log_index"].alias("last_index"))
 
 
-@query(f"SELECT {WORD.format('o_orderkey')} AS hash, o_orderkey % 100 + l AS receipt_gas_used, CAST(s AS BIGINT) AS receipt_status FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS l, max(l_linenumber) AS s FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1) ON o_orderkey = l_orderkey")
+@query(
+    f"""SELECT {WORD.format('o_orderkey')} AS hash, cumulative AS receipt_cumulative_gas_used, price AS receipt_effective_gas_price, lines AS receipt_gas_used, blob_price AS receipt_blob_gas_price, blob_used AS receipt_blob_gas_used,
+  CASE WHEN lines > 2 THEN {ADDRESS.format('l_orderkey')} END AS receipt_contract_address, status AS receipt_status, CASE WHEN l_orderkey % 2 = 0 THEN {WORD.format('blob_used')} END AS receipt_root
+FROM orders LEFT JOIN (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS cumulative, CAST(sum(l_partkey) AS BIGINT) AS price, count(*) AS lines, min(l_suppkey) AS blob_price, max(l_suppkey) AS blob_used, CAST(max(l_linenumber) AS BIGINT) AS status FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey"""
+)
 def tx_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transactions, with receipts made of all their lines; an order without lines has no receipt."""
     transactions = fx.table(spark, sf_dir, "orders").select(fx.wide_hash(F.col("o_orderkey")).alias("hash"))
-    grouped = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy("l_orderkey").agg(F.count("*").alias("l"), F.max("l_linenumber").cast("long").alias("status"))
-    null = F.lit(None).cast("string")
-    receipts = grouped.select(F.upper(fx.wide_hash(F.col("l_orderkey"))).alias("transaction_hash"), (F.col("l_orderkey") % 100 + F.col("l")).alias("gas_used"), "status", *(null.alias(c) for c in ("cumulative_gas_used", "effective_gas_price", "blob_gas_price", "blob_gas_used", "contract_address", "root")))
-    return entities.with_receipts(transactions, receipts).select("hash", "receipt_gas_used", "receipt_status")
+    key = F.col("l_orderkey")
+    sums = fx.table(spark, sf_dir, "lineitem").groupBy(key).agg(F.sum("l_quantity").cast("long").alias("cumulative_gas_used"), F.sum("l_partkey").alias("effective_gas_price"), F.count("*").alias("gas_used"), F.min("l_suppkey").alias("blob_gas_price"), F.max("l_suppkey").alias("blob_gas_used"), F.max("l_linenumber").cast("long").alias("status"))
+    receipts = sums.withColumns({"transaction_hash": F.upper(fx.wide_hash(key)), "contract_address": F.when(F.col("gas_used") > 2, fx.address(key)), "root": F.when(key % 2 == 0, fx.wide_hash(F.col("blob_gas_used")))})
+    return entities.with_receipts(transactions, receipts)
 
 
 @query(
@@ -670,13 +747,12 @@ def metric_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.metric_documents(market.hourly_ohlc(fx.ticks(spark, sf_dir)), "hourly").select("doc_id", "coin_id", "hour")
 
 
-@query(f"WITH {PRICED} SELECT token_symbol, count(*) AS alerts, round(sum(usd_value), 0) AS usd FROM priced WHERE usd_value >= 1000000 OR (token_symbol = 'UNKNOWN' AND amount > 1000000) GROUP BY 1")
+@query(f"WITH {PRICED} {ALERT} WHERE usd_value >= 1000000 OR (token_symbol = 'UNKNOWN' AND amount > 1000000)")
 def alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alerts through a JSON sink and back, by token."""
-    path = scratch(spark)
-    _alerts(spark, sf_dir, alerts.THRESHOLD_USD).write.json(f"{path}/alerts")
-    back = spark.read.schema("token_symbol string, usd_value double").json(f"{path}/alerts")
-    return back.groupBy("token_symbol").agg(F.count("*").alias("alerts"), F.round(F.sum("usd_value"), 0).alias("usd"))
+    """Alerts through a JSON sink and back, whole."""
+    path, found = scratch(spark), _alerts(spark, sf_dir, alerts.THRESHOLD_USD)
+    found.write.json(f"{path}/alerts")
+    return spark.read.schema(found.schema).json(f"{path}/alerts")
 
 
 @query(f"WITH {TICKS} SELECT event_id, CASE WHEN CAST(last_updated AS DATE) = DATE '2024-01-10' THEN current_price * 2 ELSE current_price END AS current_price FROM ticks")
@@ -770,13 +846,13 @@ def doc_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.read_upserted(spark, f"{path}/docs").select("doc_id", "close_price", "eth_contract_address")
 
 
-@query("SELECT concat('chain.', t, 's.v0') AS topic, count(*) AS n FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'block' WHEN 1 THEN 'transaction' WHEN 2 THEN 'odd' END AS t FROM orders) WHERE t IN ('block', 'transaction') GROUP BY 1")
+@query("""SELECT concat('chain.', t, 's.v0') AS topic, CAST(o_orderkey AS VARCHAR) AS key, concat('{"type":"', t, '","o_orderkey":', o_orderkey, '}') AS value FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'block' WHEN 1 THEN 'transaction' WHEN 2 THEN 'odd' END AS t FROM orders) WHERE t IN ('block', 'transaction')""")
 def topic_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("o_orderkey") % 4
     rows = fx.table(spark, sf_dir, "orders").select(F.when(kind == 0, "block").when(kind == 1, "transaction").when(kind == 2, "odd").alias("type"), "o_orderkey")
     path = f"{scratch(spark)}/topics"
-    sinks.routed(rows, "chain.", key="o_orderkey").write.partitionBy("topic").json(path)
-    return spark.read.json(path).groupBy("topic").agg(F.count("*").alias("n"))
+    sinks.routed(rows, "chain.", key="o_orderkey").write.partitionBy("topic").parquet(path)
+    return spark.read.parquet(path).select("topic", "key", "value")
 
 
 @query("SELECT o_orderkey FROM orders UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
@@ -787,8 +863,8 @@ def sink_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/a", f"{path}/b")
 
 
-@query(f"WITH {DAYS} SELECT strftime(DATE '1995-01-01' + CAST(n AS INT), '%Y%m') AS part, count(*) AS n FROM (SELECT DISTINCT n FROM good) GROUP BY 1")
+@query(f"WITH {DAYS} SELECT n AS number, strftime(DATE '1995-01-01' + CAST(n AS INT), '%Y%m') AS part, {WORD.format('n')} AS hash FROM (SELECT DISTINCT n FROM good)")
 def table_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch(spark)}/blocks"
     tables.write_table("blocks", entities.normalised("block", _blocks(spark, sf_dir)), path)
-    return spark.read.parquet(path).groupBy(F.col(tables.PART).cast("string").alias("part")).agg(F.count("*").alias("n"))
+    return spark.read.parquet(path).select("number", F.col(tables.PART).cast("string").alias("part"), "hash")

@@ -139,37 +139,34 @@ def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(q.ORACLES["receipts_normalised"])
 def stream_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = q.receipts_rows(spark, sf_dir).withColumn("type", F.lit("receipt"))
-    return _fed(spark, fx.framed(rows), "receipt", "receipts")[0].select("transaction_hash", "gas_used", "type", "root", "status")
+    return _fed(spark, fx.framed(rows), "receipt", "receipts")[0].transform(q.plain)
 
 
 @query(q.ORACLES["transactions_normalised"])
 def stream_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = q.transactions_rows(spark, sf_dir).withColumn("type", F.lit("transaction"))
-    return _fed(spark, fx.framed(rows), "transaction", "transactions")[0].select("hash", "value", "gas", "input", "type", "nonce")
+    return _fed(spark, fx.framed(rows), "transaction", "transactions")[0].transform(q.plain)
 
 
 @query(q.ORACLES["token_transfers_normalised"])
 def stream_token_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _fed(spark, _transfer_messages(fx.transfers(spark, sf_dir)), "token_transfer", "token_transfers")[0]
-    return found.select("transaction_hash", "log_index", "value", "token_standard", "transfer_type", "token_id", "erc1155_mode")
+    return _fed(spark, _transfer_messages(fx.transfers(spark, sf_dir)), "token_transfer", "token_transfers")[0].transform(q.plain)
 
 
 @query(q.ORACLES["contracts_normalised"])
 def stream_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = q.contracts_rows(spark, sf_dir).withColumn("type", F.lit("contract"))
-    return _fed(spark, fx.framed(rows), "contract", "contracts")[0].select("address", "name", "symbol", "decimals", "is_proxy", "block_number")
+    return _fed(spark, fx.framed(rows), "contract", "contracts")[0].transform(q.plain)
 
 
 @query(q.ORACLES["ticks_normalised"])
 def stream_coin_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _fed(spark, fx.framed(q.ticks_rows(spark, sf_dir)), "tick", "coin_market_history")[0]
-    ntz = {c: F.col(c).cast("timestamp_ntz") for c in ("last_updated", "ath_date")}
-    return found.select("coin_id", "price_change_percentage_1h", "name", "last_updated", "ath_date").withColumns(ntz)
+    return _fed(spark, fx.framed(q.ticks_rows(spark, sf_dir)), "tick", "coin_market_history")[0].transform(q.plain)
 
 
 @query(q.ORACLES["protocols_normalised"])
 def stream_protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _fed(spark, fx.framed(q.protocols_rows(spark, sf_dir)), "protocol", "protocol_metrics")[0].select("slug", "category", "tvl", "symbol")
+    return _fed(spark, fx.framed(q.protocols_rows(spark, sf_dir)), "protocol", "protocol_metrics")[0].transform(q.plain)
 
 
 @query(
