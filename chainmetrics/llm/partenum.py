@@ -12,9 +12,9 @@ needed; a set with no more than `slack` empty projections leaves them out, and s
 partner. The few sets with more of them go through a second, third and fourth dealing of the domain, in which only such sets
 meet, and the last of which keeps the empty ones.
 
-Signatures outnumber documents by far, so they are sorted where they are made: one that several sets of a chunk have
-is known to be shared; of the others one entry of 12 bytes goes to the part of its key, where those without
-company are dropped. A signature that very many sets have is one entry a chunk there, and never a group in memory.
+Signatures outnumber documents by far, so they are sorted where they are made: one that many sets of a chunk have
+is known to be shared; of the others an entry of 12 bytes goes to the part of its key, where those without
+company are dropped. A signature that very many sets have is a few entries a chunk there, and never a group in memory.
 What is shared becomes components like this: stars (each component's likeliest member against one leader of a
 signature), confirmed on full sets, then the pairs across components that sizes and parity bits allow.
 """
@@ -39,6 +39,10 @@ LEVELS = 4
 CHUNK, PART = 8 << 20, 2_000_000
 #: Bits of a key and of a node that travel: chance agreements of either make a candidate more, never a link.
 LOW = np.uint64((1 << 48) - 1)
+#: Sets of a chunk that are named one by one where a key belongs.
+LOCAL = 16
+#: Nodes of a signature that are compared with each other, or with as many others, in one group.
+BLOCK = 1000
 MARK = (1 << 48) - 1
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -140,10 +144,10 @@ def shared_signatures(docs: DataFrame, shingle: int, percent: int, parts: int) -
         again = np.zeros(len(keys), bool)
         again[1:] = keys[1:] == keys[:-1]
         group = np.cumsum(~again) - 1
-        several = (np.bincount(group, minlength=1) > 1)[group] if len(keys) else again
+        several = (np.bincount(group) > LOCAL)[group] if len(keys) else again
         home = _home(keys, parts)
-        # a signature that several sets of this chunk have leaves a mark where its key belongs
-        sent = ~again
+        # a signature that many sets of this chunk have leaves a mark where its key belongs
+        sent = ~(again & several)
         what = np.where(several, np.uint64(MARK), nodes)[sent]
         cuts = np.searchsorted(home[sent], np.arange(parts + 1))
         filled = np.flatnonzero(np.diff(cuts))
@@ -163,10 +167,20 @@ def shared_signatures(docs: DataFrame, shingle: int, percent: int, parts: int) -
         key, node = key[order], node[order]
         new_key = np.append(True, key[1:] != key[:-1])
         new = new_key | np.append(True, node[1:] != node[:-1])
-        key, node, group = key[new], node[new], np.cumsum(new_key[new]) - 1
-        kept = (np.bincount(group) > 1)[group] & (node != MARK)
-        for i in range(0, int(kept.sum()), 100_000):
-            yield found(_final(key[kept][i : i + 100_000], np.full(len(key[kept][i : i + 100_000]), part)), node[kept][i : i + 100_000])
+        key, node, starts = key[new], node[new], np.flatnonzero(new_key[new])
+        many = np.diff(np.append(starts, len(key)))
+        marked = np.zeros(len(key), np.int64)
+        marked[node == MARK] = 1
+        marked = np.add.reduceat(marked, starts) > 0
+        # sets that share one signature mostly share many: what the same sets share counts once, under a name of these sets
+        name = np.where(marked, _final(key[starts], np.full(len(starts), part)), mix(np.add.reduceat(mix(node), starts) + many.astype(np.uint64)).view(np.int64))
+        kept = many > 1
+        once = np.zeros(len(starts), bool)
+        once[np.flatnonzero(kept)[np.unique(name[kept], return_index=True)[1]]] = True
+        rows = np.repeat(once, many) & (node != MARK)
+        name, node = np.repeat(name, many)[rows], node[rows]
+        for i in range(0, len(node), 100_000):
+            yield found(name[i : i + 100_000], node[i : i + 100_000])
 
     def pick(batches):
         now, keys, nodes = None, [], []
@@ -248,14 +262,60 @@ def _components(buckets: DataFrame, classes: DataFrame, docs: DataFrame, shingle
         best = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b"))
         if not best.isEmpty():
             labels = connected_components(labels, materialize(confirm(best, texts, shingle, percent)))
-    inside = buckets.join(labels, "node")
-    mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    inside = materialize(inside.join(mixed, "key").join(near, "node"))
-    left, right = (inside.select("key", F.col("node").alias(k), F.col("comp").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}")) for k in "ab")
-    rest = materialize(left.join(right, (left["key"] == right["key"]) & F.expr("a > b AND ca <> cb") & like).select("a", "b").distinct())
+    rest = materialize(_across(buckets, labels, near, percent))
     return labels if rest.isEmpty() else connected_components(labels, confirm(rest, texts, shingle, percent))
 
 
+def _across(buckets: DataFrame, labels: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """a, b of all pairs of a signature whose components differ and which may be linked by their sizes and parity bits.
+
+    The nodes of a signature are dealt to blocks, and each pair of blocks is a group of its own, so that one with very
+    many nodes is many groups of bounded size; a group's pairs are compared as matrices.
+    """
+    inside = buckets.join(labels, "node")
+    mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high").select("key", "blocks")
+    inside = inside.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    inside = inside.select("key", "node", "comp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
+    groups = inside.join(near, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "odd")
+    groups = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
+
+    def pairs(rows: list[pa.RecordBatch]):
+        t = pa.Table.from_batches(rows).combine_chunks()
+        i, j, own, n = (t.column(c).to_numpy() for c in (1, 2, 3, 6))
+        node, comp = t.column(4).to_pylist(), np.unique(np.array(t.column(5).to_pylist(), object), return_inverse=True)[1]
+        odd = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, ODD_LONGS)
+        # of two blocks the first against the second, of one block each node against those after it
+        left, first = (np.flatnonzero(own == i), np.flatnonzero(own == j)[0]) if i[0] != j[0] else (np.arange(len(n)), 0)
+        found = []
+        for at in (left[k : k + 32] for k in range(0, len(left), 32)):
+            total = n[at, None] + n[None, first:]
+            likely = (comp[at, None] != comp[None, first:]) & (100 * np.minimum(n[at, None], n[None, first:]) >= percent * np.maximum(n[at, None], n[None, first:]))
+            if i[0] == j[0]:
+                likely &= at[:, None] < np.arange(len(n))[None, :]
+            if likely.any():
+                differing = np.bitwise_count(odd[at, None, :] ^ odd[None, first:, :]).sum(axis=2, dtype=np.int64)
+                x, y = np.nonzero(likely & ((100 + percent) * differing <= (100 - percent) * total))
+                found += [tuple(sorted((node[at[u]], node[first + v]))) for u, v in zip(x, y)]
+        return pa.RecordBatch.from_arrays([pa.array([f[1] for f in found], pa.binary()), pa.array([f[0] for f in found], pa.binary())], ["a", "b"])
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            names = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            starts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for a, b in zip(starts[:-1], starts[1:]):
+                if a < b:
+                    if held and names[a] != now:
+                        yield pairs(held)
+                        held = []
+                    now = names[a]
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield pairs(held)
+
+    return groups.mapInArrow(run, "a binary, b binary").distinct()
+
+
 def _alike(percent: int) -> Column:
     """What linked sets have: sizes close to each other, and parity bits that differ in no more places than they may in shingles."""
     differing = " + ".join(f"bit_count(oa[{i}] ^ ob[{i}])" for i in range(ODD_LONGS))
