@@ -252,17 +252,22 @@ def _components(buckets: DataFrame, classes: DataFrame, docs: DataFrame, shingle
     def side(k: str) -> DataFrame:
         return near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"))
 
+    left = materialize(buckets.join(open_nodes.select("node", "score"), "node"))
     for turn in range(stars):
         # the first leader of a signature is the node with most neighbours, which is near the middle of its group
         order = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        inside = buckets.join(labels, "node").join(open_nodes.select("node", "score"), "node").withColumn("order", order)
-        lead = inside.groupBy("key").agg(F.max(F.struct("order", "node", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.col("l.node").alias("b"), F.col("l.comp").alias("cb"))
-        star = inside.join(lead, "key").where("comp <> cb").groupBy(F.col("node").alias("a"), "b", F.col("comp").alias("ca")).agg(F.count("*").alias("shared"))
+        inside = left.join(labels, "node")
+        lead = inside.groupBy("key").agg(F.max(F.struct(order.alias("order"), "node", "comp")).alias("l"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key", F.col("l.node").alias("b"), F.col("l.comp").alias("cb"))
+        # signatures whose nodes have become one component are done with
+        mixed = materialize(inside.join(lead, "key"))
+        star = mixed.where("comp <> cb").groupBy(F.col("node").alias("a"), "b", F.col("comp").alias("ca")).agg(F.count("*").alias("shared"))
         pairs = star.groupBy("ca").agg(F.max(F.struct("shared", F.xxhash64("a", "b"), "a", "b")).alias("p")).select("p.a", "p.b")
         best = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b"))
+        left = mixed.select("key", "node", "score")
         if not best.isEmpty():
             labels = connected_components(labels, materialize(confirm(best, texts, shingle, percent)))
-    rest = materialize(_across(buckets, labels, near, percent))
+    found = _across(left, labels, near, percent)
+    rest = materialize(found.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b"))
     return labels if rest.isEmpty() else connected_components(labels, confirm(rest, texts, shingle, percent))
 
 
@@ -273,17 +278,19 @@ def _across(buckets: DataFrame, labels: DataFrame, near: DataFrame, percent: int
     many nodes is many groups of bounded size; a group's pairs are compared as matrices.
     """
     inside = buckets.join(labels, "node")
+    # 1024 parities, folded from the 2048: as exact, and enough for all but very long texts
+    short = near.select("node", "n", F.zip_with(F.slice("odd", 1, ODD_LONGS // 2), F.slice("odd", ODD_LONGS // 2 + 1, ODD_LONGS // 2), lambda x, y: x.bitwiseXOR(y)).alias("odd"))
     mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high").select("key", "blocks")
     inside = inside.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     inside = inside.select("key", "node", "comp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    groups = inside.join(near, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "odd")
+    groups = inside.join(short, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "odd")
     groups = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def pairs(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
         i, j, own, n = (t.column(c).to_numpy() for c in (1, 2, 3, 6))
         node, comp = t.column(4).to_pylist(), np.unique(np.array(t.column(5).to_pylist(), object), return_inverse=True)[1]
-        odd = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, ODD_LONGS)
+        odd = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, ODD_LONGS // 2)
         # of two blocks the first against the second, of one block each node against those after it
         left, first = (np.flatnonzero(own == i), np.flatnonzero(own == j)[0]) if i[0] != j[0] else (np.arange(len(n)), 0)
         found = []
