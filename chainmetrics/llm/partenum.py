@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORDS, digests, map_chunks, materialize, mix, shingle_sets, text_bytes
+from .common import SPACE_WORDS, digests, list_array, map_chunks, materialize, mix, shingle_sets, text_bytes
 from .components import connected_components
-from .minhash import ODD_LONGS, confirm, texts_of
+from .minhash import confirm, texts_of
 
 #: Dealings of the domain for sets with many empty projections.
 LEVELS = 4
@@ -39,6 +39,8 @@ LEVELS = 4
 CHUNK, PART = 8 << 20, 2_000_000
 #: Bits of a key and of a node that travel: chance agreements of either make a candidate more, never a link.
 LOW = np.uint64((1 << 48) - 1)
+#: Longs of parity bits that a set carries: two sets' bits differ in no more places than the sets differ in shingles.
+ODD_LONGS = 16
 #: Sets of a chunk that are named one by one where a key belongs.
 LOCAL = 16
 #: Nodes of a signature that are compared with each other, or with as many others, in one group.
@@ -202,8 +204,13 @@ def shared_signatures(docs: DataFrame, shingle: int, percent: int, parts: int) -
     return made.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(pick, "key long, low long")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    places = (mix(shingles + np.uint64(1)) & np.uint64(ODD_LONGS * 64 - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=ODD_LONGS * 64) & 1).astype(bool)).view(np.int64)
+
+
 def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, n_shingles, node (a digest of the set; null if it is empty), low (bits of the node)."""
+    """doc_id, n_shingles, node (a digest of the set; null if it is empty), low (bits of the node), odd (parity bits)."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def run(batch: pa.RecordBatch):
@@ -211,9 +218,10 @@ def sets_of(docs: DataFrame, shingle: int) -> DataFrame:
         nodes = digests(sets)
         some = np.array([len(s) > 0 for s in sets], bool)
         low = _nodes48(nodes).astype(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x if s else None for x, s in zip(nodes, some)], pa.binary()), pa.array(low, mask=~some)], ["doc_id", "n_shingles", "node", "low"])
+        odd = list_array(np.array([parities(s) for s in sets], np.int64).reshape(-1, ODD_LONGS), ODD_LONGS, pa.int64())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x if s else None for x, s in zip(nodes, some)], pa.binary()), pa.array(low, mask=~some), odd], ["doc_id", "n_shingles", "node", "low", "odd"])
 
-    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, node binary, low long")
+    return map_chunks(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, node binary, low long, odd array<long>")
 
 
 def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, stars: int = 3, part: int = PART) -> DataFrame:
@@ -226,7 +234,7 @@ def jaccard_components(docs: DataFrame, shingle: int = 5, percent: int = 80, sta
     unless it is linked with others. No rows: no rows. percent is from 1 to 100.
     """
     all_rows = materialize(sets_of(docs, shingle))
-    classes = materialize(all_rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("low").alias("low")))
+    classes = materialize(all_rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("low").alias("low"), F.first("odd").alias("odd")))
     total = classes.agg(F.sum("n")).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // part + 1)
     found = materialize(shared_signatures(docs, shingle, percent, parts))
@@ -243,16 +251,21 @@ def _components(buckets: DataFrame, classes: DataFrame, docs: DataFrame, shingle
     """node, comp of every node that shares a signature (buckets: key, node)."""
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size"))
     score = buckets.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("score"))
-    open_nodes = materialize(score.join(classes.select("node", "rep", "n"), "node"))
-    texts = materialize(texts_of(docs, open_nodes.select("rep"), shingle).join(open_nodes.select("node"), "node", "left_semi").dropDuplicates(["node"]))
-    near = materialize(open_nodes.select("node", "n").join(texts.select("node", "odd"), "node"))
+    open_nodes = materialize(score.join(classes.select("node", "rep", "n", "odd"), "node"))
     labels = open_nodes.select("node", F.col("node").alias("comp"))
     like = _alike(percent)
 
     def side(k: str) -> DataFrame:
-        return near.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"))
+        return open_nodes.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("odd").alias(f"o{k}"))
 
     left = materialize(buckets.join(open_nodes.select("node", "score"), "node"))
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        """The pairs that are linked by their full sets; texts are read anew, those of the pairs alone."""
+        needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        reps = materialize(needed.join(open_nodes.select("node", "rep"), "node"))
+        found = texts_of(docs, reps.select("rep"), shingle).select("node", "text")
+        return materialize(confirm(pairs, found.join(reps.select("node"), "node", "left_semi").dropDuplicates(["node"]), shingle, percent))
+
     for turn in range(stars):
         # the first leader of a signature is the node with most neighbours, which is near the middle of its group
         order = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
@@ -265,32 +278,29 @@ def _components(buckets: DataFrame, classes: DataFrame, docs: DataFrame, shingle
         best = materialize(pairs.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b"))
         left = mixed.select("key", "node", "score")
         if not best.isEmpty():
-            labels = connected_components(labels, materialize(confirm(best, texts, shingle, percent)))
-    found = _across(left, labels, near, percent)
-    rest = materialize(found.join(side("a"), "a").join(side("b"), "b").where(like).select("a", "b"))
-    return labels if rest.isEmpty() else connected_components(labels, confirm(rest, texts, shingle, percent))
+            labels = connected_components(labels, confirmed(best))
+    rest = materialize(_across(left, labels, open_nodes, percent))
+    return labels if rest.isEmpty() else connected_components(labels, confirmed(rest))
 
 
-def _across(buckets: DataFrame, labels: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, labels: DataFrame, open_nodes: DataFrame, percent: int) -> DataFrame:
     """a, b of all pairs of a signature whose components differ and which may be linked by their sizes and parity bits.
 
     The nodes of a signature are dealt to blocks, and each pair of blocks is a group of its own, so that one with very
     many nodes is many groups of bounded size; a group's pairs are compared as matrices.
     """
     inside = buckets.join(labels, "node")
-    # 1024 parities, folded from the 2048: as exact, and enough for all but very long texts
-    short = near.select("node", "n", F.zip_with(F.slice("odd", 1, ODD_LONGS // 2), F.slice("odd", ODD_LONGS // 2 + 1, ODD_LONGS // 2), lambda x, y: x.bitwiseXOR(y)).alias("odd"))
     mixed = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("low <> high").select("key", "blocks")
     inside = inside.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
     inside = inside.select("key", "node", "comp", "own", F.explode(F.expr("sequence(0L, blocks - 1)")).alias("other"))
-    groups = inside.join(short, "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "odd")
+    groups = inside.join(open_nodes.select("node", "n", "odd"), "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "odd")
     groups = groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own")
 
     def pairs(rows: list[pa.RecordBatch]):
         t = pa.Table.from_batches(rows).combine_chunks()
         i, j, own, n = (t.column(c).to_numpy() for c in (1, 2, 3, 6))
         node, comp = t.column(4).to_pylist(), np.unique(np.array(t.column(5).to_pylist(), object), return_inverse=True)[1]
-        odd = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, ODD_LONGS // 2)
+        odd = t.column(7).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, ODD_LONGS)
         # of two blocks the first against the second, of one block each node against those after it
         left, first = (np.flatnonzero(own == i), np.flatnonzero(own == j)[0]) if i[0] != j[0] else (np.arange(len(n)), 0)
         found = []
