@@ -3,8 +3,8 @@
 Edits form a lattice: a node is a number of rows read and what the kept roles end in. Keep, rerole and delete read a row,
 insert reads none. A bidirectional Dijkstra search runs from both ends; when the heaps' smallest costs add up to more than
 the best crossing, every crossing of least cost is known, and the one with the least concatenated audit is taken.
-Labels are chains that share their tails, so a conversation costs a few numbers a turn, and of two labels of equal
-cost only what differs is compared.
+The search keeps costs alone, and edits are read off the ways of least cost afterwards, so a turn takes some dozens of
+bytes.
 
 Spark deals the work out by conversation. The rows of one come sorted, first without and then with their texts, so that a
 task holds only initials and faults of a conversation; texts stream by.
@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -34,46 +35,6 @@ FAULTS = ("", "blank", "duplicate", "truncated")
 EMPTY_SHA = hashlib.sha256(b"").hexdigest()
 
 
-class Label:
-    """The best known way to a node: its cost, its last edit (of a way back: its first), and the rest as another label."""
-
-    __slots__ = ("cost", "edit", "rest", "length", "node")
-
-    def __init__(self, cost: int, edit: str, rest: Label | None, node: tuple[int, int]):
-        self.cost, self.edit, self.rest, self.node = cost, edit, rest, node
-        self.length = rest.length + 1 if rest else 0
-
-    def edits(self) -> list[str]:
-        out, label = [], self
-        while label.rest:
-            out.append(label.edit)
-            label = label.rest
-        return out
-
-
-def _prefix_less(a: Label, b: Label) -> bool:
-    """Whether a's edits come before b's. Two ways of equal cost to a node never continue each other."""
-    left, right = [], []
-    while a is not b:
-        if a.length >= b.length:
-            left.append(a.edit)
-            a = a.rest
-        else:
-            right.append(b.edit)
-            b = b.rest
-    return left[::-1] < right[::-1]
-
-
-def _suffix_less(a: Label, b: Label) -> bool:
-    while a is not b:
-        if not a.rest or not b.rest:
-            return not a.rest and bool(b.rest)
-        if a.edit != b.edit:
-            return a.edit < b.edit
-        a, b = a.rest, b.rest
-    return False
-
-
 def _ahead(node: tuple[int, int], initials: list[str], faults: list[int]):
     """edit, cost, next node of all edits from a node."""
     i, q = node
@@ -109,38 +70,66 @@ def cheapest(initials: list[str], faults: list[int]) -> tuple[int, str]:
     initials: of the rows' roles; faults: 0 none, 1 blank, 2 duplicate (both must go), 3 truncated.
     """
     n = len(initials)
-    ways = ({(0, START): Label(0, "", None, (0, START))}, {(n, q): Label(0, "", None, (n, q)) for q in ENDS})
-    # of equal costs, edits that cost nothing lead to what is popped later, so a label is final when it is popped
-    heaps = ([(0, 0, START)], [(0, -n, q) for q in ENDS])
-    heapq.heapify(heaps[1])
-    done: tuple[set, set] = (set(), set())
-    best = min((x.cost + ways[1][v].cost for v, x in ways[0].items() if v in ways[1]), default=None)
-    while all(heaps) and (best is None or heaps[0][0][0] + heaps[1][0][0] <= best):
+    # least costs known so far from the start and to the end, by 4 * rows read + state; -1: none
+    known = tuple(array("q", [-1]) * (4 * n + 4) for _ in range(2))
+    heaps: tuple[list, list] = ([], [])
+    best = -1
+
+    def reach(side: int, node: tuple[int, int], cost: int) -> None:
+        nonlocal best
+        at = 4 * node[0] + node[1]
+        if known[side][at] < 0 or cost < known[side][at]:
+            known[side][at] = cost
+            heapq.heappush(heaps[side], (cost, *node))
+            if known[1 - side][at] >= 0 and (best < 0 or cost + known[1 - side][at] < best):
+                best = cost + known[1 - side][at]
+
+    reach(0, (0, START), 0)
+    for q in ENDS:
+        reach(1, (n, q), 0)
+    while all(heaps) and (best < 0 or heaps[0][0][0] + heaps[1][0][0] <= best):
         side = 0 if heaps[0][0][0] <= heaps[1][0][0] else 1
         cost, i, q = heapq.heappop(heaps[side])
-        node = (abs(i), q)
-        if node in done[side]:
-            continue
-        done[side].add(node)
-        own, less = ways[side][node], (_prefix_less, _suffix_less)[side]
-        for edit, price, to in (_ahead, _back)[side](node, initials, faults):
-            label, known = Label(cost + price, edit, own, to), ways[side].get(to)
-            if known is None or label.cost < known.cost or label.cost == known.cost and less(label, known):
-                ways[side][to] = label
-                heapq.heappush(heaps[side], (label.cost, to[0] if side == 0 else -to[0], to[1]))
-                other = ways[1 - side].get(to)
-                if other and (best is None or label.cost + other.cost < best):
-                    best = label.cost + other.cost
-    audits = []
-    for node, ahead in ways[0].items():
-        back = ways[1].get(node)
-        if back is None or ahead.cost + back.cost != best:
-            continue
-        before = ahead.rest and ways[1].get(ahead.rest.node)
-        if before and before.rest is back and before.edit == ahead.edit:  # the same way crosses a node earlier
-            continue
-        audits.append("".join(ahead.edits()[::-1] + back.edits()))
-    return best, min(audits)
+        if cost == known[side][4 * i + q]:
+            for _, price, to in (_ahead, _back)[side]((i, q), initials, faults):
+                reach(side, to, cost + price)
+    return best, "".join(_least(initials, faults, known, best))
+
+
+def _least(initials: list[str], faults: list[int], known: tuple[array, array], best: int) -> list[str]:
+    """The ASCII-least edits among all ways that cross at the least cost.
+
+    Nodes on such ways are marked from the crossings to both ends. Then the least edit that leads on is taken, from all
+    nodes that the edits so far may have come to. Ways of equal cost never continue each other, so the first end is the least.
+    """
+    ahead, back = known
+    size = len(ahead)
+    crossings = [x for x in range(size) if ahead[x] >= 0 and back[x] >= 0 and ahead[x] + back[x] == best]
+    # costs of other nodes may not be final: marks tell which are, from the start and to the end
+    marks = (bytearray(size), bytearray(size))
+    for way, costs, on in zip((_back, _ahead), known, marks):
+        todo = crossings[:]
+        for x in crossings:
+            on[x] = 1
+        while todo:
+            x = todo.pop()
+            for _, price, to in way(divmod(x, 4), initials, faults):
+                y = 4 * to[0] + to[1]
+                if not on[y] and costs[y] >= 0 and costs[y] + price == costs[x]:
+                    on[y] = 1
+                    todo.append(y)
+
+    def leads_on(u: tuple[int, int], price: int, v: tuple[int, int]) -> bool:
+        a, b = 4 * u[0] + u[1], 4 * v[0] + v[1]
+        return marks[0][a] and marks[0][b] and ahead[a] + price == ahead[b] or marks[1][a] and marks[1][b] and back[b] + price == back[a]
+
+    now, out = {(0, START)}, []
+    while not any(i == len(initials) and q in ENDS for i, q in now):
+        steps = [(edit, to) for node in now for edit, price, to in _ahead(node, initials, faults) if leads_on(node, price, to)]
+        least = min(edit for edit, _ in steps)
+        out.append(least)
+        now = {to for edit, to in steps if edit == least}
+    return out
 
 
 def damaged(conversations: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chainmetrics.llm import columns, compact, minhash
 from chainmetrics.llm.components import connected_components
@@ -241,3 +242,29 @@ def test_passages_with_two_equally_common_shifts():
     left = np.concatenate((a, u))
     right = np.concatenate((a, np.arange(1000, 1300, dtype=np.uint64), u))
     assert compact.verified(left, right, (0, len(left)), 46, 80) == []
+
+
+def test_passages_by_stars_equal_those_by_all_pairs_and_brute_force(spark):
+    """The way that the registered query takes: near copies around the threshold, a common licence, copies, ties, odd rows, a very long text and columns of clashing names."""
+    rng = random.Random(12)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    licence, base, long = words(25), words(90), words(30_000)
+    texts = [words(25) + licence + words(25) for _ in range(10)]
+    for edits in (0, 2, 5, 8) * 6:
+        own = list(base)
+        for place in rng.sample(range(90), edits):
+            own[place] = "edit"
+        texts.append(words(5) + own + words(5))
+    texts += [long + base[:60], words(5) + long[1000:1070]]
+    texts = [" ".join(t) for t in texts]
+    odd = [(900, None), (901, ""), (902, texts[12]), (902, texts[12]), (None, texts[3]), (903, "a b"), (904, "a b")]
+    rows = [(d, t, "k", 1, 2) for d, t in [*enumerate(texts), *odd]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, key string, node int, c int").repartition(3)
+    # where passages end may differ by the partner that they were held against, what is repeated and with whom may not
+    whole = lambda found: sorted(map(str, (tuple(r) for r in found.select("doc_id", "n_words", "component_id", F.col("n_repeated") >= 50).collect())))
+    pairs = compact.passages(df)
+    assert whole(compact.passages(df, all_links=False)) == whole(pairs)
+    linked = {r["doc_id"]: r["n_links"] > 0 for r in pairs.collect()}
+    short = [t if len(t) < 10**5 else " ".join(t.split()[-60:] + t.split()[1000:1070]) for t in texts]  # what of the long text others have
+    assert [linked[i] for i in range(len(texts))] == [n > 0 or i == 3 or i == 12 for i, n in enumerate(brute_links(short, 50))]
+    assert compact.passages(df.limit(0), all_links=False).count() == 0
