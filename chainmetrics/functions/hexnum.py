@@ -94,18 +94,6 @@ def word_address(word: Column) -> Column:
     return F.when((F.length(word) >= 42) & (address != ZERO_ADDRESS), address)
 
 
-def uint_at(data: Column, index: int) -> Column:
-    """Decimal text of the index-th word; null if the data end before it is full."""
-    word = F.get(words(data), F.lit(index))
-    return F.when(F.length(word) == 64, u256_decimal(word))
-
-
-def two_uints(data: Column) -> Column:
-    """(id, value) of ABI data (uint256, uint256); null if malformed."""
-    first, second = uint_at(data, 0), uint_at(data, 1)
-    return F.when(first.isNotNull() & second.isNotNull(), F.struct(first.alias("token_id"), second.alias("value")))
-
-
 def _array_at(parts: Column, slot: int) -> Column:
     """The uint256[] whose offset stands in word `slot`; null if offset or length lead outside the data."""
     offset = hex_to_dec(F.get(parts, F.lit(slot)))
