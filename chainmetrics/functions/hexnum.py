@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 ZERO_ADDRESS = "0x" + "0" * 40
 #: Wide numbers are read in parts of 14 hex digits (56 bits) and written in limbs of 18 decimal digits.
 PART, BITS, LIMB, LIMBS = 14, 56, 10**18, 5
+WIDTH = LIMBS * PART
 
 
 def strip_0x(text: Column) -> Column:
-    return F.regexp_replace(text, "^0[xX]", "")
+    return F.when(F.lower(F.left(text, F.lit(2))) == "0x", F.substring(text, 3, 1 << 30)).otherwise(text)
 
 
 def hex_to_dec(text: Column) -> Column:
     """Long of a hex text of at most 63 bits; null if null, empty, malformed or longer."""
-    digits = F.regexp_replace(strip_0x(text), "^0+(?=.)", "")
-    return F.when(digits.rlike("^[0-9a-fA-F]{1,15}$|^[0-7][0-9a-fA-F]{15}$"), F.conv(digits, 16, 10).cast("long"))
+    digits = strip_0x(text)
+    return F.when(digits.rlike("^(?=.)0*+(?:[1-7][0-9a-fA-F]{15}|[0-9a-fA-F]{0,15})$"), F.conv(F.right(digits, F.lit(16)), 16, 10).cast("long"))
 
 
 def normalized_address(text: Column) -> Column:
@@ -27,23 +29,29 @@ def normalized_address(text: Column) -> Column:
     return F.lower(text)
 
 
+def _named(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, which is computed once, however often body names it; its code does not grow with each."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def u256_decimal(text: Column) -> Column:
     """Decimal text of a hex text of at most 256 bits; null if null, empty, malformed or longer.
 
-    What fits 63 bits is one conversion, what fits 112 bits two halves in decimal arithmetic, both in generated code. Only
-    longer numbers are folded limb by limb.
+    What fits 60 bits is one conversion, what fits 112 bits two halves in decimal arithmetic. Only longer numbers are
+    folded limb by limb.
     """
-    digits = F.regexp_replace(strip_0x(text), "^0+(?=.)", "")
-    half = lambda start: F.conv(F.substring(F.lpad(digits, 2 * PART, "0"), start, PART), 16, 10).cast("decimal(17,0)")
-    halves = half(1) * F.lit(2**BITS).cast("decimal(17,0)") + half(PART + 1)
-    short = F.when(F.length(digits) <= 15, F.conv(digits, 16, 10)).when(F.length(digits) <= 2 * PART, halves.cast("string")).otherwise(_long_decimal(digits))
-    return F.when(strip_0x(text).rlike("^[0-9a-fA-F]{1,64}$"), short)
+    return _named(strip_0x(text), lambda d: F.when(d.rlike("^[0-9a-fA-F]{1,64}$"), _named(F.lpad(d, WIDTH, "0"), _padded_decimal)))
+
+
+def _padded_decimal(padded: Column) -> Column:
+    part = lambda start, digits: F.conv(F.substring(padded, start + 1, digits), 16, 10)
+    halves = part(WIDTH - 2 * PART, PART).cast("decimal(17,0)") * F.lit(2**BITS).cast("decimal(17,0)") + part(WIDTH - PART, PART).cast("decimal(17,0)")
+    return F.when(F.startswith(padded, F.lit("0" * (WIDTH - 15))), part(WIDTH - 15, 15)).when(F.startswith(padded, F.lit("0" * (WIDTH - 2 * PART))), halves.cast("string")).otherwise(_long_decimal(padded))
 
 
-def _long_decimal(digits: Column) -> Column:
-    """Decimal text of at most 64 hex digits, by limbs of 18 decimal digits from the low end."""
-    padded = F.lpad(digits, 5 * PART, "0")
-    parts = F.array(*(F.conv(F.substring(padded, i * PART + 1, PART), 16, 10).cast("decimal(20,0)") for i in range(5)))
+def _long_decimal(padded: Column) -> Column:
+    """Decimal text of WIDTH hex digits, by limbs of 18 decimal digits from the low end."""
+    parts = F.array(*(F.conv(F.substring(padded, i * PART + 1, PART), 16, 10).cast("decimal(20,0)") for i in range(LIMBS)))
     limbs = F.aggregate(parts, F.array_repeat(F.lit(0).cast("decimal(20,0)"), LIMBS), _fold)
     return F.regexp_replace(F.array_join(F.transform(F.reverse(limbs), lambda x: F.lpad(x.cast("string"), 18, "0")), ""), "^0+(?=.)", "")
 
@@ -72,15 +80,13 @@ def to_double(text: Column) -> Column:
 
 def words(data: Column) -> Column:
     """The 32-byte words of log data, as 64 hex digits each; a last part that is not full is kept as it is."""
-    digits = strip_0x(F.coalesce(data, F.lit("")))
-    count = F.ceil(F.length(digits) / 64).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(digits, i * 64 + 1, F.lit(64)))).otherwise(F.array().cast("array<string>"))
+    return chunks(strip_0x(F.coalesce(data, F.lit(""))), 64)
 
 
 def chunks(text: Column, size: int) -> Column:
     """text in parts of size characters."""
-    count = F.ceil(F.length(text) / size).cast("int")
-    return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size)))).otherwise(F.array().cast("array<string>"))
+    parts = lambda t: F.transform(F.sequence(F.lit(0), F.ceil(F.length(t) / size).cast("int") - 1), lambda i: F.substring(t, i * size + 1, F.lit(size)))
+    return _named(text, lambda t: F.when(F.length(t) > 0, parts(t)).otherwise(F.when(t.isNotNull(), F.array().cast("array<string>"))))
 
 
 def topic_address(topic: Column) -> Column:

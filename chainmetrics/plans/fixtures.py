@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import contracts as c
 from ..operators.alerts import KNOWN_TOKENS
 from ..operators.transfers import TRANSFER, TRANSFER_BATCH, TRANSFER_SINGLE
+from ..sources.readers import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -122,7 +123,7 @@ def raw_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..schemas import RAW
 
     text = raw_responses(spark, sf_dir).select(F.to_json(F.struct("number", "block", "receipts", "error")).alias("j"))
-    return text.select(F.from_json("j", RAW).alias("r")).select("r.*")
+    return spread(text).select(F.from_json("j", RAW).alias("r")).select("r.*")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,7 +148,8 @@ def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, F.concat(F.lit("0x"), hex_word(part), hex_word(cents)))
         .otherwise(F.concat(F.lit("0x"), fixed(64), fixed(160), fixed(2), hex_word(part), hex_word(part + 1), fixed(2), hex_word(cents), hex_word(cents + 1)))
     )
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    return spread(lines).select(
         day_number("l_shipdate").alias("block_number"),
         wide_hash(F.col("l_orderkey")).alias("transaction_hash"),
         line.cast("long").alias("log_index"),

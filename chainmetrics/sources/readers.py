@@ -90,3 +90,9 @@ def day(table: DataFrame, date: str, column: str = "last_updated") -> DataFrame:
 def ready(table: DataFrame) -> bool:
     """Whether there is any row; one is read at most from the first partitions that have some."""
     return not table.limit(1).isEmpty()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt to as many tasks as can run at once, if they come from fewer: one file of few splits would leave cores idle behind costly expressions."""
+    tasks = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= tasks else rows.repartition(tasks)
