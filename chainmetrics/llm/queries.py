@@ -67,7 +67,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_pii_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.digest(pii.find(table(spark, sf_dir, "documents")))
+    return pii.digest(pii.find(table(spark, sf_dir, "documents"), **pii.EVIDENCE))
 
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -304,6 +306,79 @@ def test_terms_that_disclose_are_generalised(spark):
     assert got[200] == "zanzibar" and got[105] == rows[9][1] and got[4] == ""
 
 
+def brute_terms(texts, disclosure, z):
+    """For each text its terms that disclose one of its entities, by the definition over pairs of sets of texts."""
+    word = re.compile("[a-z0-9_'-]{3,}")
+    taken_out = "|".join(p.pattern for k, p in PII.items() if k != "card") + r"|[0-9]([\x20-]?[0-9]){12,}"
+    values = [{m.group() for k, p in PII.items() for m in p.finditer(t) if brute_pii(m.group()) == f"{k}:0:{len(m.group())}"} for t in texts]
+    terms = [set(word.findall(t.lower())) for t in texts]
+    distinct = sorted(set(texts))
+    first = [texts.index(t) for t in distinct]
+    n_term, n_entity, n_both = Counter(), Counter(), Counter()
+    for i in first:
+        n_term.update(terms[i])
+        n_entity.update(values[i])
+        near = set()
+        for raw, line in zip(texts[i].split("\n"), re.sub(taken_out, " ", texts[i]).lower().split("\n")):
+            near |= {(e, t) for e in values[i] if e in raw for t in word.findall(line)}
+        n_both.update(near)
+
+    def discloses(e, t):
+        k, n, content = n_both[e, t], n_term[t], math.log(len(first) / n_entity[e])
+        if z is None:
+            share = k / n
+        elif k < 2:
+            share = 0
+        else:
+            k, n = k - 1, n - 1
+            p = k / n
+            share = (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+        return content > 0 and share > 0 and math.log(share * len(first) / n_entity[e]) >= disclosure * content
+
+    telling = [(e, t) for e, t in n_both if discloses(e, t)]
+    return [{t for e, t in telling if e in values[i] and t in terms[i]} for i in range(len(texts))]
+
+
+def named_corpus():
+    """Six people of whom some texts tell the address, four of them by a name that nobody else has; a rare word on every line."""
+    rng = random.Random(9)
+    pool = [f"word{i}" for i in range(60)]
+    texts = []
+    for i in range(600):
+        line = rng.sample(pool, 8) + [f"rare{i}"]
+        if i < 48:
+            who = i % 6
+            line += [f"name{who}" if who < 4 else "chris", f"user{who}@example.org"]
+        elif i < 96:
+            line += ["chris"]
+        rng.shuffle(line)
+        texts.append(" ".join(rng.sample(pool, 5)) + "\n" + " ".join(line))
+    return [*texts, texts[0], texts[0], "", "10.0.0.1"]
+
+
+@pytest.mark.parametrize("evidence", [{}, pii.EVIDENCE])
+def test_terms_that_disclose_equal_brute_force(spark, evidence):
+    texts = named_corpus()
+    found = pii.find(spark.createDataFrame([(i, t, "e", 0) for i, t in enumerate(texts)], "doc_id long, text string, entity string, at int").repartition(3), **evidence)
+    got = {r["doc_id"]: {s["value"].lower() for s in r["spans"] if s["kind"] == "term"} for r in found.collect()}
+    want = brute_terms(texts, evidence.get("disclosure", 0.95), evidence.get("z"))
+    assert [got[i] for i in range(len(texts))] == want
+    if evidence:  # by other texts: the names, and no word of one text alone
+        assert set().union(*want) == {f"name{i}" for i in range(4)} and sum(map(bool, want)) == 34
+    else:
+        assert sum(t.startswith("rare") for some in want for t in some) == 50
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_terms_by_other_texts_on_odd_rows(spark):
+    rows = [(1, None), (None, "a b@c.de zed"), (2, ""), (3, "solo x@y.zz " * 3000), (3, "solo x@y.zz " * 3000), (4, "\n" * 5000 + "word x@y.zz")]
+    df = spark.createDataFrame([(d, t, 0, "k") for d, t in rows], "doc_id long, text string, total int, term string")
+    found = pii.find(df, **pii.EVIDENCE).collect()
+    assert len(found) == len(rows) and not any(s["kind"] == "term" for r in found for s in r["spans"])
+    assert pii.find(df.limit(0), **pii.EVIDENCE).count() == 0
+
+
 @given(st.lists(st.tuples(st.integers(0, 3), st.integers(1, 300)), max_size=12))
 @settings(max_examples=200, deadline=None)
 def test_codecs_give_back_runs(runs):
