@@ -58,7 +58,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with personal data, and terms that disclose it, generalised to their kind; n_chars is counted anew."""
-    found = pii.find(docs)
+    found = pii.find(docs, **pii.EVIDENCE)
     changed = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("key"), pii.sanitised(F.col("text"), F.col("spans")).alias("safe")).dropDuplicates(["id", "key"])
     keyed = docs.select(whole(docs).alias("doc"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tkey"))
     joined = keyed.join(changed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tkey") == F.col("key")), "left")
