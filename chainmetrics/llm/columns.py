@@ -209,7 +209,7 @@ def repeated_substrings(docs: DataFrame, length: int = 200, hot: int = HOT) -> D
     docs: doc_id, text; more columns are ignored. A byte is covered if a length-byte string over it also starts at
     another place of any text; spans are the maximal covered runs, kept_sha256 is of the other bytes. A null text is
     empty. Copies of a text, repeated rows included, are covered whole if they have length bytes. A null doc_id stays
-    null. Texts are told apart by 64 bits of their SHA-256. hot: strings of a minimiser beyond which they are settled
+    null. Texts are told apart by 60 bits of their SHA-256. hot: strings of a minimiser beyond which they are settled
     by counts of substrings in place of the transform, so that no task must hold them all.
     """
     kind = dict(docs.dtypes)["doc_id"]

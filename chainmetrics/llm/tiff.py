@@ -25,8 +25,9 @@ WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_
 #: Fixed values of the format: bytes and struct codes of the field types of whole numbers.
 KINDS = {1: (1, "B"), 3: (2, "H"), 4: (4, "I")}
 LINE, PAGE_ROWS = 64, 4096
-#: No code of any compression stands for more bytes a stored byte.
-MOST_OUT = 4096
+#: Most bytes that one stored byte stands for: a run of 128 in two bytes; the longest string of a full table in 12 bits;
+#: 258 bytes in two bits.
+MOST_OUT = {PLAIN: 1, PACK_BITS: 64, LZW: 2560, ADOBE_DEFLATE: 1032, DEFLATE: 1032}
 
 
 class Page(NamedTuple):
@@ -230,7 +231,7 @@ def _page(media: bytes, fields: dict[int, tuple[int, ...]]) -> Page:
     samples, compression, predictor = (fields.get(t, (1,))[0] for t in (SAMPLES, COMPRESSION, PREDICTOR))
     if set(fields.get(BITS, (1,))) != {8}:
         raise ValueError("samples are not of 8 bits")
-    if height * width * samples > MOST_OUT * len(media) or 0 in (*fields.get(TILE_WIDTH, ()), *fields.get(TILE_HEIGHT, ()), *fields.get(ROWS_PER_STRIP, ())):
+    if height * width * samples > MOST_OUT.get(compression, 1) * len(media) or 0 in (*fields.get(TILE_WIDTH, ()), *fields.get(TILE_HEIGHT, ()), *fields.get(ROWS_PER_STRIP, ())):
         raise ValueError("sizes that the file cannot hold")
     out = np.zeros((height, width, samples), np.uint8)
     if TILE_OFFSETS in fields:
@@ -305,10 +306,14 @@ def tiff_pages(media: DataFrame, keep: list[str]) -> DataFrame:
                     out += found
                 columns = list(zip(*out)) or [()] * 8
                 kinds_out = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.string()]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, kinds_out))], names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in range(len(keep))), *(pa.array(c, t) for c, t in zip(columns, kinds_out))], [*(f"k{i}" for i in range(len(keep))), *names[len(keep) :]])
 
-    schema = ", ".join(f"{c} {kinds[c]}" for c in keep)
-    return media.select(*keep, "media").mapInArrow(run, f"{schema}, page int, last boolean, width long, height long, compression int, predictor int, samples binary, error string")
+    from pyspark.sql import functions as F
+
+    # kept columns go by their places, so that they may have any name
+    held = [F.col("`" + c.replace("`", "``") + "`").alias(f"k{i}") for i, c in enumerate(keep)]
+    schema = "".join(f"k{i} {kinds[c]}, " for i, c in enumerate(keep))
+    return media.select(*held, "media").mapInArrow(run, f"{schema}page int, last boolean, width long, height long, compression int, predictor int, samples binary, error string").toDF(*names)
 
 
 def media_digests(docs: DataFrame) -> DataFrame:

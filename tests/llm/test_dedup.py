@@ -218,8 +218,7 @@ def brute_links(texts, words, k=5):
     return degree
 
 
-def test_passages_with_boilerplate_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(compact, "BLOCK", 16, raising=False)
+def test_passages_with_boilerplate_equal_brute_force(spark):
     rng = random.Random(8)
     words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     licence, common = words(25), words(60)

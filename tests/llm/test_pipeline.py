@@ -44,3 +44,23 @@ def test_stages_decide_by_row_and_keep_clashing_columns(spark, tmp_path):
     safe = next(t for d, t in pairs(kept["sanitise"]) if d == 8)
     assert safe.startswith(clean) and safe.endswith("<EMAIL>") and "a.b@" not in safe and len(pairs(kept["sanitise"])) == len(rows)
     assert {d for d, _ in pairs(kept["near_dedup"])} == {None, 7, 9}
+
+
+def test_stages_on_empty_tables_and_a_long_text(spark, tmp_path):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000))
+    docs = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = "doc_id long, quality int, toxic int"
+    for name, rows, marks in (("none", [], []), ("long", [(i, f"{long} tail{i}", "en", "s", 1) for i in range(2)] + [(2, "", "en", "s", 0)], [(i, 1, 0) for i in range(3)])):
+        sf = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, docs).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame(marks, labels).write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        pieces = corpus_pipeline.run(spark, sf).collect()
+        ids = {r["doc_id"] for r in pieces}
+        # the near copy goes; the pieces of the long text are whole
+        assert ids == ({0, 2} if rows else set())
+        for d in ids:
+            own = sorted((r["start"], r["length"]) for r in pieces if r["doc_id"] == d)
+            assert [x for x, _ in own] == [sum(n for _, n in own[:i]) for i in range(len(own))]
+            assert sum(n for _, n in own) == next(r["doc_tokens"] for r in pieces if r["doc_id"] == d)

@@ -179,6 +179,22 @@ def test_media_rows(spark):
     assert all(r["error"] and r["last"] for r in tiff.tiff_pages(bad, ["doc_id"]).collect())
 
 
+def test_tiff_pages_keep_columns_of_any_name(spark):
+    rows = [("k", 1, 2, tiff.stored(b"a" * 64)), ("k", 1, 3, None)]
+    media = spark.createDataFrame(rows, "`a b` string, `c.d` int, `e``f` int, media binary")
+    got = sorted(tuple(r)[:4] for r in tiff.tiff_pages(media, ["a b", "c.d", "e`f"]).collect())
+    assert got == [("k", 1, 2, 0), ("k", 1, 3, -1)]
+
+
+@pytest.mark.parametrize("compression", [tiff.PLAIN, tiff.LZW, tiff.PACK_BITS, tiff.ADOBE_DEFLATE])
+def test_tiff_sizes_within_what_a_compression_reaches(compression):
+    page = np.zeros((4096, 1024), np.uint8)
+    raw = tiff.encode([page], compression)
+    assert next(tiff.pages_of(raw)).samples == page.tobytes() and page.size <= tiff.MOST_OUT[compression] * len(raw)
+    with pytest.raises(ValueError, match="cannot hold"):
+        tiff._page(b"\0" * 1000, {tiff.WIDTH: (1000,), tiff.HEIGHT: (tiff.MOST_OUT[compression] + 1,), tiff.BITS: (8,), tiff.COMPRESSION: (compression,), tiff.STRIP_OFFSETS: (0,), tiff.STRIP_COUNTS: (1000,)})
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(1)
     good = lambda: " ".join(rng.choice(["the", "of", "river", "walks", "under", "stone", "light"]) + ("." if rng.random() < 0.1 else "") for _ in range(rng.randint(20, 200)))
