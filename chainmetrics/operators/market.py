@@ -406,11 +406,11 @@ def platform_address(platforms: Column, platform: str = "ethereum") -> Column:
 def top_coins(markets: DataFrame, listing: DataFrame, n: int = 250, native: str = "ethereum") -> DataFrame:
     """The n coins of the largest market cap that have an address (listing: id, platforms), and the native coin with none.
 
-    The n rows are broadcast to the listing, not the listing to them.
+    Joined plainly: the planner broadcasts the n rows by their estimated size, and shuffles both sides for a large n.
     """
     top = markets.orderBy(F.desc_nulls_last("market_cap"), "id").limit(n)
     addresses = listing.select("id", platform_address(F.col("platforms")).alias("eth_contract_address"))
-    known = F.broadcast(top).join(addresses, "id", "inner")  # n rows
+    known = top.join(addresses, "id")
     return known.where(F.col("eth_contract_address").isNotNull() | (F.col("id") == native))
 
 
