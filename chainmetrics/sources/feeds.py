@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,32 +26,45 @@ def last(spark: SparkSession, root: str, feed: str) -> dict[str, Any]:
     return {"batch": -1, "tables": {}} | Log(spark, root, feed).newest()
 
 
-def append(spark: SparkSession, root: str, feed: str, batch: int, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None, more: dict[str, Any] | None = None, fan: int = FAN) -> bool:
-    """Add rows to tables, put others in place of whole tables, and commit both with `more`; False if the batch is committed already."""
+def append(spark: SparkSession, root: str, feed: str, batch: int, added: dict[str, DataFrame], replaced: dict[str, DataFrame] | None = None, more: dict[str, Any] | Callable[[], dict[str, Any]] | None = None, fan: int = FAN) -> bool:
+    """Add rows to tables, put others in place of whole tables, and commit both with `more`; False if the batch is committed already.
+
+    `more` may be a function, called once all rows are written: what it raises keeps the batch from being committed. What a
+    batch has written is removed if one of its tables or `more` fails.
+    """
     log = Log(spark, root, feed)
     state = last(spark, root, feed)
     if batch <= state["batch"]:
         return False
 
+    written = []
+
     def write(table: str, rows: DataFrame) -> str:
         folder = f"{table}/{batch:010d}-{uuid.uuid4().hex[:8]}"
+        written.append(folder)
         rows.write.option("compression", "zstd").parquet(f"{root}/{folder}")
         return folder
 
     gone = []
-    for table, rows in added.items():
-        own = state["tables"].setdefault(table, {"folders": []})
-        own["schema"] = json.loads(rows.schema.json())
-        own["folders"].append([0, write(table, rows)])
-    for table, rows in (replaced or {}).items():
-        gone += [f for _, f in state["tables"].get(table, {"folders": []})["folders"]]
-        state["tables"][table] = {"schema": json.loads(rows.schema.json()), "folders": [[0, write(table, rows)]]}
-    for table in added:
-        own, level = state["tables"][table], 0
-        while len(small := [f for k, f in own["folders"] if k == level]) >= fan:
-            merged = spark.read.schema(StructType.fromJson(own["schema"])).parquet(*(f"{root}/{f}" for f in small))
-            own["folders"] = [x for x in own["folders"] if x[0] != level] + [[level + 1, write(table, merged)]]
-            level += 1
+    try:
+        for table, rows in added.items():
+            own = state["tables"].setdefault(table, {"folders": []})
+            own["schema"] = json.loads(rows.schema.json())
+            own["folders"].append([0, write(table, rows)])
+        for table, rows in (replaced or {}).items():
+            gone += [f for _, f in state["tables"].get(table, {"folders": []})["folders"]]
+            state["tables"][table] = {"schema": json.loads(rows.schema.json()), "folders": [[0, write(table, rows)]]}
+        for table in added:
+            own, level = state["tables"][table], 0
+            while len(small := [f for k, f in own["folders"] if k == level]) >= fan:
+                merged = spark.read.schema(StructType.fromJson(own["schema"])).parquet(*(f"{root}/{f}" for f in small))
+                own["folders"] = [x for x in own["folders"] if x[0] != level] + [[level + 1, write(table, merged)]]
+                level += 1
+        more = more() if callable(more) else more
+    except BaseException:
+        for folder in written:
+            log.remove(f"{root}/{folder}")
+        raise
     log.commit(state | (more or {}) | {"batch": batch, "gone": gone})
     # readers of the state before this one are still served; what it had dropped is not named by either
     for folder in state.get("gone", []):

@@ -78,6 +78,8 @@ def _start_feed(messages: DataFrame, entity: str, feed: str, views: Callable[[Da
 
     A batch is visible in all tables or in none. The number of unreadable messages is carried from commit to commit, also over
     restarts; the batch that would bring it beyond most_broken is not committed, and the stream stops with TooManyBroken.
+
+    Nothing of a batch is kept in memory, however large it is: each table reads the batch's messages from the queue again.
     """
     rows = messages.select("value", readers.decoded(entity, avro_schema).alias("data"))
 
@@ -86,18 +88,17 @@ def _start_feed(messages: DataFrame, entity: str, feed: str, views: Callable[[Da
         known = feeds.last(spark, root, feed)
         if batch <= known["batch"]:
             return
-        batch_rows = batch_rows.persist()
-        try:
-            seen = Observation()
-            counted = batch_rows.observe(seen, F.count_if(~_readable(entity)).alias("broken"))
-            counted.write.format("noop").mode("overwrite").save()
-            broken = known.get("broken", 0) + seen.get["broken"]
-            if most_broken is not None and broken > most_broken:
-                raise TooManyBroken(f"{broken} messages of {feed} cannot be read; {most_broken} may be")
-            added = views(batch_rows.where(_readable(entity)).select("data.*"))
-            feeds.append(spark, root, feed, batch, added | {f"unreadable/{feed}": _broken(batch_rows, entity)}, more={"broken": broken})
-        finally:
-            batch_rows.unpersist()
+        seen = Observation()
+        counted = batch_rows.observe(seen, F.count_if(~_readable(entity)).alias("broken"))
+
+        def broken() -> dict[str, int]:
+            total = known.get("broken", 0) + seen.get["broken"]
+            if most_broken is not None and total > most_broken:
+                raise TooManyBroken(f"{total} messages of {feed} cannot be read; {most_broken} may be")
+            return {"broken": total}
+
+        added = views(batch_rows.where(_readable(entity)).select("data.*"))
+        feeds.append(spark, root, feed, batch, {f"unreadable/{feed}": _broken(counted, entity)} | added, more=broken)
 
     return _start(rows, "append", checkpoint, write, available_now, every)
 

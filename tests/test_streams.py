@@ -123,6 +123,32 @@ def test_too_many_unreadable_messages_stop_the_stream(spark, tmp_path):
     assert feeds.last(spark, root, "contract")["broken"] == 5
 
 
+def test_batches_are_not_kept_in_memory(spark, tmp_path, monkeypatch):
+    source, root = str(tmp_path / "in"), str(tmp_path / "feed")
+    receipt = {"type": "receipt", "transaction_hash": "0x1", "logs": [{"address": "0xA", "topics": ["0x2"], "log_index": 0}] * 2}
+    spark.createDataFrame([(json.dumps(receipt).encode(),), (b"{",)], "value binary").write.parquet(source)
+    for kind in type(spark.range(0)).__mro__:
+        for name in ("persist", "cache", "localCheckpoint"):
+            if name in vars(kind):
+                monkeypatch.setattr(kind, name, lambda *_, **__: pytest.fail("a batch is kept"))
+    jobs.start_normalising(readers.stream(spark, "", "parquet", path=source), "receipt", root, str(tmp_path / "state"), available_now=True).awaitTermination()
+    assert [t.count() for t in feeds.read_together(spark, root, "receipt", ["receipts", "logs", "unreadable/receipt"])] == [1, 2, 1]
+    assert feeds.last(spark, root, "receipt")["broken"] == 1
+
+
+def test_a_batch_that_goes_too_far_leaves_no_files(spark, tmp_path):
+    root = str(tmp_path)
+
+    def too_many():
+        raise jobs.TooManyBroken("too many")
+
+    feeds.append(spark, root, "f", 0, {"t": spark.range(3)}, more=lambda: {"broken": 1})
+    with pytest.raises(jobs.TooManyBroken):
+        feeds.append(spark, root, "f", 1, {"t": spark.range(3)}, more=too_many)
+    assert feeds.last(spark, root, "f")["broken"] == 1 and feeds.read(spark, root, "f", "t").count() == 3
+    assert len(list((tmp_path / "t").iterdir())) == 1
+
+
 def test_options_of_a_queue(spark, monkeypatch):
     """There is no Kafka here: what the reader is given is held against what its source expects."""
     told = {}
