@@ -18,13 +18,14 @@ UNKNOWN, DEFAULT_DECIMALS = "UNKNOWN", 18
 
 
 def known_tokens(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(KNOWN_TOKENS, "token_address string, token_symbol string, token_decimals int, token_price double")
+    """KNOWN_TOKENS as a token table: five fixed rows, which go to every task, so that no join on them shuffles transfers by their few contracts."""
+    return F.broadcast(spark.createDataFrame(KNOWN_TOKENS, "token_address string, token_symbol string, token_decimals int, token_price double"))
 
 
 def priced_transfers(transfers: DataFrame, tokens: DataFrame) -> DataFrame:
     """Transfers with token_symbol, amount and usd_value. tokens: as of known_tokens, addresses in lower case.
 
-    The token table is joined plainly: Spark broadcasts it when its size allows, and shuffles it when not.
+    The token table is joined plainly: Spark broadcasts it when it is marked or its size allows, and shuffles it when not.
     """
     joined = transfers.withColumn("token_address", F.lower("contract_address")).join(tokens, "token_address", "left")
     raw = F.coalesce(F.col("value").try_cast("double"), F.lit(0.0))

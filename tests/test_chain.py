@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -136,6 +137,16 @@ def test_alert_rule(spark):
     assert sorted(got) == [("UNKNOWN", 2e6, 0.0), ("USDT", 1.1e6, 1.1e6)]
 
 
+def test_alerts_do_not_shuffle_transfers(spark):
+    from chainmetrics.plans import fixtures as fx
+
+    if not Path("/root/testdata/sf0.001").exists():
+        pytest.skip("no test tables")
+    found = alerts.whale_alerts(fx.transfers(spark, "/root/testdata/sf0.001"), alerts.known_tokens(spark))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def test_block_ranges(spark):
     df = spark.createDataFrame([(n, 1000 + 10 * n) for n in range(1, 11)], "number long, timestamp long")
     assert blocks.range_of_time(df, 1035, 1062) == (4, 6) and blocks.range_of_time(df, 5, 1062) == (0, 6)
