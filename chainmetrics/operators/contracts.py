@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytecode import clean, fingerprint, has_all, has_any, minimal_proxy_target, selectors
 from ..functions.hexnum import abi_text, hex_to_dec, u256_decimal, word_address
+from ..sources.readers import dealt
 
 #: Selectors of the standards, all of which a contract must have.
 ERC20 = ["0x18160ddd", "0x70a08231", "0xa9059cbb"]
@@ -74,12 +75,13 @@ def master_copies(spark: SparkSession) -> DataFrame:
 def slot_addresses(contracts: DataFrame, slots: DataFrame) -> DataFrame:
     """Contracts with slot0_address, implementation_slot and beacon_slot; slots: address, slot, value, one row a slot.
 
-    The three slots are gathered in one aggregation, so the slot table is shuffled once.
+    The three slots are gathered in one aggregation, so the slot table is shuffled once, and before texts are sorted to be aggregated.
     """
     key = F.lower("slot")
-    own = slots.where(key.isin(SLOT_ZERO, SLOT_IMPLEMENTATION, SLOT_BEACON)).groupBy(F.lower("address").alias("address"))
+    own = slots.where(key.isin(SLOT_ZERO, SLOT_IMPLEMENTATION, SLOT_BEACON)).withColumn("address", F.lower("address")).transform(dealt, "address").groupBy("address")
     gathered = own.agg(*(F.max(F.when(key == slot, word_address(F.col("value")))).alias(name) for name, slot in (("slot0_address", SLOT_ZERO), ("implementation_slot", SLOT_IMPLEMENTATION), ("beacon_slot", SLOT_BEACON))))
-    return contracts.join(gathered, "address", "left")
+    # never broadcast: a file of few compressed bytes has many of them
+    return contracts.join(gathered.hint("merge"), "address", "left")
 
 
 def classify(code: DataFrame, slots: DataFrame, direct_heuristics: bool = False, implementation_upgrades: bool = False) -> DataFrame:
@@ -161,9 +163,10 @@ def token_metadata(contracts: DataFrame, calls: DataFrame) -> DataFrame:
     """address, name, symbol, decimals, total_supply from landed call results (address, field, result in hex).
 
     ERC20 contracts take all four fields; ERC721 and ERC1155 take name and symbol, and have 0 decimals. Others give no row.
+    Texts are aggregated by sorting, so calls are shuffled first: else a task would sort all calls of the split that it reads.
     """
     value = F.col("result")
-    picked = calls.groupBy(F.lower("address").alias("address")).agg(
+    picked = calls.withColumn("address", F.lower("address")).transform(dealt, "address").groupBy("address").agg(
         F.max(F.when(F.col("field") == "name", abi_text(value))).alias("name"),
         F.max(F.when(F.col("field") == "symbol", abi_text(value))).alias("symbol"),
         F.max(F.when(F.col("field") == "decimals", hex_to_dec(value))).cast("int").alias("decimals"),
@@ -171,5 +174,5 @@ def token_metadata(contracts: DataFrame, calls: DataFrame) -> DataFrame:
     )
     nft = F.col("is_erc721") | F.col("is_erc1155")
     tokens = contracts.where(F.col("is_erc20") | nft).select("address", "is_erc20", "is_erc721", "is_erc1155")
-    rows = tokens.join(picked, "address", "left")
+    rows = tokens.join(picked.hint("merge"), "address", "left")  # as in slot_addresses
     return rows.select("address", "name", "symbol", F.when(F.col("is_erc20"), F.col("decimals")).otherwise(0).alias("decimals"), F.when(F.col("is_erc20"), F.col("total_supply")).alias("total_supply"))

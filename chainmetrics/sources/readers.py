@@ -92,6 +92,15 @@ def ready(table: DataFrame) -> bool:
     return not table.limit(1).isEmpty()
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of a key in one task, over the set number of shuffle partitions.
+
+    For work that needs far more memory than its input has compressed bytes: with a number given, Spark does not merge
+    partitions by those bytes.
+    """
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """Rows dealt to as many tasks as can run at once, if they come from fewer: one file of few splits would leave cores idle behind costly expressions."""
     tasks = rows.sparkSession.sparkContext.defaultParallelism

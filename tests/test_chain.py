@@ -147,6 +147,20 @@ def test_alerts_do_not_shuffle_transfers(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
+def test_token_metadata_is_shuffled_before_it_is_sorted(spark):
+    """Texts are aggregated by sorting: a task sorts its share of the addresses, not all that the one file in its hands holds."""
+    calls = [(a, f, "0x" + W(n)) for n, a in enumerate(("0xA", "0xb")) for f in ("decimals", "totalSupply")] * 2
+    calls = spark.createDataFrame(calls, "address string, field string, result string")
+    code = spark.createDataFrame([("0xa", True, False, False), ("0xb", False, True, False), ("0xc", True, False, False)], "address string, is_erc20 boolean, is_erc721 boolean, is_erc1155 boolean")
+    found = contracts.token_metadata(code, calls)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sorted(map(tuple, found.collect())) == [("0xa", None, None, 0, "0"), ("0xb", None, None, 0, None), ("0xc", None, None, None, None)]
+    assert any("REPARTITION_BY_NUM" in x for x in lines) and not any("Broadcast" in x for x in lines)  # neither merged nor broadcast by compressed bytes
+    sorts = [i for i, x in enumerate(lines) if "SortAggregate" in x]
+    exchanges = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    assert sorts and max(sorts) < max(exchanges)  # the plan reads upwards: every sort lies above the calls' exchange
+
+
 def test_block_ranges(spark):
     df = spark.createDataFrame([(n, 1000 + 10 * n) for n in range(1, 11)], "number long, timestamp long")
     assert blocks.range_of_time(df, 1035, 1062) == (4, 6) and blocks.range_of_time(df, 5, 1062) == (0, 6)
