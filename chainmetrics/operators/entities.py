@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hexnum import hex_to_dec, normalized_address, u256_decimal
 from ..schemas import FIELDS
+from ..sources.readers import dealt
 
 WIDE = {"difficulty", "total_difficulty", "value", "token_id", "total_supply"}
 DATES = {"ath_date", "atl_date"}
@@ -61,9 +62,12 @@ def logs(receipts: DataFrame) -> DataFrame:
 
 
 def nested_receipts(flat_logs: DataFrame, key: str = "transaction_hash") -> DataFrame:
-    """One row a key with its logs as an array, by log_index; a transaction's logs are few by the block's gas."""
+    """One row a key with its logs as an array, by log_index; a transaction's logs are few by the block's gas.
+
+    Logs are shuffled first: lists gain nothing from being begun before it, and tasks would sort and spill their splits for that.
+    """
     rest = ["log_index", *(c for c in flat_logs.columns if c not in (key, "log_index"))]
-    return flat_logs.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("logs"))
+    return dealt(flat_logs, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias("logs"))
 
 
 # raw responses

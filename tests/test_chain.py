@@ -161,6 +161,15 @@ def test_token_metadata_is_shuffled_before_it_is_sorted(spark):
     assert sorts and max(sorts) < max(exchanges)  # the plan reads upwards: every sort lies above the calls' exchange
 
 
+def test_logs_are_nested_behind_their_shuffle(spark):
+    logs = spark.createDataFrame([("0x1", 1, "a"), ("0x1", 0, "b"), ("0x2", 5, "c")], "transaction_hash string, log_index long, data string")
+    found = entities.nested_receipts(logs)
+    lines = found._jdf.queryExecution().executedPlan().toString().split("\n")
+    exchange = [i for i, x in enumerate(lines) if "Exchange hashpartitioning" in x]
+    assert len(exchange) == 1 and all(i < exchange[0] for i, x in enumerate(lines) if "HashAggregate" in x)
+    assert {r["transaction_hash"]: [x["data"] for x in r["logs"]] for r in found.collect()} == {"0x1": ["b", "a"], "0x2": ["c"]}
+
+
 def test_block_ranges(spark):
     df = spark.createDataFrame([(n, 1000 + 10 * n) for n in range(1, 11)], "number long, timestamp long")
     assert blocks.range_of_time(df, 1035, 1062) == (4, 6) and blocks.range_of_time(df, 5, 1062) == (0, 6)
