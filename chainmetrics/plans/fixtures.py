@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import contracts as c
 from ..operators.alerts import KNOWN_TOKENS
 from ..operators.transfers import TRANSFER, TRANSFER_BATCH, TRANSFER_SINGLE
-from ..sources.readers import spread
+from ..sources.readers import dealt, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -89,10 +89,14 @@ def day_number(column: str) -> Column:
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row a day with orders: n, and its orders."""
+    """One row a day with orders: n, and its orders.
+
+    The days lie in a set number of partitions: what is made of an order is dozens of times its size, so partitions that are
+    merged by their size here would be too large behind it.
+    """
     orders = table(spark, sf_dir, "orders").withColumn("n", day_number("o_orderdate"))
     order = F.struct("o_orderkey", "o_custkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"), "o_orderstatus", "o_orderpriority")
-    return orders.groupBy("n").agg(F.array_sort(F.collect_list(order)).alias("orders"))
+    return dealt(orders, "n").groupBy("n").agg(F.array_sort(F.collect_list(order)).alias("orders"))
 
 
 def raw_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +127,7 @@ def raw_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..schemas import RAW
 
     text = raw_responses(spark, sf_dir).select(F.to_json(F.struct("number", "block", "receipts", "error")).alias("j"))
-    return spread(text).select(F.from_json("j", RAW).alias("r")).select("r.*")
+    return text.select(F.from_json("j", RAW).alias("r")).select("r.*")
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:

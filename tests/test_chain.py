@@ -170,6 +170,17 @@ def test_logs_are_nested_behind_their_shuffle(spark):
     assert {r["transaction_hash"]: [x["data"] for x in r["logs"]] for r in found.collect()} == {"0x1": ["b", "a"], "0x2": ["c"]}
 
 
+def test_responses_are_made_in_as_many_tasks_as_are_set(spark, monkeypatch):
+    from chainmetrics.plans import fixtures as fx
+
+    orders = spark.range(40).selectExpr("id AS o_orderkey", "id AS o_custkey", "1D AS o_totalprice", "'F' AS o_orderstatus", "'2-HIGH' AS o_orderpriority", "date_add(date '1995-01-01', cast(id AS int)) AS o_orderdate")
+    monkeypatch.setattr(fx, "table", lambda *_: orders)
+    text = fx.raw_typed(spark, "")
+    assert text.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert text._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange") == 1
+    assert text.count() == 40
+
+
 def test_block_ranges(spark):
     df = spark.createDataFrame([(n, 1000 + 10 * n) for n in range(1, 11)], "number long, timestamp long")
     assert blocks.range_of_time(df, 1035, 1062) == (4, 6) and blocks.range_of_time(df, 5, 1062) == (0, 6)
