@@ -751,7 +751,7 @@ def metric_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def alert_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts through a JSON sink and back, whole."""
     path, found = scratch(spark), _alerts(spark, sf_dir, alerts.THRESHOLD_USD)
-    found.write.json(f"{path}/alerts")
+    sinks.write_json(found, f"{path}/alerts")
     return spark.read.schema(found.schema).json(f"{path}/alerts")
 
 

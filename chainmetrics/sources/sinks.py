@@ -32,6 +32,11 @@ def fan_out(rows: DataFrame, sinks: list[Callable[[DataFrame], None]]) -> None:
         kept.unpersist()
 
 
+def write_json(rows: DataFrame, path: str, most: int = 500_000) -> None:
+    """Documents as lines of JSON, compressed, at most `most` of them a file, since one task reads a compressed file whole."""
+    rows.write.option("compression", "gzip").option("maxRecordsPerFile", most).json(path)
+
+
 def jdbc_append(rows: DataFrame, url: str, table: str, **options: str) -> None:
     rows.write.format("jdbc").mode("append").options(url=url, dbtable=table, **options).save()
 

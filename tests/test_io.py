@@ -172,3 +172,11 @@ def test_jobs_skip_empty_days(spark, tmp_path):
     full = df.union(spark.createDataFrame([("a", "A", None, 1.0, 1.0, 1.0, 1, 1.0, 1.0, 1.0, 1.0, 1.0, datetime(2024, 1, 1, 10))], df.schema))
     assert jobs.daily_job(full, "2024-01-01", str(tmp_path / "d"), datetime(2024, 1, 2)) and jobs.hourly_job(full, "2024-01-01 10", str(tmp_path / "h"), datetime(2024, 1, 2))
     assert spark.read.parquet(str(tmp_path / "h")).select(F.col("trending_score")).count() == 1
+
+
+def test_documents_are_compressed_and_in_files_of_few_rows(spark, tmp_path):
+    rows = spark.range(10, numPartitions=1).select("id", F.lit("text " * 50).alias("t"))
+    sinks.write_json(rows, str(tmp_path / "j"), most=4)
+    files = sorted((tmp_path / "j").glob("part-*"))
+    assert len(files) == 3 and all(f.name.endswith(".json.gz") for f in files)
+    assert sorted(map(tuple, spark.read.schema(rows.schema).json(str(tmp_path / "j")).collect())) == sorted(map(tuple, rows.collect()))
