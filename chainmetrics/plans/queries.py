@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from datetime import datetime
 
@@ -766,6 +767,13 @@ def replace_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).select("event_id", "current_price")
 
 
+def _database(spark: SparkSession) -> str:
+    """A new database in a file that the executors reach; embedded Derby would be open to one process alone."""
+    path = scratch(spark).removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    return f"jdbc:sqlite:{path}/ticks.db"
+
+
 @query(f"WITH {TICKS} SELECT coin_id, count(*) AS n, round(sum(current_price), 4) AS price FROM ticks WHERE CAST(last_updated AS DATE) = DATE '2024-01-10' GROUP BY coin_id")
 def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks appended to a database, one date read back through its own query."""
@@ -826,13 +834,13 @@ def hourly_job_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {TICKS} SELECT coin_id, count(*) AS n, round(sum(current_price), 4) AS price FROM ticks GROUP BY coin_id")
 def jdbc_append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks appended to a database by day as batches, each of them twice; every tick is there once."""
-    url = f"jdbc:derby:{scratch(spark).removeprefix('file://')}/db;create=true"
+    url = _database(spark)
     rows = fx.ticks(spark, sf_dir).select("event_id", "coin_id", "current_price", (F.dayofmonth("last_updated") % 3).alias("third"))
     for _ in range(2):
         for third in range(3):
-            sinks.jdbc_append_once(rows.where(F.col("third") == third).drop("third"), url, "ticks_once", f"third-{third}", createTableColumnTypes="coin_id VARCHAR(32)")
-    back = readers.jdbc_slice(spark, url, 'SELECT "coin_id", count(*) AS "n", sum("current_price") AS "price" FROM ticks_once GROUP BY "coin_id"')
-    return back.select("coin_id", F.col("n").cast("long").alias("n"), F.round("price", 4).alias("price"))
+            sinks.jdbc_append_once(rows.where(F.col("third") == third).drop("third"), url, "ticks_once", f"third-{third}")
+    back = readers.jdbc_slice(spark, url, 'SELECT "coin_id", count(*) AS "n", sum("current_price") AS "price" FROM ticks_once GROUP BY "coin_id"', customSchema="coin_id string, n long, price double")
+    return back.select("coin_id", "n", F.round("price", 4).alias("price"))
 
 
 @query(f"WITH {TICKS}, {DAILY} SELECT concat(strftime(date, '%Y%m%d'), '_', coin_id) AS doc_id, close_price, eth_contract_address FROM metrics WHERE date = DATE '2024-01-10' AND eth_contract_address IN (SELECT min(eth_contract_address) FROM metrics m WHERE m.date = DATE '2024-01-10' GROUP BY coin_id)")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schemas import RAW, schema
+from . import sqlite
 
 HEADER_BYTES = 5
 
@@ -77,7 +78,9 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def jdbc_slice(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """The rows of a query that the database runs."""
+    """The rows of a query that the database runs. A database in a shared file (jdbc:sqlite:path) has no types: it takes customSchema alone."""
+    if url.startswith(sqlite.PREFIX):
+        return sqlite.read(spark, url, query, options["customSchema"])
     return spark.read.format("jdbc").options(url=url, query=query, **options).load()
 
 

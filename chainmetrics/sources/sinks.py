@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import sqlite
+
 ENTITIES = ["block", "transaction", "receipt", "token_transfer", "contract", "log", "withdrawal"]
 
 
@@ -38,6 +40,9 @@ def write_json(rows: DataFrame, path: str, most: int = 500_000) -> None:
 
 
 def jdbc_append(rows: DataFrame, url: str, table: str, **options: str) -> None:
+    """Through Spark's JDBC writer; a database in a shared file (jdbc:sqlite:path) through Python's module, without options."""
+    if url.startswith(sqlite.PREFIX):
+        return sqlite.append(rows, url, table)
     rows.write.format("jdbc").mode("append").options(url=url, dbtable=table, **options).save()
 
 
@@ -52,7 +57,10 @@ def jdbc_append_once(rows: DataFrame, url: str, table: str, batch: str, driver:
     moves the staged rows, each number once. What an attempt that failed left in staging is written over by the next.
 
     Columns must be of kinds that the database can compare (options: createTableColumnTypes, where strings become large objects).
+    A database in a shared file (jdbc:sqlite:path) is written without options and staging, see sqlite.append_once.
     """
+    if url.startswith(sqlite.PREFIX):
+        return sqlite.append_once(rows, url, table, batch)
     settings = {"url": url} | ({"driver": driver} if driver else {}) | options
     spark = rows.sparkSession
     if driver:

@@ -1,11 +1,16 @@
+import os
+import subprocess
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import pyspark
 import pytest
 from pyspark.sql import functions as F
 
 from chainmetrics.operators import market
 from chainmetrics.plans import jobs
-from chainmetrics.sources import commits, feeds, keyed, readers, sinks, tables
+from chainmetrics.sources import commits, feeds, keyed, readers, sinks, sqlite, tables
 
 
 def test_slices_are_replaced_and_others_stay(spark, tmp_path):
@@ -122,6 +127,61 @@ def test_jdbc_rows_come_once_whatever_fails(spark, tmp_path, monkeypatch):
     assert sinks.jdbc_append_once(rows.union(rows), url, "t", "it's b2", **types) and count() == 150
 
 
+def test_rows_of_a_shared_database_come_once_whatever_fails(spark, tmp_path):
+    url = f"jdbc:sqlite:{tmp_path}/db"
+    rows = spark.createDataFrame([(i, f"n{i % 3}", i / 2, i % 2 == 0) for i in range(50)] + [(None, None, None, None)], "i long, n string, x double, even boolean")
+    back = lambda: readers.jdbc_slice(spark, url, "SELECT * FROM t", customSchema="i long, n string, x double, even boolean")
+    fail = F.udf(lambda i: i if i != 49 else 1 // 0, "long")
+    # other tasks have written their parts when one dies; a batch of other rows follows under the same name
+    with pytest.raises(Exception, match="ZeroDivisionError"):
+        sinks.jdbc_append_once(rows.repartition(4, "i").withColumn("i", fail("i")), url, "t", "it's b1")
+    assert back().count() == 0
+    assert sinks.jdbc_append_once(rows, url, "t", "it's b1") and not sinks.jdbc_append_once(rows, url, "t", "it's b1")
+    assert sorted(map(str, back().collect())) == sorted(map(str, rows.collect()))
+    # a task that runs again for the same attempt adds nothing
+    assert sqlite._written(rows.coalesce(1).where("i < 3"), url, "t_rows", "again") == 3 and sqlite._written(rows.coalesce(1).where("i < 3"), url, "t_rows", "again") == 0
+    assert sinks.jdbc_append_once(rows.limit(0), url, "t", "b2") and sinks.jdbc_append_once(rows.union(rows), url, "t", "b3") and back().count() == 153
+    sinks.jdbc_append(rows, url, "plain")
+    assert readers.jdbc_slice(spark, url, "SELECT count(*), sum(x) FROM plain WHERE i > 47", customSchema="n long, x double").collect() == [(2, 48.5)]
+    assert readers.jdbc_slice(spark, url, "SELECT i FROM plain WHERE i > 50", customSchema="i long").collect() == []
+    with pytest.raises(ValueError, match="date"):
+        sinks.jdbc_append(spark.sql("SELECT current_date() d"), url, "dates")
+    with pytest.raises(Exception, match="NaN"):
+        sinks.jdbc_append(spark.sql("SELECT double('NaN') x"), url, "nans")
+
+
+def test_jdbc_rows_are_read_by_a_query(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    sinks.jdbc_append(spark.range(5), url, "t")
+    assert readers.jdbc_slice(spark, url, 'SELECT "id" FROM t WHERE "id" > 3').collect() == [(4,)]
+
+
+CLUSTER = """
+import sys, duckdb, __spark_entry__ as e
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,2,1024]").config(map={"spark.checkpoint.dir": sys.argv[1], "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4"}).getOrCreate()
+d = "/root/testdata/sf0.001"
+duckdb.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
+for name in ("jdbc_append_once",):
+    got = sorted(map(tuple, e.queries()[name](spark, d).collect()))
+    assert got and got == sorted(duckdb.sql(e.oracle_sql()[name]).fetchall()), (name, got)
+print("all", "right")
+"""
+
+
+def test_database_queries_on_several_processes(tmp_path):
+    root = Path(__file__).resolve().parent.parent
+    env = os.environ | {"PYTHONPATH": str(root), "PYSPARK_PYTHON": sys.executable, "SPARK_SCALA_VERSION": "2.13", "SPARK_LOCAL_IP": "127.0.0.1"}
+    # the executors' logs go to work in Spark's home
+    home = tmp_path / "home"
+    home.mkdir()
+    for p in Path(pyspark.__file__).parent.iterdir():
+        if p.name != "work":
+            (home / p.name).symlink_to(p)
+    run = subprocess.run([sys.executable, "-c", CLUSTER, f"file://{tmp_path}/shared"], cwd=root, env=env | {"SPARK_HOME": str(home)}, capture_output=True, text=True, timeout=300)
+    assert "all right" in run.stdout, run.stderr[-3000:]
+
+
 def test_hourly_job_reads_the_kept_slices_alone(spark, tmp_path):
     start = datetime(2024, 1, 1)
     ticks = spark.createDataFrame([(f"c{i % 2}", "S", 1.0 + i % 7, float(i % 11), start + timedelta(minutes=17 * i)) for i in range(1000)], "coin_id string, symbol string, current_price double, total_volume double, last_updated timestamp_ntz")
