@@ -777,12 +777,10 @@ def _database(spark: SparkSession) -> str:
 @query(f"WITH {TICKS} SELECT coin_id, count(*) AS n, round(sum(current_price), 4) AS price FROM ticks WHERE CAST(last_updated AS DATE) = DATE '2024-01-10' GROUP BY coin_id")
 def jdbc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticks appended to a database, one date read back through its own query."""
-    import tempfile
-
-    url = f"jdbc:derby:{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}/db;create=true"
+    url = _database(spark)
     rows = fx.ticks(spark, sf_dir).select("coin_id", "current_price", F.date_format("last_updated", "yyyy-MM-dd").alias("day"))
-    sinks.jdbc_append(rows, url, "ticks", createTableColumnTypes="coin_id VARCHAR(32), day VARCHAR(10)")
-    back = readers.jdbc_slice(spark, url, "SELECT \"coin_id\", \"current_price\" FROM ticks WHERE \"day\" = '2024-01-10'")
+    sinks.jdbc_append(rows, url, "ticks")
+    back = readers.jdbc_slice(spark, url, "SELECT \"coin_id\", \"current_price\" FROM ticks WHERE \"day\" = '2024-01-10'", customSchema="coin_id string, current_price double")
     return back.groupBy("coin_id").agg(F.count("*").alias("n"), F.round(F.sum("current_price"), 4).alias("price"))
 
 

@@ -162,7 +162,7 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local-cluster[2,2,1024]").config(map={"spark.checkpoint.dir": sys.argv[1], "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4"}).getOrCreate()
 d = "/root/testdata/sf0.001"
 duckdb.sql(f"CREATE VIEW events AS SELECT * FROM '{d}/events.parquet'")
-for name in ("jdbc_append_once",):
+for name in ("jdbc_roundtrip", "jdbc_append_once"):
     got = sorted(map(tuple, e.queries()[name](spark, d).collect()))
     assert got and got == sorted(duckdb.sql(e.oracle_sql()[name]).fetchall()), (name, got)
 print("all", "right")
