@@ -11,6 +11,10 @@ two runs. The thirteen shingles of a key then lie in one run for 0.33 to 0.57 of
 gives the two a common key with a chance of 0.04 to 0.001; for exact repeats it is 0.00002. Longer passages have more
 windows, and the chance falls with each. Lines of 16 words or fewer give no key, however common.
 
+Where one shingle fills as many places as a key's context (a word repeated on and on), a key says nothing of what follows. Such a
+stretch has a key of its own if it holds a whole passage; every passage that leaves it holds the shingles past one of its
+ends, and its keys are those (ends_of). Texts that merely repeat the same word a few dozen times do not meet.
+
 Groups that share a key are not expanded to pairs: in rounds of stars every text meets the member with the most shared
 keys around, which closes the windows whose passages it verifies. Only windows that stay open, or whose texts are not
 linked yet, meet each other, if LONG shingles to one side of c are equal and 22 to one side allow a passage.
@@ -27,6 +31,8 @@ from .common import MAP_BITS, SPACE_WORDS, digests, gram_hashes, hashed_map, in_
 from .components import connected_components
 
 SHINGLE, FUNCTIONS, CONTEXT, LONG = 5, 8, 6, 18
+#: Shingles past the end of a stretch of one shingle that tell what follows.
+EDGE = 4
 _SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64))
 #: Partners that one copy of a text serves in a verifying task.
 FAN = 300
@@ -84,12 +90,45 @@ def reach(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high
 
 
+def ends_of(grams: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which places lie in a stretch of one shingle as long as a context; for these rows (index into c, key): the stretch itself, and its ends.
+
+    first, last: bounds of the places' texts. A passage of `width` shingles lies inside a stretch of that length, or holds
+    an end and some shingles past it: up to EDGE of them tell, fewer where the stretch is nearly a passage by itself.
+    """
+    edge = np.flatnonzero(grams[1:] != grams[:-1]) + 1
+    bounds = np.concatenate(([0], edge, [len(grams)]))
+    at = np.searchsorted(bounds, c, "right") - 1
+    u, v = np.maximum(bounds[at], first), np.minimum(bounds[at + 1] - 1, last)
+    flat = v - u >= 2 * CONTEXT
+    i = np.flatnonzero(flat)
+    size = v[i] - u[i] + 1
+    whole = i[size >= width]
+    index, keys = [whole], [mix(grams[c[whole]] + np.uint64(7))]
+    for k in range(1, EDGE + 1):
+        some = i if k == EDGE else i[size >= width - 2 * EDGE]
+        for salt, end, step in ((11, v, 1), (31, u, -1)):
+            own = some[(end[some] + step * k <= last[some]) & (end[some] + step * k >= first[some])]
+            index.append(own)
+            keys.append(mix(mix(grams[end[own]] + np.uint64(salt + k)) ^ grams[end[own] + step * k]))
+    return flat, np.concatenate(index), np.concatenate(keys)
+
+
 def xor_before(grams: np.ndarray) -> np.ndarray:
     """For each place the parities, in 64 bits, of the hashed shingles before it."""
     bits = np.uint64(1) << (mix(grams + np.uint64(5)) & np.uint64(63))
     return np.concatenate((np.zeros(1, np.uint64), np.bitwise_xor.accumulate(bits))) if len(bits) else np.zeros(1, np.uint64)
 
 
+def previous(grams: np.ndarray) -> np.ndarray:
+    """For each place where its shingle was last; far below 0 if nowhere."""
+    order = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -len(grams) - (1 << 30), np.int64)
+    same = grams[order[1:]] == grams[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
 def enough(width: int, percent: int) -> int:
     """Shingles that two sets of `width` share if they are alike by percent / 100."""
     return -(-2 * percent * width // (100 + percent))
@@ -177,7 +216,7 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(np.diff(at), pa.int64())], ["doc_id", "node", "n_words"])
 
     def keyed(column: pa.Array):
-        """By function: hashed shingles, hashes, texts' bounds, centres with their texts and keys. Of copies in a batch one speaks."""
+        """By function: hashed shingles, hashes, texts' bounds, centres with their texts, keys and stretches' ends. Of copies in a batch one speaks."""
         hashes, at, node = each(column)
         grams = gram_hashes(hashes, SHINGLE)
         around, long = gram_hashes(grams, 2 * CONTEXT + 1), gram_hashes(grams, LONG)
@@ -191,11 +230,19 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
             text = np.searchsorted(at, c, "right") - 1
             own = (c < ends[text]) & fresh[text]  # shingles across texts are outside every text's range
             c, text = c[own], text[own]
-            key = mix(around[np.clip(c - CONTEXT, at[text], ends[text] - 2 * CONTEXT - 1)] + _SEEDS[f]).view(np.int64) if len(c) else np.empty(0, np.int64)
-            yield grams, long, v, at, ends, c, text, key, node
+            if not len(c):
+                yield grams, long, v, at, ends, c, text, np.empty(0, np.int64), np.empty(0, np.uint64), node
+                continue
+            low = np.clip(c - CONTEXT, at[text], ends[text] - 2 * CONTEXT - 1)
+            flat, index, of_end = ends_of(grams, c, at[text], ends[text] - 1, width)
+            plain = np.flatnonzero(~flat)
+            key = np.concatenate((mix(around[low[plain]] + _SEEDS[f]), mix(of_end + _SEEDS[f]))).view(np.int64)
+            # of_end: 0 for plain keys
+            of_end, index = np.concatenate((np.zeros(len(plain), np.uint64), of_end)), np.concatenate((plain, index))
+            yield grams, long, v, at, ends, c[index], text[index], key, of_end, node
 
     def keys_only(batch: pa.RecordBatch):
-        for *_, text, key, node in keyed(batch.column(0)):
+        for *_, text, key, _, node in keyed(batch.column(0)):
             short = np.array([int.from_bytes(x[:8], "little", signed=True) for x in node], np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(short[text])], ["key", "short"])
 
@@ -208,11 +255,11 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
 
     def windows(batch: pa.RecordBatch):
         before = None
-        for grams, long, v, at, ends, c, text, key, node in keyed(batch.column(0)):
+        for grams, long, v, at, ends, c, text, key, of_end, node in keyed(batch.column(0)):
             before = xor_before(grams) if before is None else before
             keep = np.flatnonzero(in_map(wanted.value, (key & (MAP_BITS - 1)) + 1))
             order = keep[np.lexsort((c[keep], key[keep], text[keep]))]
-            c, text, key = c[order], text[order], key[order]
+            c, text, key, of_end = c[order], text[order], key[order], of_end[order]
             left, right = reach(v, c) if len(c) else (c, c)
             start, end = at[text], ends[text] - 1
             left, right = np.maximum(left, start) - start, np.minimum(right, end) - start
@@ -220,10 +267,12 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
             first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0) | (np.arange(len(c)) == 0))
             stops = pa.array(np.append(first, len(c)).astype(np.int32))
             lists = [pa.ListArray.from_arrays(stops, pa.array(x.astype(np.int32))) for x in (left, c - start, right)]
-            c, text, key, start, end = c[first], text[first], key[first], start[first], end[first]
+            c, text, key, start, end, of_end = c[first], text[first], key[first], start[first], end[first], of_end[first]
             to_left, to_right = before[c + 1] ^ before[np.maximum(c - half, start)], before[np.minimum(c + half, end) + 1] ^ before[c]
             edge = np.maximum(end - LONG + 1, start)
             long_left, long_right = (mix(long[np.clip(c + x, start, edge)] + _SEEDS[y]) if len(c) else long[:0] for x, y in ((4 - LONG, 0), (-3, 1)))
+            to_left, to_right = (np.where(of_end > 0, np.uint64(0), x) for x in (to_left, to_right))  # sides do not tell there
+            long_left, long_right = (np.where(of_end > 0, of_end, x) for x in (long_left, long_right))
             columns = [pa.array(key), pa.array(node, pa.binary()).take(pa.array(text)), *lists, *(pa.array(x.view(np.int64)) for x in (to_left, to_right, long_left, long_right))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "before", "after", "l", "r"])
 
@@ -267,7 +316,7 @@ def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, pe
     """a, b, in_a, in_b of verified pairs. found: key, node, left, c, right, before, after."""
     if all_links:
         side = lambda k: found.select("key", F.col("node").alias(k), F.arrays_zip("left", "right").alias("w"))
-        pairs = side("a").join(side("b").drop("w"), "key").where("a > b").groupBy("a", "b").agg(F.flatten(F.collect_list("w")).alias("windows"))
+        pairs = side("a").join(side("b").drop("w"), "key").where("a > b").groupBy("a", "b").agg(F.flatten(F.collect_set("w")).alias("windows"))
         return materialize(_verify(pairs, texts, width, percent))
     around = Window.partitionBy("node").orderBy(F.col("c")[0]).rangeBetween(-width, width)
     size = found.groupBy("key").agg(F.count("*").alias("size"))
@@ -278,7 +327,7 @@ def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, pe
         order = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
         lead = scored.groupBy("key").agg(F.max(F.struct(order.alias("order"), "node")).alias("l")).select("key", F.col("l.node").alias("b"))
         star = still.join(lead, "key").where("node <> b")
-        pairs = materialize(star.groupBy(F.col("node").alias("a"), "b").agg(F.flatten(F.collect_list(F.arrays_zip("left", "right"))).alias("windows")))
+        pairs = materialize(star.groupBy(F.col("node").alias("a"), "b").agg(F.flatten(F.collect_set(F.arrays_zip("left", "right"))).alias("windows")))
         got = materialize(_verify(pairs, texts, width, percent))
         results = got if results is None else results.unionByName(got)
         # windows stay open whose centres are not all in verified passages
@@ -294,14 +343,14 @@ def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, pe
     # by either long run beside c; runs whose texts are one component without open windows are done
     runs = materialize(marked.select(F.explode(F.array("l", "r")).alias("run"), "node", "comp", "open", "before", "after"))
     mixed = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("open").alias("open"), F.min("node").alias("one"), F.max("node").alias("two")).where("one <> two AND (low <> high OR open)").select("run")
-    runs = materialize(runs.join(mixed, "run"))
+    runs = materialize(runs.join(mixed, "run").distinct())
     side = lambda k: runs.select("run", F.col("node").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("comp", "open", "before", "after")))
     apart = 2 * (width - enough(width, percent))
     meet = F.expr(f"a > b AND (comp_a <> comp_b OR open_a OR open_b) AND (bit_count(before_a ^ before_b) <= {apart} OR bit_count(after_a ^ after_b) <= {apart})")
     left, right = side("a"), side("b")
     rest = left.join(right, (left["run"] == right["run"]) & meet).select("a", "b").distinct()
     met = results.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    own = marked.groupBy(F.col("node").alias("a")).agg(F.flatten(F.collect_list(F.arrays_zip("left", "right"))).alias("windows"))
+    own = marked.groupBy(F.col("node").alias("a")).agg(F.flatten(F.collect_set(F.arrays_zip("left", "right"))).alias("windows"))
     rest = materialize(rest.join(met, ["a", "b"], "left_anti").join(own, "a"))
     return materialize(results.unionByName(_verify(rest, texts, width, percent)))
 
@@ -309,8 +358,8 @@ def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, pe
 def _possible(marked: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """key, node, possible: the open windows around whose centre enough shingles are in other texts for any passage.
 
-    Two passages of `width` shingles or more that are alike share enough() of `width` in a row; where a text repeats its
-    own shingles, which count once in a set, its windows stay possible. Open texts count by themselves, the others by
+    Two passages of `width` shingles or more that are alike share enough() of `width` in a row; around a centre where the
+    text repeats its own shingles, which count once in a set, percent / 100 of the distinct ones. Open texts count by themselves, the others by
     their components, whose shingles a task sends once for each CLASS texts.
     """
     least = enough(width, percent)
@@ -349,12 +398,16 @@ def _possible(marked: DataFrame, texts: DataFrame, width: int, percent: int) ->
     def test(batch: pa.RecordBatch) -> pa.RecordBatch:
         node, key = [], []
         for name, some, windows, grams in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), grams_of(batch.column(0))):
-            count = np.concatenate(([0], np.cumsum(np.isin(grams, np.array(some, np.int64).view(np.uint64)))))
-            dense = np.flatnonzero(count[width:] - count[:-width] >= least)  # starts of passages
-            own = len(np.unique(grams)) < len(grams)
+            held = np.isin(grams, np.array(some, np.int64).view(np.uint64))
+            count = np.concatenate(([0], np.cumsum(held)))
+            before = previous(grams)
+            new = np.lib.stride_tricks.sliding_window_view(before, width) < np.arange(len(grams) - width + 1)[:, None]
+            distinct = new.sum(1)
+            seen = (new & np.lib.stride_tricks.sliding_window_view(held, width)).sum(1)
+            dense = np.flatnonzero((count[width:] - count[:-width] >= least) | (distinct < width) & (100 * seen >= percent * distinct))  # starts of passages
             for w in windows:
                 c = np.array(w["c"])
-                if own or (np.searchsorted(dense, c, "right") > np.searchsorted(dense, c - width, "right")).any():
+                if (np.searchsorted(dense, c, "right") > np.searchsorted(dense, c - width, "right")).any():
                     node.append(name)
                     key.append(w["key"])
         return pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(node, pa.binary()), pa.array([True] * len(key), pa.bool_())], ["key", "node", "possible"])
@@ -398,7 +451,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
                 start.append([0])
                 continue
             runs: list[list[int]] = []
-            for w in sorted((w["left"], w["right"] + 1) for w in windows):
+            for w in sorted({(w["left"], w["right"] + 1) for w in windows}):
                 if runs and w[0] <= runs[-1][1]:
                     runs[-1][1] = max(runs[-1][1], w[1])
                 else:

@@ -267,3 +267,21 @@ def test_passages_by_stars_equal_those_by_all_pairs_and_brute_force(spark):
     short = [t if len(t) < 10**5 else " ".join(t.split()[-60:] + t.split()[1000:1070]) for t in texts]  # what of the long text others have
     assert [linked[i] for i in range(len(texts))] == [n > 0 or i == 3 or i == 12 for i, n in enumerate(brute_links(short, 50))]
     assert compact.passages(df.limit(0), all_links=False).count() == 0
+
+
+def test_texts_that_repeat_single_words_meet_only_where_passages_can(spark, monkeypatch):
+    def stretches(*some):
+        return " ".join(w for w, n in some for w in [w] * n)
+
+    # 80 texts of one word in common, 30 times, between words of their own
+    texts = [stretches(*((f"a{i}x{j}", 24) for j in range(3)), ("to", 30), *((f"b{i}x{j}", 24) for j in range(3))) for i in range(80)]
+    texts += [stretches((f"c{i}", 30), ("da", 50 + i), (f"d{i}", 30)) for i in range(3)]  # a passage of one word
+    texts += [stretches((f"e{i}", 9), ("to", 28 + i), ("so", 30 - i), (f"f{i}", 9)) for i in range(3)]  # one that holds two stretches
+    texts += [stretches((f"g{i}", 1), ("to", 20), *((f"h{j}", 1) for j in range(40)), (f"k{i}", 30)) for i in range(2)]  # a stretch and what follows
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, own = [], compact._verify
+    monkeypatch.setattr(compact, "_verify", lambda pairs, *a: (met.append(pairs.select("a", "b").distinct().count()), own(pairs, *a))[1])
+    got = {r["doc_id"]: r for r in compact.passages(df, all_links=False).collect()}
+    assert [got[i]["component_id"] for i in range(88)] == [*range(80), 80, 80, 80, 83, 83, 83, 86, 86]
+    assert all((got[i]["n_repeated"] >= 50) == (i >= 80) and (got[i]["n_repeated"] == 0) == (i < 80) for i in got)
+    assert sum(met) < 100  # before, thousands
