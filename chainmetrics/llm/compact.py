@@ -1,17 +1,18 @@
 """Near-duplicate passages by compact windows.
 
-A text is its sequence of five-word shingles. Under one hash function, the passages whose smallest hash is at place c
-are those inside c's range in the Cartesian tree of the hashes, so (left, c, right) stands for all of them; only ranges
-of at least a passage's length matter, and there are about two for every such length. A window's key is its function
-and the shingles around c; texts are joined on keys, the windows that they share under all functions are laid over each
-other, and inside them the passages are verified shingle by shingle.
-
-An edited word changes five shingles, so of two passages of 46 shingles that are alike by 0.8 at least 41 are shared, in
-two runs. The thirteen shingles of a key then lie in one run for 0.33 to 0.57 of the places, and no function of eight
-gives the two a common key with a chance of 0.04 to 0.001; for exact repeats it is 0.00002. Longer passages have more
-windows, and the chance falls with each. Lines of 16 words or fewer give no key, however common.
-
-Where one shingle fills as many places as a key's context (a word repeated on and on), a key says nothing of what follows. Such a
+A text is its sequence of five-word shingles, and the hash at a place is that of the 13 shingles around it. The passages
+whose smallest hash is at place c are those inside c's range in the Cartesian tree of the hashes, so (left, c, right)
+stands for all of them. A window's key is the hash at c; texts are joined on keys, the windows that they share are laid
+over each other with a passage's length to either side, and inside them the passages are verified shingle by shingle.
+
+Passages of 46 shingles that are alike by 0.8 share at least 41. Where their shared shingles break off, either side loses
+four or more (an edited word is in five), so that there is one break at most, and a run of RUN shingles is in both; the
+runs of longer passages are no shorter. A run of RUN holds nine places with all their 13 shingles. Windows as narrow as
+nine places are kept, a ninth to a fifth of a text's places, and both passages have the one whose centre is the smallest of these
+nine: nothing is left to chance, and one hash function is enough. Only passages that repeat their own four-word sequences
+may break at a lesser cost. Lines of 16 words or fewer give no key, however common.
+
+Where one shingle fills a place's whole context (a word repeated on and on), a key says nothing of what follows. Such a
 stretch has a key of its own if it holds a whole passage; every passage that leaves it holds the shingles past one of its
 ends, and its keys are those (ends_of). Texts that merely repeat the same word a few dozen times do not meet.
 
@@ -30,10 +31,13 @@ from pyspark.sql import functions as F
 from .common import MAP_BITS, SPACE_WORDS, digests, gram_hashes, hashed_map, in_map, map_chunks, materialize, mix, row_slices, text_bytes, word_hashes
 from .components import connected_components
 
-SHINGLE, FUNCTIONS, CONTEXT, LONG = 5, 8, 6, 18
+SHINGLE, CONTEXT, RUN = 5, 6, 21
+#: Places of a run with all their context, and shingles of the run to one side of any of them, context included.
+PLACES = RUN - 2 * CONTEXT
+LONG = 2 * CONTEXT + 1 + (PLACES - 1) // 2
 #: Shingles past the end of a stretch of one shingle that tell what follows.
 EDGE = 4
-_SEEDS = mix(np.arange(1, FUNCTIONS + 1, dtype=np.uint64))
+_SIDES = mix(np.arange(1, 3, dtype=np.uint64))
 #: Partners that one copy of a text serves in a verifying task.
 FAN = 300
 #: Texts of a component whose shingles one task gathers.
@@ -41,10 +45,6 @@ CLASS = 1000
 ROUNDS = 3
 
 
-def function_values(grams: np.ndarray, f: int) -> np.ndarray:
-    return mix(grams ^ _SEEDS[f])
-
-
 def centres(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     """Places that are the smallest (leftmost) of some `width` consecutive values inside one of the texts at `at`."""
     n = len(values) - width + 1
@@ -90,28 +90,30 @@ def reach(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return low, high
 
 
-def ends_of(grams: np.ndarray, c: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which places lie in a stretch of one shingle as long as a context; for these rows (index into c, key): the stretch itself, and its ends.
+def ends_of(grams: np.ndarray, first: np.ndarray, last: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+    """Stretches of one shingle as long as a context: of each its first and last place; for their keys (stretch, place, key): the stretch itself, and its ends.
 
-    first, last: bounds of the places' texts. A passage of `width` shingles lies inside a stretch of that length, or holds
+    first, last: bounds of the texts. A passage of `width` shingles lies inside a stretch of that length, or holds
     an end and some shingles past it: up to EDGE of them tell, fewer where the stretch is nearly a passage by itself.
     """
     edge = np.flatnonzero(grams[1:] != grams[:-1]) + 1
-    bounds = np.concatenate(([0], edge, [len(grams)]))
-    at = np.searchsorted(bounds, c, "right") - 1
-    u, v = np.maximum(bounds[at], first), np.minimum(bounds[at + 1] - 1, last)
-    flat = v - u >= 2 * CONTEXT
-    i = np.flatnonzero(flat)
-    size = v[i] - u[i] + 1
+    bounds = np.unique(np.concatenate(([0], edge, first, last + 1, [len(grams)])))
+    flat = np.flatnonzero(np.diff(bounds) > 2 * CONTEXT)
+    u, v = bounds[flat], bounds[flat + 1] - 1
+    text = np.searchsorted(first, u, "right") - 1
+    own = (text >= 0) & (v <= last[text])
+    u, v, text = u[own], v[own], text[own]
+    i, size = np.arange(len(u)), v - u + 1
     whole = i[size >= width]
-    index, keys = [whole], [mix(grams[c[whole]] + np.uint64(7))]
+    index, place, keys = [whole], [u[whole]], [mix(grams[u[whole]] + np.uint64(7))]
     for k in range(1, EDGE + 1):
         some = i if k == EDGE else i[size >= width - 2 * EDGE]
         for salt, end, step in ((11, v, 1), (31, u, -1)):
-            own = some[(end[some] + step * k <= last[some]) & (end[some] + step * k >= first[some])]
+            own = some[(end[some] + step * k <= last[text[some]]) & (end[some] + step * k >= first[text[some]])]
             index.append(own)
+            place.append(end[own])
             keys.append(mix(mix(grams[end[own]] + np.uint64(salt + k)) ^ grams[end[own] + step * k]))
-    return flat, np.concatenate(index), np.concatenate(keys)
+    return u, v, np.concatenate(index), np.concatenate(place), np.concatenate(keys)
 
 
 def xor_before(grams: np.ndarray) -> np.ndarray:
@@ -201,7 +203,7 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
     null unless linked. Very long texts are a pass each; of equal hashes the leftmost is a window's centre.
     """
     width = words - SHINGLE + 1
-    if width < LONG:
+    if width < RUN:
         raise ValueError("passages must be longer than a key")
     kind = dict(docs.dtypes)["doc_id"]
     rows = docs.select("doc_id", "text")
@@ -216,35 +218,34 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(np.diff(at), pa.int64())], ["doc_id", "node", "n_words"])
 
     def keyed(column: pa.Array):
-        """By function: hashed shingles, hashes, texts' bounds, centres with their texts, keys and stretches' ends. Of copies in a batch one speaks."""
+        """Hashed shingles, texts' bounds, windows (text, first place, centre, last place), keys, which of them are of stretches' ends. Of copies in a batch one speaks."""
         hashes, at, node = each(column)
         grams = gram_hashes(hashes, SHINGLE)
-        around, long = gram_hashes(grams, 2 * CONTEXT + 1), gram_hashes(grams, LONG)
-        fresh = np.zeros(len(node), bool)
-        fresh[list({x: i for i, x in enumerate(node)}.values())] = True
-        ends = np.maximum(at[1:] - SHINGLE + 1, at[:-1])
-        bounds = np.stack((at[:-1], ends), axis=1).reshape(-1)  # texts and the gaps between them, by turns
-        for f in range(FUNCTIONS):
-            v = function_values(grams, f)
-            c = centres(v, bounds, width)
-            text = np.searchsorted(at, c, "right") - 1
-            own = (c < ends[text]) & fresh[text]  # shingles across texts are outside every text's range
-            c, text = c[own], text[own]
-            if not len(c):
-                yield grams, long, v, at, ends, c, text, np.empty(0, np.int64), np.empty(0, np.uint64), node
-                continue
-            low = np.clip(c - CONTEXT, at[text], ends[text] - 2 * CONTEXT - 1)
-            flat, index, of_end = ends_of(grams, c, at[text], ends[text] - 1, width)
-            plain = np.flatnonzero(~flat)
-            key = np.concatenate((mix(around[low[plain]] + _SEEDS[f]), mix(of_end + _SEEDS[f]))).view(np.int64)
-            # of_end: 0 for plain keys
-            of_end, index = np.concatenate((np.zeros(len(plain), np.uint64), of_end)), np.concatenate((plain, index))
-            yield grams, long, v, at, ends, c[index], text[index], key, of_end, node
-
-    def keys_only(batch: pa.RecordBatch):
-        for *_, text, key, _, node in keyed(batch.column(0)):
-            short = np.array([int.from_bytes(x[:8], "little", signed=True) for x in node], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(short[text])], ["key", "short"])
+        start, end = at[:-1], np.maximum(at[1:] - SHINGLE + 1, at[:-1])
+        speaks = np.zeros(len(node), bool)
+        speaks[list({x: i for i, x in enumerate(node)}.values())] = True
+        speaks &= end - start >= width
+        v = gram_hashes(grams, 2 * CONTEXT + 1)  # from a context's first shingle on
+        equal = np.concatenate((np.zeros(1, np.int64), np.cumsum(grams[1:] == grams[:-1])))
+        alone = np.flatnonzero(equal[2 * CONTEXT :] - equal[: len(v)] == 2 * CONTEXT) if len(v) else np.empty(0, np.int64)
+        v[alone] = ~np.uint64(0)  # contexts of one shingle are never a centre
+        bounds = np.minimum(np.stack((start, np.maximum(end - 2 * CONTEXT, start)), axis=1).reshape(-1), len(v))  # texts and the gaps between them, by turns
+        p = centres(v, bounds, PLACES)
+        text = np.searchsorted(at, p, "right") - 1
+        own = (p < bounds[1::2][text]) & speaks[text] & (v[p] != ~np.uint64(0))  # shingles across texts are outside every text's range
+        p, text = p[own], text[own]
+        low, high = reach(v, p) if len(p) else (p, p)
+        some = np.flatnonzero(speaks)
+        u, w, index, place, of_end = ends_of(grams, start[some], end[some] - 1, width) if len(some) and len(alone) else (p[:0], p[:0], p[:0], p[:0], v[:0])
+        text, c, key = np.concatenate((text, np.searchsorted(at, place, "right") - 1)), np.concatenate((p + CONTEXT, place)), np.concatenate((v[p], of_end))
+        left, right = np.concatenate((low, u[index])), np.concatenate((high + 2 * CONTEXT, w[index]))
+        of_end = np.concatenate((np.zeros(len(p), np.uint64), of_end))
+        return grams, node, start, end - 1, text, left, c, right, key.view(np.int64), of_end
+
+    def keys_only(batch: pa.RecordBatch) -> pa.RecordBatch:
+        _, node, _, _, text, _, _, _, key, _ = keyed(batch.column(0))
+        short = np.array([int.from_bytes(x[:8], "little", signed=True) for x in node], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(short[text])], ["key", "short"])
 
     every = materialize(map_chunks(rows, identify, f"doc_id {kind}, node binary, n_words long"))
     some = rows.where("text IS NOT NULL")
@@ -253,28 +254,27 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
     wanted = hashed_map(shared.select(F.pmod("key", F.lit(MAP_BITS)) + 1))
     half = width // 2 - 1
 
-    def windows(batch: pa.RecordBatch):
-        before = None
-        for grams, long, v, at, ends, c, text, key, of_end, node in keyed(batch.column(0)):
-            before = xor_before(grams) if before is None else before
-            keep = np.flatnonzero(in_map(wanted.value, (key & (MAP_BITS - 1)) + 1))
-            order = keep[np.lexsort((c[keep], key[keep], text[keep]))]
-            c, text, key, of_end = c[order], text[order], key[order], of_end[order]
-            left, right = reach(v, c) if len(c) else (c, c)
-            start, end = at[text], ends[text] - 1
-            left, right = np.maximum(left, start) - start, np.minimum(right, end) - start
-            # a row for each text and key, with all its places: texts that repeat themselves have many
-            first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0) | (np.arange(len(c)) == 0))
-            stops = pa.array(np.append(first, len(c)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(stops, pa.array(x.astype(np.int32))) for x in (left, c - start, right)]
-            c, text, key, start, end, of_end = c[first], text[first], key[first], start[first], end[first], of_end[first]
-            to_left, to_right = before[c + 1] ^ before[np.maximum(c - half, start)], before[np.minimum(c + half, end) + 1] ^ before[c]
-            edge = np.maximum(end - LONG + 1, start)
-            long_left, long_right = (mix(long[np.clip(c + x, start, edge)] + _SEEDS[y]) if len(c) else long[:0] for x, y in ((4 - LONG, 0), (-3, 1)))
-            to_left, to_right = (np.where(of_end > 0, np.uint64(0), x) for x in (to_left, to_right))  # sides do not tell there
-            long_left, long_right = (np.where(of_end > 0, of_end, x) for x in (long_left, long_right))
-            columns = [pa.array(key), pa.array(node, pa.binary()).take(pa.array(text)), *lists, *(pa.array(x.view(np.int64)) for x in (to_left, to_right, long_left, long_right))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "before", "after", "l", "r"])
+    def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams, node, start, end, text, left, c, right, key, of_end = keyed(batch.column(0))
+        before, long = xor_before(grams), gram_hashes(grams, LONG)
+        keep = np.flatnonzero(in_map(wanted.value, (key & (MAP_BITS - 1)) + 1))
+        order = keep[np.lexsort((c[keep], key[keep], text[keep]))]
+        text, left, c, right, key, of_end = (x[order] for x in (text, left, c, right, key, of_end))
+        start, end = start[text], end[text]
+        # passages that hold the window's smallest hash may go beyond it
+        left, right = np.maximum(left - width, start) - start, np.minimum(right + width, end) - start
+        # a row for each text and key, with all its places: texts that repeat themselves have many
+        first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0) | (np.arange(len(c)) == 0))
+        stops = pa.array(np.append(first, len(c)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(stops, pa.array(x.astype(np.int32))) for x in (left, c - start, right)]
+        c, text, key, start, end, of_end = c[first], text[first], key[first], start[first], end[first], of_end[first]
+        to_left, to_right = before[c + 1] ^ before[np.maximum(c - half, start)], before[np.minimum(c + half, end) + 1] ^ before[c]
+        edge = np.maximum(end - LONG + 1, start)
+        long_left, long_right = (mix(long[np.clip(c + x, start, edge)] + _SIDES[y]) if len(c) else long[:0] for x, y in ((CONTEXT + 1 - LONG, 0), (-CONTEXT, 1)))
+        to_left, to_right = (np.where(of_end > 0, np.uint64(0), x) for x in (to_left, to_right))  # sides do not tell there
+        long_left, long_right = (np.where(of_end > 0, of_end, x) for x in (long_left, long_right))
+        columns = [pa.array(key), pa.array(node, pa.binary()).take(pa.array(text)), *lists, *(pa.array(x.view(np.int64)) for x in (to_left, to_right, long_left, long_right))]
+        return pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "before", "after", "l", "r"])
 
     found = map_chunks(some.select("text"), windows, "key long, node binary, left array<int>, c array<int>, right array<int>, before long, after long, l long, r long")
     # equal texts in several batches are one
