@@ -16,9 +16,10 @@ Where one shingle fills a place's whole context (a word repeated on and on), a k
 stretch has a key of its own if it holds a whole passage; every passage that leaves it holds the shingles past one of its
 ends, and its keys are those (ends_of). Texts that merely repeat the same word a few dozen times do not meet.
 
-Groups that share a key are not expanded to pairs: in rounds of stars every text meets the member with the most shared
-keys around, which closes the windows whose passages it verifies. Only windows that stay open, or whose texts are not
-linked yet, meet each other, if LONG shingles to one side of c are equal and 22 to one side allow a passage.
+Groups that share a key are not expanded to pairs: every text meets the member with the most shared keys around, which
+closes the windows whose passages it verifies. Only windows that stay open, or whose texts are not linked yet, meet each
+other, in blocks of a key, if LONG shingles to one side of c are equal and parities of the shingles that a passage around c
+must hold allow one. They try the nearest first, until a passage is verified: results grow with windows, not with pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import MAP_BITS, SPACE_WORDS, digests, gram_hashes, hashed_map, in_map, map_chunks, materialize, mix, row_slices, text_bytes, word_hashes
+from .common import MAP_BITS, SPACE_WORDS, digests, gram_hashes, hashed_map, in_map, list_array, map_chunks, materialize, mix, row_slices, text_bytes, word_hashes
 from .components import connected_components
 
 SHINGLE, CONTEXT, RUN = 5, 6, 21
@@ -42,7 +43,8 @@ _SIDES = mix(np.arange(1, 3, dtype=np.uint64))
 FAN = 300
 #: Texts of a component whose shingles one task gathers.
 CLASS = 1000
-ROUNDS = 3
+#: Rows of a key that a block of the last step holds; two blocks meet in one task.
+BLOCK = 4000
 
 
 def centres(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -68,7 +70,8 @@ def centres(values: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     mark = np.zeros(n + 1, np.int64)
     np.add.at(mark, at[:-1][full], 1)
     np.add.at(mark, last[full] + 1, -1)
-    return np.unique(where[:n][np.cumsum(mark[:n]) > 0])
+    where = where[:n][np.cumsum(mark[:n]) > 0]  # in order, since a window's smallest place is never before that of the one before
+    return where[np.diff(where, prepend=-1) > 0]
 
 
 def reach(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +221,7 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.binary()), pa.array(np.diff(at), pa.int64())], ["doc_id", "node", "n_words"])
 
     def keyed(column: pa.Array):
-        """Hashed shingles, texts' bounds, windows (text, first place, centre, last place), keys, which of them are of stretches' ends. Of copies in a batch one speaks."""
+        """Hashed shingles and contexts, texts' bounds, contexts that are centres with their texts, stretches' keys. Of copies in a batch one speaks."""
         hashes, at, node = each(column)
         grams = gram_hashes(hashes, SHINGLE)
         start, end = at[:-1], np.maximum(at[1:] - SHINGLE + 1, at[:-1])
@@ -234,31 +237,38 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         text = np.searchsorted(at, p, "right") - 1
         own = (p < bounds[1::2][text]) & speaks[text] & (v[p] != ~np.uint64(0))  # shingles across texts are outside every text's range
         p, text = p[own], text[own]
-        low, high = reach(v, p) if len(p) else (p, p)
         some = np.flatnonzero(speaks)
-        u, w, index, place, of_end = ends_of(grams, start[some], end[some] - 1, width) if len(some) and len(alone) else (p[:0], p[:0], p[:0], p[:0], v[:0])
-        text, c, key = np.concatenate((text, np.searchsorted(at, place, "right") - 1)), np.concatenate((p + CONTEXT, place)), np.concatenate((v[p], of_end))
-        left, right = np.concatenate((low, u[index])), np.concatenate((high + 2 * CONTEXT, w[index]))
-        of_end = np.concatenate((np.zeros(len(p), np.uint64), of_end))
-        return grams, node, start, end - 1, text, left, c, right, key.view(np.int64), of_end
+        none = p[:0]
+        stretches = ends_of(grams, start[some], end[some] - 1, width) if len(some) and len(alone) else (none, none, none, none, v[:0])
+        return grams, v, node, at, end - 1, p, text, stretches
 
     def keys_only(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, node, _, _, text, _, _, _, key, _ = keyed(batch.column(0))
+        _, v, node, at, _, p, text, (*_, place, of_end) = keyed(batch.column(0))
         short = np.array([int.from_bytes(x[:8], "little", signed=True) for x in node], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(short[text])], ["key", "short"])
+        key, text = np.concatenate((v[p], of_end)), np.concatenate((text, np.searchsorted(at, place, "right") - 1))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(short[text])], ["key", "short"])
 
     every = materialize(map_chunks(rows, identify, f"doc_id {kind}, node binary, n_words long"))
     some = rows.where("text IS NOT NULL")
-    of_key = map_chunks(some.select("text"), keys_only, "key long, short long").groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high"))
-    shared = materialize(of_key.where("low <> high").select("key"))
+    of_key = map_chunks(some.select("text"), keys_only, "key long, short long").groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high"), F.count("*").alias("size"))
+    shared = materialize(of_key.where("low <> high").select("key", "size"))
     wanted = hashed_map(shared.select(F.pmod("key", F.lit(MAP_BITS)) + 1))
-    half = width // 2 - 1
+    # a passage with x shingles left of c holds all of those from c - lefts[i] on, inner in number, with lefts[i] the largest up to x
+    step = width // 5
+    inner = width - step + 1
+    lefts = [*range(0, inner, step), inner - 1]
 
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams, node, start, end, text, left, c, right, key, of_end = keyed(batch.column(0))
-        before, long = xor_before(grams), gram_hashes(grams, LONG)
-        keep = np.flatnonzero(in_map(wanted.value, (key & (MAP_BITS - 1)) + 1))
-        order = keep[np.lexsort((c[keep], key[keep], text[keep]))]
+        grams, v, node, at, end, p, text, (u, w, index, place, of_end) = keyed(batch.column(0))
+        known = lambda key: np.flatnonzero(in_map(wanted.value, (key.view(np.int64) & (MAP_BITS - 1)) + 1))
+        some, ends = known(v[p]), known(of_end)
+        p, text, index, place, of_end = p[some], text[some], index[ends], place[ends], of_end[ends]
+        low, high = reach(v, p) if len(p) else (p, p)
+        text, c, key = np.concatenate((text, np.searchsorted(at, place, "right") - 1)), np.concatenate((p + CONTEXT, place)), np.concatenate((v[p], of_end)).view(np.int64)
+        left, right = np.concatenate((low, u[index])), np.concatenate((high + 2 * CONTEXT, w[index]))
+        of_end = np.concatenate((np.zeros(len(p), np.uint64), of_end))  # 0 for plain keys
+        before, long, start = xor_before(grams), gram_hashes(grams, LONG), at[:-1]
+        order = np.lexsort((c, key, text))
         text, left, c, right, key, of_end = (x[order] for x in (text, left, c, right, key, of_end))
         start, end = start[text], end[text]
         # passages that hold the window's smallest hash may go beyond it
@@ -268,15 +278,18 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         stops = pa.array(np.append(first, len(c)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(stops, pa.array(x.astype(np.int32))) for x in (left, c - start, right)]
         c, text, key, start, end, of_end = c[first], text[first], key[first], start[first], end[first], of_end[first]
-        to_left, to_right = before[c + 1] ^ before[np.maximum(c - half, start)], before[np.minimum(c + half, end) + 1] ^ before[c]
+        # parities of the shingles that any passage around c holds, by how many of it are left of c; 0 where a text has no such passage or they do not tell
+        sides = np.zeros((len(c), len(lefts)), np.uint64)
+        for k, x in enumerate(lefts):
+            own = np.flatnonzero((c - x >= start) & (c - x + inner <= end + 1) & (of_end == 0))
+            sides[own, k] = before[c[own] - x] ^ before[c[own] - x + inner] | np.uint64(1)
         edge = np.maximum(end - LONG + 1, start)
         long_left, long_right = (mix(long[np.clip(c + x, start, edge)] + _SIDES[y]) if len(c) else long[:0] for x, y in ((CONTEXT + 1 - LONG, 0), (-CONTEXT, 1)))
-        to_left, to_right = (np.where(of_end > 0, np.uint64(0), x) for x in (to_left, to_right))  # sides do not tell there
         long_left, long_right = (np.where(of_end > 0, of_end, x) for x in (long_left, long_right))
-        columns = [pa.array(key), pa.array(node, pa.binary()).take(pa.array(text)), *lists, *(pa.array(x.view(np.int64)) for x in (to_left, to_right, long_left, long_right))]
-        return pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "before", "after", "l", "r"])
+        columns = [pa.array(key), pa.array(node, pa.binary()).take(pa.array(text)), *lists, list_array(sides.view(np.int64), len(lefts), pa.int64()), *(pa.array(x.view(np.int64)) for x in (long_left, long_right))]
+        return pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "sides", "l", "r"])
 
-    found = map_chunks(some.select("text"), windows, "key long, node binary, left array<int>, c array<int>, right array<int>, before long, after long, l long, r long")
+    found = map_chunks(some.select("text"), windows, "key long, node binary, left array<int>, c array<int>, right array<int>, sides array<long>, l long, r long")
     # equal texts in several batches are one
     found = materialize(found.join(shared, "key").dropDuplicates(["key", "node"]))
     classes = every.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -288,10 +301,10 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
 
     source = rows.join(ids, F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi").select("text")
     texts = materialize(map_chunks(source, with_node, "node binary, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"]))
-    results = _linked(found, texts, nodes, width, percent, all_links)
+    results, labels = _linked(found, texts, nodes, width, percent, all_links)
     links = results.select("a", "b").distinct()
     spans = _spans(results).groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    labels = connected_components(nodes.select("node", F.col("node").alias("comp")), links)
+    labels = connected_components(labels, links)
     named = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = named.join(least, "comp").join(spans, "node", "left")
@@ -312,47 +325,142 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
     return out.select("doc_id", "n_words", F.when(bare, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), *n_links, "passages", repeated.alias("n_repeated"))
 
 
-def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int, all_links: bool) -> DataFrame:
-    """a, b, in_a, in_b of verified pairs. found: key, node, left, c, right, before, after."""
+def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int, all_links: bool) -> tuple[DataFrame, DataFrame]:
+    """a, b, in_a, in_b of verified pairs; node, comp as far as it is known. found: key, size, node, left, c, right, sides, l, r."""
     if all_links:
         side = lambda k: found.select("key", F.col("node").alias(k), F.arrays_zip("left", "right").alias("w"))
         pairs = side("a").join(side("b").drop("w"), "key").where("a > b").groupBy("a", "b").agg(F.flatten(F.collect_set("w")).alias("windows"))
-        return materialize(_verify(pairs, texts, width, percent))
+        return materialize(_verify(pairs, texts, width, percent)), nodes.select("node", F.col("node").alias("comp"))
     around = Window.partitionBy("node").orderBy(F.col("c")[0]).rangeBetween(-width, width)
-    size = found.groupBy("key").agg(F.count("*").alias("size"))
-    scored = materialize(found.join(size, "key").withColumn("score", F.sum("size").over(around)).drop("size"))
-    still, results = scored, None
-    for turn in range(ROUNDS):
-        # at first the row with most shared keys around leads its key, later any row of it; who led at first has met all others
-        order = F.col("score") if turn == 0 else F.xxhash64("node", F.lit(turn))
-        lead = scored.groupBy("key").agg(F.max(F.struct(order.alias("order"), "node")).alias("l")).select("key", F.col("l.node").alias("b"))
-        star = still.join(lead, "key").where("node <> b")
-        pairs = materialize(star.groupBy(F.col("node").alias("a"), "b").agg(F.flatten(F.collect_set(F.arrays_zip("left", "right"))).alias("windows")))
-        got = materialize(_verify(pairs, texts, width, percent))
-        results = got if results is None else results.unionByName(got)
-        # windows stay open whose centres are not all in verified passages
-        spans = _spans(got).groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-        still = (still.join(lead, "key").where("node <> b").drop("b") if turn == 0 else still).join(spans, "node", "left")
-        covered = lambda c: F.exists("spans", lambda s: (s["start"] <= c) & (s["end"] >= c + SHINGLE))
-        still = materialize(still.where(F.col("spans").isNull() | ~F.forall("c", covered)).drop("spans"))
+    scored = materialize(found.withColumn("score", F.sum("size").over(around)).drop("size"))
+    # the row with most shared keys around leads its key
+    lead = scored.groupBy("key").agg(F.max(F.struct("score", "node")).alias("l")).select("key", F.col("l.node").alias("b"))
+    star = materialize(scored.select("key", "node", "left", "c", "right").join(lead, "key").where("node <> b"))
+    pairs = star.groupBy(F.col("node").alias("a"), "b").agg(F.flatten(F.collect_list(F.arrays_zip("left", "right"))).alias("windows"))
+    results = materialize(_verify(materialize(pairs), texts, width, percent))
+    # windows stay open whose centres are not all in verified passages
+    spans = _spans(results).groupBy("node").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    covered = lambda c: F.exists("spans", lambda s: (s["start"] <= c) & (s["end"] >= c + SHINGLE))
+    still = star.select("key", "node", "c").join(spans, "node", "left").where(F.col("spans").isNull() | ~F.forall("c", covered))
     labels = connected_components(nodes.select("node", F.col("node").alias("comp")), results.select("a", "b").distinct())
     marked = scored.join(still.select("key", "node", F.lit(True).alias("open")), ["key", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False))).join(labels, "node")
-    marked = materialize(marked.select("key", "node", "left", "c", "right", "comp", "open", "before", "after", "l", "r"))
+    marked = materialize(marked.select("key", "node", "c", "comp", "open", "sides", "l", "r"))
     possible = _possible(marked, texts, width, percent)
-    marked = marked.join(possible, ["key", "node"], "left").withColumn("open", F.coalesce("possible", F.lit(False)))
+    # open windows that no passage can hold meet nobody
+    marked = marked.join(possible, ["key", "node"], "left").where("NOT open OR possible")
     # by either long run beside c; runs whose texts are one component without open windows are done
-    runs = materialize(marked.select(F.explode(F.array("l", "r")).alias("run"), "node", "comp", "open", "before", "after"))
+    runs = marked.select("key", "node", F.explode(F.array("l", "r")).alias("run"), "comp", "open")
     mixed = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("open").alias("open"), F.min("node").alias("one"), F.max("node").alias("two")).where("one <> two AND (low <> high OR open)").select("run")
-    runs = materialize(runs.join(mixed, "run").distinct())
-    side = lambda k: runs.select("run", F.col("node").alias(k), *(F.col(x).alias(f"{x}_{k}") for x in ("comp", "open", "before", "after")))
-    apart = 2 * (width - enough(width, percent))
-    meet = F.expr(f"a > b AND (comp_a <> comp_b OR open_a OR open_b) AND (bit_count(before_a ^ before_b) <= {apart} OR bit_count(after_a ^ after_b) <= {apart})")
-    left, right = side("a"), side("b")
-    rest = left.join(right, (left["run"] == right["run"]) & meet).select("a", "b").distinct()
-    met = results.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    own = marked.groupBy(F.col("node").alias("a")).agg(F.flatten(F.collect_set(F.arrays_zip("left", "right"))).alias("windows"))
-    rest = materialize(rest.join(met, ["a", "b"], "left_anti").join(own, "a"))
-    return materialize(results.unionByName(_verify(rest, texts, width, percent)))
+    left = materialize(marked.join(runs.join(mixed, "run").select("key", "node").distinct(), ["key", "node"]).select("key", "node", F.col("c")[0].alias("c"), "comp", "open", "sides", "l", "r"))
+    return materialize(results.unionByName(_rest(left, texts, width, percent))), labels
+
+
+def _rest(left: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """a, b, in_a, in_b: a link for each open window that has one, and for components that any two windows with one key link.
+
+    left: key, node, c, comp, open, sides, l, r. The windows' rows carry the shingles that a passage of `width` around c can
+    hold. Those of a key meet in blocks of at most BLOCK rows by BLOCK; open windows try the others, the nearest first, until a
+    passage around c is verified, others try those of components that the block has not joined yet.
+    """
+    lists = left.groupBy("node").agg(F.collect_list(F.struct("key", "c", "comp", "open", "sides", "l", "r")).alias("windows"))
+    fields = ["key", "c", "comp", "open", "sides", "l", "r"]
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        data, offsets = text_bytes(batch.column(1))
+        hashes, _, _, at = word_hashes(data, offsets, SPACE_WORDS)
+        rows = batch.column(2).flatten()
+        of_text = np.repeat(np.arange(batch.num_rows), np.diff(batch.column(2).offsets.to_numpy()))
+        c = rows.field("c").to_numpy(zero_copy_only=False).astype(np.int64)
+        grams = gram_hashes(hashes, SHINGLE)
+        first = np.maximum(c - width + 1, 0)
+        size = np.minimum(c + width, (np.diff(at) - SHINGLE + 1)[of_text]) - first
+        stops = np.concatenate(([0], np.cumsum(size)))
+        flat = grams[np.repeat(at[:-1][of_text] + first - stops[:-1], size) + np.arange(stops[-1])] if len(c) else grams[:0]
+        around = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat.view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_text)), *(rows.field(x) for x in fields), around], ["node", *fields, "around"])
+
+    kinds = dict(left.dtypes)
+    cuts = map_chunks(texts.join(lists, "node").select("node", "text", "windows"), cut, ", ".join(["node binary", *(f"{x} {kinds[x]}" for x in fields), "around array<long>"]))
+    parts = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    dealt = cuts.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "c", "comp", "open", "sides", "l", "r", "around")
+    dealt = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        before = None
+        for whole in batches:
+            names = np.stack([whole.column(k).to_numpy() for k in range(3)], axis=1)
+            edges = [0, *(np.flatnonzero((names[1:] != names[:-1]).any(1)) + 1).tolist(), len(names)]
+            for i, j in zip(edges[:-1], edges[1:]):
+                if i == j:
+                    continue
+                if held and tuple(names[i]) != before:
+                    yield answer(held)
+                    held = []
+                before = tuple(names[i])
+                held.append(whole.slice(i, j - i))
+        if held:
+            yield answer(held)
+
+    def answer(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        out = list(_meet(pa.Table.from_batches(held).combine_chunks().to_batches()[0], width, percent))
+        columns = list(zip(*out)) or [()] * 4
+        words = [[[{"start": x, "end": y + SHINGLE - 1} for x, y in some] for some in columns[k]] for k in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), pa.array(words[0], spans), pa.array(words[1], spans)], ["a", "b", "in_a", "in_b"])
+
+    return dealt.mapInArrow(run, "a binary, b binary, in_a array<struct<start:long,end:long>>, in_b array<struct<start:long,end:long>>")
+
+
+def _meet(rows: pa.RecordBatch, width: int, percent: int):
+    """a, b and the verified passages (in shingles) in both, of the windows of one key. rows: key, x, y, own, node, c, comp, open, sides, l, r, around."""
+    n = rows.num_rows
+    one_block = rows.column(1)[0].as_py() == rows.column(2)[0].as_py()
+    own, c, is_open, l, r = (rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 5, 7, 9, 10))
+    node, is_open = rows.column(4).to_pylist(), is_open.copy()
+    comp = np.unique(np.array(rows.column(6).to_pylist(), object), return_inverse=True)[1]
+    sides = rows.column(8).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(n, -1)
+    at, flat = rows.column(11).offsets.to_numpy(), rows.column(11).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    at = at - at[0]
+    first = np.maximum(c - width + 1, 0)
+    ends = ~sides.any(1)
+    need, several = enough(width, percent), len(np.unique(comp)) > 1
+    apart = 2 * (width - need)
+    order = np.argsort(~is_open, kind="stable")  # open windows first, each against all that follow
+    for at_order, i in enumerate(order.tolist()):
+        if not several and not is_open[i]:
+            continue
+        j = order[at_order + 1 :]
+        if not one_block:
+            j = j[own[j] != own[i]]
+        j = j[((l[j] == l[i]) | (r[j] == r[i])) & (is_open[i] | is_open[j] | (comp[j] != comp[i]))]
+        if not len(j):
+            continue
+        bits = np.where((sides[i] != 0) & (sides[j] != 0), np.bitwise_count(sides[j] ^ sides[i]), 64).min(1)
+        bits[ends[j] & ends[i]] = 0
+        j = j[np.argsort(bits, kind="stable")[: np.count_nonzero(bits <= apart)]]
+        a = flat[at[i] : at[i + 1]]
+        ordered = np.sort(a)
+        plain = not (ordered[1:] == ordered[:-1]).any()
+        for k in j.tolist():
+            if not (is_open[i] or is_open[k] or comp[i] != comp[k]):
+                continue
+            b = flat[at[k] : at[k + 1]]
+            # a passage around c holds at least enough() shingles of the other text, all within its reach
+            if plain and np.count_nonzero(ordered[np.minimum(np.searchsorted(ordered, b), len(a) - 1)] == b) < need:
+                continue
+            found = verified(a, b, (0, len(a)), width, percent)
+            if not found:
+                continue
+            in_a, in_b = (sorted({(int(first[m]) + w[z], int(first[m]) + w[z + 1]) for w in found}) for m, z in ((i, 0), (k, 2)))
+            yield node[i], node[k], in_a, in_b
+            for m, some in ((i, in_a), (k, in_b)):
+                if any(s <= c[m] < e for s, e in some):
+                    is_open[m] = False
+            if comp[i] != comp[k]:
+                comp[comp == comp[k]] = comp[i]
+                several = bool((comp != comp[i]).any())
 
 
 def _possible(marked: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -360,13 +468,13 @@ def _possible(marked: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
     Two passages of `width` shingles or more that are alike share enough() of `width` in a row; around a centre where the
     text repeats its own shingles, which count once in a set, percent / 100 of the distinct ones. Open texts count by themselves, the others by
-    their components, whose shingles a task sends once for each CLASS texts.
+    their components (whose names are no text's here), whose shingles a task sends once for each CLASS texts.
     """
     least = enough(width, percent)
     keys = marked.where("open").select("key").distinct()
     of_node = marked.join(keys, "key").groupBy("node").agg(F.max("open").alias("open"), F.first("comp").alias("comp"))
     sizes = of_node.groupBy("comp").agg(F.count("*").alias("size"))
-    members = of_node.join(sizes, "comp").select("node", "open", F.when(F.col("open"), F.col("node")).otherwise(F.col("comp")).alias("own"), F.when(F.col("open"), F.lit(0)).otherwise(F.floor(F.pmod(F.xxhash64("node"), F.col("size")) / CLASS)).alias("part"))
+    members = of_node.join(sizes, "comp").select("node", "open", F.when(F.col("open"), F.col("node")).otherwise(F.concat("comp", F.lit(b"+"))).alias("own"), F.when(F.col("open"), F.lit(0)).otherwise(F.floor(F.pmod(F.xxhash64("node"), F.col("size")) / CLASS)).alias("part"))
 
     def grams_of(column: pa.Array) -> list[np.ndarray]:
         data, offsets = text_bytes(column)

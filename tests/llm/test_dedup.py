@@ -285,3 +285,41 @@ def test_texts_that_repeat_single_words_meet_only_where_passages_can(spark, monk
     assert [got[i]["component_id"] for i in range(88)] == [*range(80), 80, 80, 80, 83, 83, 83, 86, 86]
     assert all((got[i]["n_repeated"] >= 50) == (i >= 80) and (got[i]["n_repeated"] == 0) == (i < 80) for i in got)
     assert sum(met) < 100  # before, thousands
+
+
+def test_every_passage_with_one_edit_is_found(spark):
+    """Nothing is left to chance: 400 pairs of 50 words that share 41 shingles of 46, at any place of the edit."""
+    rng = random.Random(3)
+    rows = []
+    for i in range(400):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(50)]
+        edited = [*own[: i % 50], "edit", *own[i % 50 + 1 :]]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(edited))]
+    got = compact.passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), all_links=False).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d - d % 2 for d, _ in rows}
+
+
+def test_near_copies_are_not_met_pair_by_pair(spark, monkeypatch):
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    texts = []
+    for _ in range(100):
+        own = list(base)
+        for place in rng.sample(range(90), 7):
+            own[place] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    met, own = [], compact._verify
+    monkeypatch.setattr(compact, "_verify", lambda pairs, *a: (met.append(pairs.select("a", "b").distinct().count()), own(pairs, *a))[1])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in compact.passages(df, all_links=False).collect()}
+    linked = [i for i, n in enumerate(brute_links(texts, 50)) if n]
+    assert all(got[i]["n_repeated"] >= 50 for i in linked)
+    windows = [[frozenset(tuple(t[s : s + 5]) for s in range(k, k + 46)) for k in range(len(t) - 49)] for t in (x.split() for x in texts)]
+    names = list(range(100))
+    for i in range(100):
+        for j in range(i):
+            if names[i] != names[j] and any(5 * len(x & y) >= 4 * len(x | y) for x in windows[i] for y in windows[j] if not x.isdisjoint(y)):
+                names = [names[j] if n == names[i] else n for n in names]
+    for i in range(100):  # longer passages may link more
+        assert len({got[j]["component_id"] for j in range(100) if names[j] == names[i]}) == 1
+    assert sum(met) < 500  # before, thousands
