@@ -38,7 +38,6 @@ PLACES = RUN - 2 * CONTEXT
 LONG = 2 * CONTEXT + 1 + (PLACES - 1) // 2
 #: Shingles past the end of a stretch of one shingle that tell what follows.
 EDGE = 4
-_SIDES = mix(np.arange(1, 3, dtype=np.uint64))
 #: Partners that one copy of a text serves in a verifying task.
 FAN = 300
 #: Texts of a component whose shingles one task gathers.
@@ -253,11 +252,6 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
     of_key = map_chunks(some.select("text"), keys_only, "key long, short long").groupBy("key").agg(F.min("short").alias("low"), F.max("short").alias("high"), F.count("*").alias("size"))
     shared = materialize(of_key.where("low <> high").select("key", "size"))
     wanted = hashed_map(shared.select(F.pmod("key", F.lit(MAP_BITS)) + 1))
-    # a passage with x shingles left of c holds all of those from c - lefts[i] on, inner in number, with lefts[i] the largest up to x
-    step = width // 5
-    inner = width - step + 1
-    lefts = [*range(0, inner, step), inner - 1]
-
     def windows(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, v, node, at, end, p, text, (u, w, index, place, of_end) = keyed(batch.column(0))
         known = lambda key: np.flatnonzero(in_map(wanted.value, (key.view(np.int64) & (MAP_BITS - 1)) + 1))
@@ -267,7 +261,7 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         text, c, key = np.concatenate((text, np.searchsorted(at, place, "right") - 1)), np.concatenate((p + CONTEXT, place)), np.concatenate((v[p], of_end)).view(np.int64)
         left, right = np.concatenate((low, u[index])), np.concatenate((high + 2 * CONTEXT, w[index]))
         of_end = np.concatenate((np.zeros(len(p), np.uint64), of_end))  # 0 for plain keys
-        before, long, start = xor_before(grams), gram_hashes(grams, LONG), at[:-1]
+        start = at[:-1]
         order = np.lexsort((c, key, text))
         text, left, c, right, key, of_end = (x[order] for x in (text, left, c, right, key, of_end))
         start, end = start[text], end[text]
@@ -277,19 +271,10 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
         first = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(key, prepend=0) != 0) | (np.arange(len(c)) == 0))
         stops = pa.array(np.append(first, len(c)).astype(np.int32))
         lists = [pa.ListArray.from_arrays(stops, pa.array(x.astype(np.int32))) for x in (left, c - start, right)]
-        c, text, key, start, end, of_end = c[first], text[first], key[first], start[first], end[first], of_end[first]
-        # parities of the shingles that any passage around c holds, by how many of it are left of c; 0 where a text has no such passage or they do not tell
-        sides = np.zeros((len(c), len(lefts)), np.uint64)
-        for k, x in enumerate(lefts):
-            own = np.flatnonzero((c - x >= start) & (c - x + inner <= end + 1) & (of_end == 0))
-            sides[own, k] = before[c[own] - x] ^ before[c[own] - x + inner] | np.uint64(1)
-        edge = np.maximum(end - LONG + 1, start)
-        long_left, long_right = (mix(long[np.clip(c + x, start, edge)] + _SIDES[y]) if len(c) else long[:0] for x, y in ((CONTEXT + 1 - LONG, 0), (-CONTEXT, 1)))
-        long_left, long_right = (np.where(of_end > 0, of_end, x) for x in (long_left, long_right))
-        columns = [pa.array(key), pa.array(node, pa.binary()).take(pa.array(text)), *lists, list_array(sides.view(np.int64), len(lefts), pa.int64()), *(pa.array(x.view(np.int64)) for x in (long_left, long_right))]
-        return pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "sides", "l", "r"])
+        columns = [pa.array(key[first]), pa.array(node, pa.binary()).take(pa.array(text[first])), *lists, pa.array(of_end[first] > 0)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "node", "left", "c", "right", "ends"])
 
-    found = map_chunks(some.select("text"), windows, "key long, node binary, left array<int>, c array<int>, right array<int>, sides array<long>, l long, r long")
+    found = map_chunks(some.select("text"), windows, "key long, node binary, left array<int>, c array<int>, right array<int>, ends boolean")
     # equal texts in several batches are one
     found = materialize(found.join(shared, "key").dropDuplicates(["key", "node"]))
     classes = every.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
@@ -326,7 +311,7 @@ def passages(docs: DataFrame, words: int = 50, percent: int = 80, all_links: boo
 
 
 def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, percent: int, all_links: bool) -> tuple[DataFrame, DataFrame]:
-    """a, b, in_a, in_b of verified pairs; node, comp as far as it is known. found: key, size, node, left, c, right, sides, l, r."""
+    """a, b, in_a, in_b of verified pairs; node, comp as far as it is known. found: key, size, node, left, c, right, ends."""
     if all_links:
         side = lambda k: found.select("key", F.col("node").alias(k), F.arrays_zip("left", "right").alias("w"))
         pairs = side("a").join(side("b").drop("w"), "key").where("a > b").groupBy("a", "b").agg(F.flatten(F.collect_set("w")).alias("windows"))
@@ -344,26 +329,28 @@ def _linked(found: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, pe
     still = star.select("key", "node", "c").join(spans, "node", "left").where(F.col("spans").isNull() | ~F.forall("c", covered))
     labels = connected_components(nodes.select("node", F.col("node").alias("comp")), results.select("a", "b").distinct())
     marked = scored.join(still.select("key", "node", F.lit(True).alias("open")), ["key", "node"], "left").withColumn("open", F.coalesce("open", F.lit(False))).join(labels, "node")
-    marked = materialize(marked.select("key", "node", "c", "comp", "open", "sides", "l", "r"))
+    marked = materialize(marked.select("key", "node", "c", "comp", "open", "ends"))
     possible = _possible(marked, texts, width, percent)
     # open windows that no passage can hold meet nobody
     marked = marked.join(possible, ["key", "node"], "left").where("NOT open OR possible")
-    # by either long run beside c; runs whose texts are one component without open windows are done
-    runs = marked.select("key", "node", F.explode(F.array("l", "r")).alias("run"), "comp", "open")
-    mixed = runs.groupBy("run").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("open").alias("open"), F.min("node").alias("one"), F.max("node").alias("two")).where("one <> two AND (low <> high OR open)").select("run")
-    left = materialize(marked.join(runs.join(mixed, "run").select("key", "node").distinct(), ["key", "node"]).select("key", "node", F.col("c")[0].alias("c"), "comp", "open", "sides", "l", "r"))
+    # keys whose texts are one component without open windows are done
+    mixed = marked.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("open").alias("open"), F.count("*").alias("n")).where("n > 1 AND (low <> high OR open)").select("key")
+    left = materialize(marked.join(mixed, "key").select("key", "node", F.col("c")[0].alias("c"), "comp", "open", "ends"))
     return materialize(results.unionByName(_rest(left, texts, width, percent))), labels
 
 
 def _rest(left: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """a, b, in_a, in_b: a link for each open window that has one, and for components that any two windows with one key link.
 
-    left: key, node, c, comp, open, sides, l, r. The windows' rows carry the shingles that a passage of `width` around c can
+    left: key, node, c, comp, open, ends. The windows' rows carry the shingles that a passage of `width` around c can
     hold. Those of a key meet in blocks of at most BLOCK rows by BLOCK; open windows try the others, the nearest first, until a
     passage around c is verified, others try those of components that the block has not joined yet.
     """
-    lists = left.groupBy("node").agg(F.collect_list(F.struct("key", "c", "comp", "open", "sides", "l", "r")).alias("windows"))
-    fields = ["key", "c", "comp", "open", "sides", "l", "r"]
+    lists = left.groupBy("node").agg(F.collect_list(F.struct("key", "c", "comp", "open", "ends")).alias("windows"))
+    # a passage with x shingles left of c holds all of those from c - lefts[i] on, inner in number, with lefts[i] the largest up to x
+    step = width // 5
+    inner = width - step + 1
+    lefts = [*range(0, inner, step), inner - 1]
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = text_bytes(batch.column(1))
@@ -377,10 +364,20 @@ def _rest(left: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFr
         stops = np.concatenate(([0], np.cumsum(size)))
         flat = grams[np.repeat(at[:-1][of_text] + first - stops[:-1], size) + np.arange(stops[-1])] if len(c) else grams[:0]
         around = pa.ListArray.from_arrays(pa.array(stops.astype(np.int32)), pa.array(flat.view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of_text)), *(rows.field(x) for x in fields), around], ["node", *fields, "around"])
+        plain, before, long = ~rows.field("ends").to_numpy(zero_copy_only=False), xor_before(grams), gram_hashes(grams, LONG)
+        start, end = at[:-1][of_text], (at[1:] - SHINGLE)[of_text]
+        c = c + start
+        # parities of what passages around c hold, by how many shingles are left of it; 0 where a text has no such passage, and for stretches' ends
+        sides = np.zeros((len(c), len(lefts)), np.uint64)
+        for k, x in enumerate(lefts):
+            own = np.flatnonzero((c - x >= start) & (c - x + inner <= end + 1) & plain)
+            sides[own, k] = before[c[own] - x] ^ before[c[own] - x + inner] | np.uint64(1)
+        edge = np.maximum(end - LONG + 1, start)
+        l, r = (np.where(plain, long[np.minimum(np.clip(c + x, start, edge), len(long) - 1)], np.uint64(0)) if len(c) else long[:0] for x in (CONTEXT + 1 - LONG, -CONTEXT))
+        columns = [batch.column(0).take(pa.array(of_text)), *(rows.field(x) for x in ("key", "c", "comp", "open")), list_array(sides.view(np.int64), len(lefts), pa.int64()), pa.array(l.view(np.int64)), pa.array(r.view(np.int64)), around]
+        return pa.RecordBatch.from_arrays(columns, ["node", "key", "c", "comp", "open", "sides", "l", "r", "around"])
 
-    kinds = dict(left.dtypes)
-    cuts = map_chunks(texts.join(lists, "node").select("node", "text", "windows"), cut, ", ".join(["node binary", *(f"{x} {kinds[x]}" for x in fields), "around array<long>"]))
+    cuts = map_chunks(texts.join(lists, "node").select("node", "text", "windows"), cut, "node binary, key long, c int, comp binary, open boolean, sides array<long>, l long, r long, around array<long>")
     parts = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     dealt = cuts.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "c", "comp", "open", "sides", "l", "r", "around")
